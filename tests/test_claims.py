@@ -188,10 +188,10 @@ def test_seeding_counts_new_tasks_only(spark, evidence):
     assert tasks == [("p1", 0, "openalex-author", "A1"), ("p1", 2, "github-repos", "demo")]
     assert C.seed_tasks(profiles, evidence.jobs(), limit=1).count() == 1
     listed = C.identifier_tasks(profiles)
-    assert {r.profile_id for r in listed.filter("NOT valid").collect()} == {"p3", "p5"}
-    assert [r.profile_id for r in listed.filter("valid AND NOT supported").collect()] == ["p4"]
+    assert {r.profile_id for r in listed.filter("invalid").collect()} == {"p3", "p5"}
+    assert [r.profile_id for r in listed.filter("missing").collect()] == ["p4"]
     links = spark.createDataFrame([("p2", "github-profile", "demo")], LINKS)
-    fresh = C.new_links(links, listed.filter("valid AND provider IS NOT NULL"))
+    fresh = C.new_links(links, listed.filter("provider IS NOT NULL"))
     assert fresh.count() == 4
     targets = spark.createDataFrame([("github-profile", "demo")], "provider string, subject string")
     assert C.eligible_jobs(evidence.jobs(), 100, targets).count() == 1

@@ -301,35 +301,39 @@ def raw_response(responses: DataFrame, response_id: int) -> DataFrame:
 
 
 def identifier_tasks(profiles: DataFrame) -> DataFrame:
-    """(profile_id, position, provider, subject, valid, supported) from ``external_ids``.
+    """(profile_id, position, provider, subject, missing, invalid): one row per usable task.
 
-    ``external_ids`` may be an object or the JSON text of one. ``valid`` is false
-    where the identifiers cannot be read or a subject has the wrong shape.
+    ``external_ids`` may be an object or the JSON text of one. The first malformed
+    identifier of a record marks it ``invalid`` and ends its list; records with no
+    usable task keep one row without a provider.
     """
     doc = P.variant(F.col("payload"))
     stored = P.part(doc, "external_ids")
     text = F.coalesce(F.nullif(F.try_variant_get(doc, "$.external_ids", "string"), F.lit("")), F.lit("{}"))
     ids = F.when(P.is_object(stored), stored).otherwise(P.variant(text))
-    author = tail(P.field(F.col("ids"), "openalex"))
-    login = F.col("ids")
-    account = casefold(P.field(login, "github"))
+    named = lambda name: F.schema_of_variant(P.part(F.col("ids"), name)) == "STRING"
     scholarly, coded = P.is_present(F.col("ids"), "openalex"), P.is_present(F.col("ids"), "github")
-    entry = lambda provider, subject: F.struct(F.lit(provider).alias("provider"), subject.alias("subject"))
+    author, account = tail(P.field(F.col("ids"), "openalex")), casefold(P.field(F.col("ids"), "github"))
+    task = lambda provider, subject: F.struct(
+        F.lit(provider).alias("provider"), subject.alias("subject"),
+        endpoint(F.lit(provider), subject).isNotNull().alias("ok"))
+    none = F.array().cast(_TASKS)
     listed = F.concat(
-        F.when(scholarly, F.array(entry("openalex-author", author))).otherwise(F.array().cast(_TASKS)),
-        F.when(coded, F.array(entry("github-profile", account), entry("github-repos", account)))
-        .otherwise(F.array().cast(_TASKS)))
+        F.when(scholarly, F.array(task("openalex-author", author))).otherwise(none),
+        F.when(coded, F.array(task("github-profile", account), task("github-repos", account))).otherwise(none))
+    readable = P.is_object(F.col("ids")) & (~scholarly | named("openalex")) & (~coded | named("github"))
+    first_bad = F.array_position(F.transform("tasks", lambda t: t["ok"]), False)
+    usable = F.when(first_bad > 0, F.slice("tasks", F.lit(1), F.greatest(first_bad - 1, F.lit(0)).cast("int"))).otherwise(F.col("tasks"))
     return (
         profiles.select("profile_id", ids.alias("ids"))
-        .withColumn("readable", P.is_object(F.col("ids")))
-        .withColumn("tasks", F.when(F.col("readable"), listed).otherwise(F.array().cast(_TASKS)))
-        .select("profile_id", "readable", (F.size("tasks") > 0).alias("supported"), F.posexplode_outer("tasks").alias("position", "task"))
-        .select("profile_id", "position", "task.provider", "task.subject", "supported",
-                (F.col("readable") & (F.col("task").isNull() | endpoint(F.col("task.provider"), F.col("task.subject")).isNotNull())).alias("valid"))
+        .select("profile_id", readable.alias("readable"), F.when(readable, listed).otherwise(none).alias("tasks"))
+        .select("profile_id", (F.col("readable") & (F.size("tasks") == 0)).alias("missing"),
+                (~F.col("readable") | (first_bad > 0)).alias("invalid"), F.posexplode_outer(usable).alias("position", "task"))
+        .select("profile_id", "position", "task.provider", "task.subject", "missing", "invalid")
     )
 
 
-_TASKS = "array<struct<provider:string,subject:string>>"
+_TASKS = "array<struct<provider:string,subject:string,ok:boolean>>"
 
 
 def new_links(links: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -342,7 +346,7 @@ def seed_tasks(profiles: DataFrame, jobs: DataFrame, limit: int = 100) -> DataFr
     """The first ``limit`` identifier tasks, in profile order, that no job covers yet."""
     if not 1 <= limit <= 100000:
         raise ValueError("Seed limit must be 1–100000")
-    tasks = identifier_tasks(profiles).filter("valid AND provider IS NOT NULL")
+    tasks = identifier_tasks(profiles).filter("provider IS NOT NULL")
     first = tasks.groupBy("provider", "subject").agg(F.min(F.struct("profile_id", "position")).alias("first"))
     fresh = first.join(jobs.select("provider", "subject"), ["provider", "subject"], "left_anti")
     return fresh.select("first.profile_id", "first.position", "provider", "subject").orderBy(

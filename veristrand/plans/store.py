@@ -219,27 +219,29 @@ class EvidenceStore:
         rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
         return rows.orderBy(rank, "pos").select("kind", "pos", "payload")
 
-    def matches(self, query: str = "", collector: str | None = None) -> DataFrame:
-        """(profile_id, score, payload) of every match; a blank query matches all."""
+    def scores(self, query: str) -> DataFrame:
+        """(profile_id, score) of profiles holding every word of the query."""
         latest = self._published()
-        profiles = self._kind("profiles", latest.snapshot_id).select("profile_id", "collector", "payload")
-        if collector is not None:
-            profiles = profiles.filter(F.col("collector") == collector)
-        profiles = profiles.drop("collector")
-        if not query_words(query):
-            everyone = profiles.withColumn("score", F.lit(0.0))
-            return everyone.limit(0) if query.strip() else everyone
         phrases = search.query_phrases(query)
         if all(len(p) == 1 for p in phrases):
             index = self.tables.read(
                 "postings", f"snapshot_id={latest.snapshot_id}", schema="term string, profile_id string, tf bigint")
-            scored = search.search_index(
+            return search.search_index(
                 index, self._lengths(latest.snapshot_id), latest.documents, latest.tokens, query)
-        else:
-            parts = search_parts(self._kind("profiles", latest.snapshot_id),
-                                 self._kind("relationships", latest.snapshot_id))
-            scored = search.search_texts(parts, query, "profile_id", "text")
-        return profiles.join(scored, "profile_id")
+        parts = search_parts(self._kind("profiles", latest.snapshot_id), self._kind("relationships", latest.snapshot_id))
+        return search.search_texts(parts, query, "profile_id", "text")
+
+    def profiles(self, collector: str | None = None) -> DataFrame:
+        rows = self.table("profiles").select("profile_id", "collector", "payload")
+        return (rows if collector is None else rows.filter(F.col("collector") == collector)).drop("collector")
+
+    def matches(self, query: str = "", collector: str | None = None) -> DataFrame:
+        """(profile_id, payload, score) of every match; a blank query matches all."""
+        profiles = self.profiles(collector)
+        if query_words(query):
+            return profiles.join(self.scores(query), "profile_id")
+        everyone = profiles.withColumn("score", F.lit(0.0))
+        return everyone.limit(0) if query.strip() else everyone
 
     def search(self, query: str, limit: int = 20, collector: str | None = None) -> DataFrame:
         check_page(limit)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -30,3 +31,21 @@ class Tables:
 
     def append_row(self, row: dict, schema: str, *parts: str) -> None:
         self.write(self.spark.createDataFrame([row], schema).coalesce(1), *parts, mode="append")
+
+    def write_sequenced(self, frame: DataFrame, order: list[Column], start: int, *parts: str) -> None:
+        """Write rows with dense ``sequence`` numbers in ``order``, starting after ``start``.
+
+        The rows are first written in sorted files. A row's number is then its
+        place in its file plus the rows of the files before it, so one count per
+        file is all that meets in one place.
+        """
+        staged = self.path("staged", *parts)
+        frame.orderBy(*order).write.mode("overwrite").parquet(staged)
+        rows = self.spark.read.schema(frame.schema).parquet(staged).select(
+            "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+        starts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+            "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        numbered = rows.join(starts, "_file").select(
+            (F.lit(start) + F.col("_before") + F.col("_row") + 1).cast("bigint").alias("sequence"), *frame.columns)
+        self.write(numbered, *parts, mode="overwrite")
