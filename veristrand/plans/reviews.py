@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from datetime import datetime, timezone
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
+from ..operators.content import content_digest
 from ..operators.reconcile import REVIEWS, Reconciled, reconcile
 from ..sources.datasets import RECORD_SCHEMA, Dataset
 from .tables import Tables
@@ -21,21 +23,10 @@ RUNS = ("sequence bigint, run_id string, created_at string, left_digest string,
 
 
 def dataset_digest(dataset: Dataset) -> tuple[str, int]:
-    """A digest over header and records, and the record count.
-
-    Record digests are added up in eight 32-bit lanes, so the content address of
-    a dataset of any size is one aggregate; positions take part in each digest.
-    """
-    row = P.digest(F.concat_ws(":", "ord", "payload"))
-    lanes = [
-        F.coalesce(F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
-        for i in range(8)
-    ]
-    found = dataset.records.select(row.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(",", *lanes).alias("sum")).first()
-    import hashlib
-
-    text = json.dumps([dataset.header, found.n, found["sum"]], sort_keys=True, ensure_ascii=False)
-    return hashlib.sha256(text.encode()).hexdigest(), found.n
+    """The content address of header and records, and the record count."""
+    rows, count = content_digest(dataset.records, "ord", "payload")
+    text = json.dumps([dataset.header, rows], sort_keys=True, ensure_ascii=False)
+    return hashlib.sha256(text.encode()).hexdigest(), count
 
 
 class Reconciliation:
