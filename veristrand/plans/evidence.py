@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,26 +32,31 @@ class Evidence:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.tables = spark, Tables(spark, root)
 
+    def _read(self, table: str, schema: str) -> DataFrame:
+        return self.tables.read(table, schema=schema + ", batch string").drop("batch")
+
     def jobs(self) -> DataFrame:
-        return self.tables.read("jobs", schema=JOBS)
+        return self._read("jobs", JOBS)
 
     def links(self) -> DataFrame:
-        return self.tables.read("links", schema=LINKS).distinct()
+        return self._read("links", LINKS).distinct()
 
     def responses(self) -> DataFrame:
-        return self.tables.read("responses", schema=RESPONSES)
+        return self._read("responses", RESPONSES)
 
     def claims(self) -> DataFrame:
-        return self.tables.read("claims", schema=CLAIMS)
+        return self._read("claims", CLAIMS)
 
-    def add(self, table: str, rows: DataFrame) -> None:
-        self.tables.write(rows, table, mode="append")
+    def add(self, table: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Add rows as one batch folder; the same batch name again replaces it."""
+        self.tables.write(rows, table, f"batch={batch or uuid.uuid4().hex}", mode="overwrite")
 
-    def archive(self, responses: DataFrame) -> None:
+    def archive(self, responses: DataFrame, batch: str | None = None) -> None:
         """Keep responses as received, then the claims of those that can be read."""
-        self.add("responses", responses)
-        parsed = C.parse_responses(responses, self.jobs())
-        self.add("claims", C.extract_claims(parsed))
+        batch = batch or uuid.uuid4().hex
+        self.add("responses", responses, batch)
+        kept = self.spark.read.schema(RESPONSES).parquet(self.tables.path("responses", f"batch={batch}"))
+        self.add("claims", C.extract_claims(C.parse_responses(kept, self.jobs())), batch)
 
     def search(self, query: str = "", limit: int = 50, offset: int = 0) -> dict:
         found = C.search_claims(self.responses(), self.claims(), query)
