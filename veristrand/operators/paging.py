@@ -32,22 +32,22 @@ def after_cursor(events: DataFrame, after: int = 0, limit: int = 100) -> dict:
 
 
 def number_rows(frame: DataFrame, chunk: Column, order: list[Column], start: Column | int = 0,
-                name: str = "sequence") -> DataFrame:
-    """Dense numbers in (chunk, order) sequence.
+                name: str = "sequence", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Dense numbers in (chunk, order) sequence, over all rows or per key.
 
     ``chunk`` must grow with the wanted order. Rows are numbered inside their
     chunk; only one count per chunk meets in the prefix sum, so no task ever
-    sees more than one chunk of rows.
+    sees more than one chunk of rows, even of a key that holds most of them.
     """
     chunked = frame.withColumn("_chunk", chunk)
-    counts = chunked.groupBy("_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_chunk").orderBy(*order))
+    counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
     base = F.lit(start) if isinstance(start, int) else start
     return (
         chunked.withColumn("_inside", inside)
-        .join(starts, "_chunk")
+        .join(starts, [*keys, "_chunk"])
         .withColumn(name, (base + F.col("_before") + F.col("_inside")).cast("bigint"))
         .drop("_chunk", "_inside", "_before")
     )
