@@ -75,8 +75,10 @@ def abstract_text(index: Column) -> Column:
     """The text behind a token → positions map; one token per position."""
     placed = F.array_sort(F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(
         F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("at"), e["key"].alias("token"))))))
-    first = F.filter(placed, lambda x, i: (i == 0) | (x["at"] != F.get(placed, F.greatest(i - 1, F.lit(0)))["at"]))
-    return or_empty(F.array_join(F.transform(first, lambda x: x["token"]), " "))
+    # Beside its predecessor, so that each entry is looked at once.
+    paired = F.arrays_zip(placed.alias("own"), F.concat(F.array(F.lit(None)), placed).alias("before"))
+    first = F.filter(paired, lambda x: x["own"].isNotNull() & (x["before"].isNull() | (x["own"]["at"] != x["before"]["at"])))
+    return or_empty(F.array_join(F.transform(first, lambda x: x["own"]["token"]), " "))
 
 
 def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple[str, ...]) -> Lane:

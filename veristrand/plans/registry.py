@@ -1,5 +1,6 @@
 """All named queries."""
 
 from .core_queries import catalog as core
+from .lane_queries import catalog as lanes
 
-CATALOGS = (core,)
+CATALOGS = (core, lanes)
