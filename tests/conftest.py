@@ -11,8 +11,8 @@ from veristrand.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "veristrand-tests", **{
-        "spark.sql.shuffle.partitions": "4",
+    session = local_session(2, "veristrand-tests", **{
+        "spark.sql.shuffle.partitions": "2",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
         "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     })

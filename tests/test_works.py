@@ -4,7 +4,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from veristrand.functions import payload as P
 from veristrand.operators import works as W
 from veristrand.plans.store import EvidenceStore
 from veristrand.plans.works import Works
@@ -152,6 +151,6 @@ def test_source_identities_prefer_urls_then_identifiers(spark):
             {**base, "work_id": "another", "identifiers": {"nih_profile_id": "12345", "orcid": " "}},
             {**base, "person_url": "http://www.example.org/p/"}]
     frame = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rows)], "i int, c string")
-    found = [r[0] for r in frame.orderBy("i").select(W.source_identity(F.lit("lane"), P.variant(F.col("c")))).collect()]
+    found = [r[0] for r in frame.orderBy("i").select(W.source_identity(F.lit("lane"), F.from_json("c", W.CREDIT_DOC))).collect()]
     assert found[0] != found[1] and found[2] == found[3] == '["lane", "nih_profile_id", "12345"]'
     assert found[4] == '["lane", "profile_url", "https://example.org/p"]'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,21 @@ def part(value: Column, name: str) -> Column:
     return F.try_variant_get(value, f"$.{name}", "variant")
 
 
+def typed(value: Column, schema: str) -> Column:
+    """The wanted fields as a struct: one pass instead of one lookup per field."""
+    return F.from_json(canonical(value), schema)
+
+
+def once(frame: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is costly to compute and computed exactly once per row.
+
+    Catalyst pushes a filter through a projection by repeating the projected
+    expression in it, so a parsed document would be parsed again for every field a
+    filter looks at. It does not push one through the output of a generator.
+    """
+    return frame.select(*[c for c in frame.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 # The JSON texts that count as "nothing there" for a required field.
 FALSY = ("null", "false", "0", "0.0", '""', "[]", "{}")
 

@@ -24,19 +24,41 @@ def _fold_beyond_ascii(values: pd.Series) -> pd.Series:
     return values.map(_marks_removed, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def _casefold_beyond_ascii(values: pd.Series) -> pd.Series:
-    return values.map(str.casefold, na_action="ignore")
-
-
 def _ascii_first(value: Column, udf) -> Column:
     """ASCII rows are folded in the JVM; only the others carry text to Python."""
     foreign = value.rlike(NON_ASCII)
     return F.coalesce(udf(F.when(foreign, value)), F.lower(value))
 
 
+def _case_folding() -> tuple[str, str, dict[str, str]]:
+    """Where folding goes further than lower case: one-to-one pairs and expansions."""
+    plain, folded, expanded = [], [], {}
+    for point in range(0x80, 0x10000):
+        char = chr(point)
+        target = char.casefold()
+        if target != char and char.lower() == char:
+            if len(target) == 1:
+                plain.append(char)
+                folded.append(target)
+            else:
+                expanded[char] = target
+    return "".join(plain), "".join(folded), expanded
+
+
+_FOLD_FROM, _FOLD_TO, _EXPANDED = _case_folding()
+
+
 def casefold(value: Column) -> Column:
-    return _ascii_first(value, _casefold_beyond_ascii)
+    """Unicode case folding in the JVM; rows that need more than ``lower`` are told by their letters."""
+    lowered = F.lower(value)
+    single = F.translate(lowered, _FOLD_FROM, _FOLD_TO)
+    table = F.create_map(*[F.lit(text) for pair in _EXPANDED.items() for text in pair])
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    return (
+        F.when(~lowered.rlike(NON_ASCII), lowered)
+        .when(single.rlike("[" + "".join(_EXPANDED) + "]"), spelled)
+        .otherwise(single)
+    )
 
 
 def name_key(value: Column) -> Column:

@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from .text import casefold
 
-# Scheme, authority, path and query of an RFC 3986 reference.
-_SCHEME = r"(?i)^(https?)://"
+# Authority of an HTTP(S) reference, and its path without trailing slashes plus its query.
 _AUTHORITY = r"(?i)^https?://([^/?#]*)"
-_PATH = r"(?i)^https?://[^/?#]*([^?#]*)"
-_QUERY = r"(?i)^https?://[^/?#]*[^?#]*(\?[^#]+)"
+_REST = r"(?is)^https?://[^/?#]*([^?#]*?)/*(\?[^#]+)?\??(?:#.*)?$"
 
 
 def _tidy(value: Column) -> Column:
-    return F.regexp_replace(value, r"^[\x00-\x20]+|[\t\r\n]", "")
+    return F.when(value.rlike(r"[\x00-\x20]"), F.regexp_replace(value, r"^[\x00-\x20]+|[\t\r\n]", "")).otherwise(value)
 
 
 def is_http_url(value: Column) -> Column:
@@ -30,11 +28,9 @@ def url_key(value: Column) -> Column:
     """
     url = _tidy(value)
     host = F.regexp_replace(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), r"^www\.", "")
-    path = F.rtrim(F.regexp_extract(url, _PATH, 1), F.lit("/"))
-    key = F.concat(F.lit("https://"), host, path, F.regexp_extract(url, _QUERY, 1))
     return (
         F.when(value.isNull() | (value == ""), F.lit(""))
-        .when(F.regexp_extract(url, _AUTHORITY, 1) != "", key)
+        .when(F.regexp_extract(url, _AUTHORITY, 1) != "", F.concat(F.lit("https://"), host, F.regexp_replace(url, _REST, "$1$2")))
     )
 
 

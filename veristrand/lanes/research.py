@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import payload as P
 from ..functions.dates import has_timezone
-from ..functions.text import clean_html, compact_text, or_empty
+from ..functions.text import clean_html, compact_text, or_empty, squeeze
 from ..functions.urls import last_segment, tail
 from ..sources import pages as H
 from .common import Lane, accumulate, identifiers, keep, no_identifiers
@@ -88,15 +88,16 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
     name a listed institution on that work are credited. A live record replaces a
     cached one; otherwise the first stays. ``scopes`` is in order of precedence.
     """
-    typed = documents.withColumn("w", F.from_json(P.canonical(F.col("doc")), SCHOLARLY)).drop("doc").withColumn(
+    typed = P.once(documents, "w", P.typed(F.col("doc"), SCHOLARLY)).drop("doc").withColumn(
         "work_key", last_segment(or_empty(F.col("w.id")))).filter("work_key != ''").withColumn(
-        "work_id", F.concat(F.lit("openalex:"), "work_key"))
+        "work_id", F.concat(F.lit("openalex:"), "work_key")).withColumn(
+        "title", compact_text(F.coalesce(F.nullif(F.col("w.display_name"), F.lit("")), F.col("w.title")))).filter("title != ''")
     rank = F.when(F.col("origin") == "live", 0).otherwise(1)
     authors = (
         typed.select("work_id", "ord", rank.alias("rank"), F.col("w.id").alias("work_url"), F.posexplode("w.authorships").alias("at", "a"))
         .select("work_id", "ord", "rank", "work_url", "at", F.col("a.author.id").alias("person_url"),
                 compact_text(F.col("a.author.display_name")).alias("name"), F.col("a.author.orcid").alias("orcid"),
-                compact_text(F.col("a.author_position")).alias("position"),
+                squeeze(F.col("a.author_position")).alias("position"),
                 F.explode(F.array_distinct(F.transform("a.institutions", lambda i: last_segment(i["id"])))).alias("institution_id"))
         .filter("person_url != ''").join(institutions, "institution_id")
     )
@@ -108,23 +109,22 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
         scope = F.when(F.array_contains("found", name), name).otherwise(scope)
     listed = F.array_join("institutions", "; ")
     year = or_empty(F.col("w.publication_year"))
-    title = compact_text(F.coalesce(F.nullif(F.col("w.display_name"), F.lit("")), F.col("w.title")))
     abstract = F.substring("abstract", 1, ABSTRACT)
     kind = F.coalesce(F.nullif(F.col("w.type"), F.lit("")), F.lit("publication"))
     generic = F.concat(F.lit("OpenAlex indexes this "), compact_text(kind), F.when(year != "", F.concat(F.lit(" from "), year)).otherwise(""), F.lit("."))
     read = typed.join(regional, ["work_id", "ord"]).withColumn("abstract", abstract_text(F.col("w.abstract_inverted_index")))
     works = read.withColumn("abstract", compact_text(F.col("abstract"))).select(
-        F.col("work_id").alias("id"), title.alias("title"), kind.alias("kind"), F.col("w.id").alias("source_url"),
+        F.col("work_id").alias("id"), "title", kind.alias("kind"), F.col("w.id").alias("source_url"),
         F.col("observed").alias("observed_at"), F.coalesce(F.nullif(F.col("w.publication_date"), F.lit("")), year).alias("work_date"),
         listed.alias("organization"),
         F.concat(F.lit("OpenAlex records author-level institutional affiliation(s) on this work: "), listed, F.lit(".")).alias("regional_evidence"),
         scope.alias("geography_scope"), F.when(abstract != "", abstract).otherwise(generic).alias("description"),
-        "raw_path", "raw_sha256", F.struct(rank.alias("rank"), "ord").alias("ord")).filter("title != ''")
+        "raw_path", "raw_sha256", F.struct(rank.alias("rank"), "ord").alias("ord"))
     placed = (
         authors.groupBy("work_id", "work_url", "ord", "rank", "at", "person_url", "name", "orcid", "position")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("institution_id", "institution"))),
                                       lambda i: i["institution"]), ", ").alias("institutions"))
-        .filter("name != ''").join(works.select(F.col("id").alias("work_id")).distinct(), "work_id", "left_semi")
+        .filter("name != ''")
         .withColumn("plain", N.plain_words(F.col("name"))).withColumn("order", F.struct("ord", "at"))
     )
     known = institutions.select(N.plain_words(F.col("institution")).alias("plain")).filter("plain != ''").distinct()
@@ -166,7 +166,7 @@ def deposits(responses: DataFrame) -> Lane:
     """
     hits = responses.select("ord", "target", "scope", "observed", "raw_path", "raw_sha256", F.posexplode(
         F.from_json(P.canonical(P.part(F.col("doc"), "hits.hits")), "array<variant>")).alias("at", "hit"))
-    typed = hits.withColumn("r", F.from_json(P.canonical(F.col("hit")), DEPOSIT)).drop("hit").withColumn(
+    typed = P.once(hits, "r", P.typed(F.col("hit"), DEPOSIT)).drop("hit").withColumn(
         "ord", F.struct("ord", "at"))
     creators = F.filter(F.transform("r.metadata.creators", lambda c: F.struct(
         F.trim(F.regexp_replace(or_empty(c["name"]), r"\s+", " ")).alias("name"),

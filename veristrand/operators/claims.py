@@ -141,8 +141,8 @@ def _error(provider: Column, subject: Column, doc: Column) -> Column:
 def parse_responses(responses: DataFrame, jobs: DataFrame) -> DataFrame:
     """(response_id, job_id, provider, subject, doc, error); raw bytes stay in the archive."""
     owned = responses.select("response_id", "job_id", "raw").join(jobs.select("job_id", "provider", "subject"), "job_id")
-    parsed = owned.withColumn("doc", P.variant(F.decode("raw", "UTF-8"))).drop("raw")
-    return parsed.withColumn("error", _error(F.col("provider"), F.col("subject"), F.col("doc")))
+    parsed = P.once(owned, "doc", P.variant(F.decode("raw", "UTF-8"))).drop("raw")
+    return P.once(parsed, "error", _error(F.col("provider"), F.col("subject"), F.col("doc")))
 
 
 def extract_claims(parsed: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def identifier_tasks(profiles: DataFrame) -> DataFrame:
     first_bad = F.array_position(F.transform("tasks", lambda t: t["ok"]), False)
     usable = F.when(first_bad > 0, F.slice("tasks", F.lit(1), F.greatest(first_bad - 1, F.lit(0)).cast("int"))).otherwise(F.col("tasks"))
     return (
-        profiles.select("profile_id", ids.alias("ids"))
+        P.once(profiles.select("profile_id", "payload"), "ids", ids).drop("payload")
         .select("profile_id", readable.alias("readable"), F.when(readable, listed).otherwise(none).alias("tasks"))
         .select("profile_id", (F.col("readable") & (F.size("tasks") == 0)).alias("missing"),
                 (~F.col("readable") | (first_bad > 0)).alias("invalid"), F.posexplode_outer(usable).alias("position", "task"))

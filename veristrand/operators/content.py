@@ -24,4 +24,6 @@ def content_digest(rows: DataFrame, *columns: str) -> tuple[str, int]:
 
 
 def json_string(value: Column) -> Column:
-    return F.to_json(value.cast("variant"))
+    """A JSON string; only text with characters that need escaping takes the long way."""
+    return F.when(value.rlike(r"[\x00-\x1f\"\\]"), F.to_json(value.cast("variant"))).otherwise(
+        F.concat(F.lit('"'), value, F.lit('"')))

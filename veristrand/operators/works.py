@@ -23,6 +23,7 @@ COLLECTORS = {
 TIE = "Documented work connection"
 DERIVED = ("discovered_work", "work_evidence")
 ENTRIES_PER_ROW = 10_000
+NO_URL_SALTS = 4096
 
 
 # --- contract ---------------------------------------------------------------
@@ -78,20 +79,30 @@ def credit_problems(credits: DataFrame, works: DataFrame) -> DataFrame:
 
 # --- identity ---------------------------------------------------------------
 
+WORK_DOC = ("id string, title string, organization string, regional_evidence string, geography_scope string, "
+            "work_date string, observed_at string, source_url string, description string")
+CREDIT_DOC = ("work_id string, name string, role string, source_url string, person_url string, evidence string, "
+              "identifiers map<string,string>")
+
+
 def source_identity(lane: Column, credit: Column) -> Column:
-    """JSON text that groups provider records of one source, never across lanes."""
+    """JSON text that groups provider records of one source, never across lanes.
+
+    ``credit`` is a struct of :data:`CREDIT_DOC`.
+    """
     def listed(*parts: Column) -> Column:
         texts = [json_string(p) for p in parts]
         joined = [texts[0]] + [piece for t in texts[1:] for piece in (F.lit(", "), t)]
         return F.concat(F.lit("["), *joined, F.lit("]"))
 
-    person = P.field(credit, "person_url")
-    result = listed(lane, F.lit("work_name"), P.field(credit, "work_id"), url_key(P.field(credit, "source_url")),
-                    casefold(P.field(credit, "name")))
-    for namespace in reversed(PERSON_NAMESPACES):
-        value = F.trim(P.field(credit, f"identifiers.{namespace}"))
-        result = F.when(F.coalesce(value, F.lit("")) != "", listed(lane, F.lit(namespace), value)).otherwise(result)
-    return F.when(F.coalesce(person, F.lit("")) != "", listed(lane, F.lit("profile_url"), url_key(person))).otherwise(result)
+    named = F.coalesce(*[
+        F.when(F.trim(credit["identifiers"][n]) != "", F.struct(F.lit(n).alias("ns"), F.trim(credit["identifiers"][n]).alias("value")))
+        for n in PERSON_NAMESPACES])
+    return (
+        F.when(or_empty(credit["person_url"]) != "", listed(lane, F.lit("profile_url"), url_key(credit["person_url"])))
+        .when(named.isNotNull(), listed(lane, named["ns"], named["value"]))
+        .otherwise(listed(lane, F.lit("work_name"), credit["work_id"], url_key(credit["source_url"]), casefold(credit["name"])))
+    )
 
 
 def generated_id(identity: Column) -> Column:
@@ -111,16 +122,20 @@ def unique_profile_urls(people: DataFrame) -> DataFrame:
 def collapsed_credits(credits: DataFrame, people: DataFrame) -> DataFrame:
     """One entry per (profile, work, role, source): the last value at the first position.
 
-    ``credits(run, pos, lane, work, credit)`` hold the documents as text. min and
-    max_by combine map-side.
+    ``credits(run, pos, lane, work, credit)`` hold the documents as text. The
+    documents are parsed once into the few fields that decide; min and max_by
+    combine map-side.
     """
-    credit = P.variant(F.col("credit"))
-    keyed = credits.select(
-        F.struct("run", "pos").alias("ord"), "lane", "work", "credit", source_identity(F.col("lane"), credit).alias("identity"),
-        url_key(P.field(credit, "person_url")).alias("person_key"),
-        P.field(P.variant(F.col("work")), "id").alias("work_id"), P.field(credit, "role").alias("role"),
-        P.field(credit, "source_url").alias("source_url"))
-    named = keyed.join(unique_profile_urls(people), "person_key", "left").withColumn(
+    parsed = P.once(credits.select(
+        F.struct("run", "pos").alias("ord"), "lane", "work", "credit", F.get_json_object("work", "$.id").alias("work_id")),
+        "c", F.from_json("credit", CREDIT_DOC))
+    keyed = parsed.select(
+        "ord", "lane", "work", "credit", "work_id", F.col("c.role").alias("role"), F.col("c.source_url").alias("source_url"),
+        source_identity(F.col("lane"), F.col("c")).alias("identity"), url_key(F.col("c.person_url")).alias("person_key"))
+    # Credits without a URL match nobody; salted blanks keep them from meeting in one task.
+    blank = F.concat(F.lit(" "), F.pmod(F.xxhash64("identity"), F.lit(NO_URL_SALTS)).cast("string"))
+    salted = keyed.withColumn("person_key", F.when(F.col("person_key") == "", blank).otherwise(F.col("person_key")))
+    named = salted.join(unique_profile_urls(people), "person_key", "left").withColumn(
         "rid", F.coalesce("existing_id", generated_id(F.col("identity"))))
     return (
         named.groupBy("rid", "work_id", "role", "source_url")
@@ -140,15 +155,15 @@ def _collector(lane: Column) -> Column:
 
 def with_fields(entries: DataFrame) -> DataFrame:
     """Entries with the work and credit fields the merged records use."""
-    work, credit = P.variant(F.col("work")), P.variant(F.col("credit"))
-    w = lambda name: or_empty(P.field(work, name))
-    c = lambda name: or_empty(P.field(credit, name))
-    return entries.select(
+    parsed = entries.withColumn("w", F.from_json("work", WORK_DOC)).withColumn("c", F.from_json("credit", CREDIT_DOC))
+    w = lambda name: or_empty(F.col(f"w.{name}"))
+    c = lambda name: or_empty(F.col(f"c.{name}"))
+    return parsed.select(
         "rid", "first", "work", "credit", "role", "source_url", "work_id", _collector(F.col("lane")).alias("collector"),
         w("title").alias("title"), w("organization").alias("organization"), w("regional_evidence").alias("regional_evidence"),
         w("geography_scope").alias("geography_scope"), w("work_date").alias("work_date"), w("observed_at").alias("observed_at"),
         w("source_url").alias("work_url"), c("name").alias("name"), c("person_url").alias("person_url"),
-        c("evidence").alias("evidence"), P.canonical(P.part(credit, "identifiers")).alias("identifiers"),
+        c("evidence").alias("evidence"), F.coalesce(F.get_json_object("credit", "$.identifiers"), F.lit("{}")).alias("identifiers"),
         F.concat(w("title"), F.lit(" — "), c("role"), F.lit(": "), c("evidence"), F.lit(" "), w("description")).alias("line"))
 
 

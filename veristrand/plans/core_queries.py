@@ -14,6 +14,7 @@ from ..operators import claims as C
 from ..operators import diff, discover as D, feed, fuzzy, graph, membership, paging, resolve, search
 from ..operators import reconcile as R
 from ..operators import works as W
+from ..session import checkpointed, spread
 from ..sources.datasets import Dataset
 from .catalog import Catalog
 
@@ -48,7 +49,7 @@ def shared_url_keys(table):
 
 @query("name_keys", f"SELECT doc_id, md5({NAME_KEY_SQL.format(t='text')}) AS key_digest FROM documents")
 def name_keys(table):
-    return table("documents").select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_digest"))
+    return spread(table("documents")).select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_digest"))
 
 
 @query("identifier_keys", """
@@ -223,19 +224,19 @@ scored AS (
 
 @query("search_bm25", bm25_sql(["sur", "pas"]) + "SELECT doc_id, round(score, 6) AS score FROM scored")
 def search_bm25(table):
-    found = search.search_texts(table("documents"), "sur pas", "doc_id", "text", one_part=True)
+    found = search.search_texts(spread(table("documents")), "sur pas", "doc_id", "text", one_part=True)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("search_top", bm25_sql(["avec", "dans"]) + """
 SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 20""")
 def search_top(table):
-    found = search.search_texts(table("documents"), '"Avec" + (dans)', "doc_id", "text", one_part=True)
+    found = search.search_texts(spread(table("documents")), '"Avec" + (dans)', "doc_id", "text", one_part=True)
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 def _index(table) -> tuple[DataFrame, DataFrame]:
-    documents = table("documents").select("doc_id", "text")
+    documents = spread(table("documents").select("doc_id", "text"))
     return search.postings(documents, "doc_id"), search.lengths(documents, "doc_id")
 
 
@@ -261,7 +262,7 @@ def document_lengths(table):
 , found AS (SELECT doc_id, round(score, 6) AS score FROM scored JOIN documents USING (doc_id) WHERE lang = 'fr')
 SELECT doc_id, score, (SELECT count(*) FROM found) AS total FROM found ORDER BY score DESC, doc_id LIMIT 30 OFFSET 5""")
 def browse_page(table):
-    scored = search.search_texts(table("documents"), "sur pas", "doc_id", "text", one_part=True)
+    scored = search.search_texts(spread(table("documents")), "sur pas", "doc_id", "text", one_part=True)
     chosen = table("documents").filter("lang = 'fr'").select("doc_id")
     found = scored.join(chosen, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
     total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
@@ -333,7 +334,7 @@ def as_of_records(table):
 
 def _responses(table) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Events as responses of one job per user; error events yielded no claims."""
-    events = table("events")
+    events = spread(table("events"))
     responses = events.select(
         F.col("event_id").alias("response_id"), F.col("user_id").alias("job_id"), F.col("value").alias("observed"),
         F.concat(F.lit("https://example.org/"), text_of("user_id")).alias("url"), F.md5("props").alias("sha256"))
@@ -479,7 +480,7 @@ def _accounts(table):
         F.when(F.col("c_nationkey") == 3, "someone-else").otherwise(F.upper(login)).alias("login"), F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("bio")))
     raw = F.when(F.col("c_nationkey") == 5, F.lit("not json")).otherwise(body)
-    customers = table("customer")
+    customers = spread(table("customer"))
     responses = customers.select(F.col("c_custkey").alias("response_id"), F.col("c_custkey").alias("job_id"), F.encode(raw, "UTF-8").alias("raw"))
     jobs = customers.select(F.col("c_custkey").alias("job_id"), F.lit("github-profile").alias("provider"), login.alias("subject"))
     return C.parse_responses(responses, jobs)
@@ -762,7 +763,7 @@ def _annotations(table):
 def _discovered(table, mode: str):
     """Documents as profiles; each event's latest claims belong to the document with the user's number."""
     profiles = table("documents").select(text_of("doc_id").alias("profile_id"), F.col("text").alias("payload"))
-    scored = search.search_texts(table("documents"), "sur pas", "doc_id", "text", one_part=True).select(
+    scored = search.search_texts(spread(table("documents")), "sur pas", "doc_id", "text", one_part=True).select(
         text_of("doc_id").alias("profile_id"), "score")
     responses, claims, jobs = _responses(table)
     links = jobs.select(text_of("job_id").alias("profile_id"), "provider", "subject")
@@ -960,7 +961,7 @@ def path_neighbours(table):
 def _credits(table):
     """Line items as credits: the supplier contributed to the part in a role named by the ship year."""
     url = F.concat(F.lit("https://example.org/part/"), text_of("l_partkey"))
-    joined = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = spread(table("lineitem")).join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     work = F.to_json(F.struct(
         text_of("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("organization"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("observed_at"), url.alias("source_url"), F.lit("r").alias("regional_evidence")))
@@ -1001,7 +1002,7 @@ def collapsed_credits(table):
 SELECT rid, count(*) AS entries, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS organization,
        string_agg(DISTINCT role, '; ' ORDER BY role) AS role, max(observed_at) AS observed_at FROM entries GROUP BY rid""")
 def work_rollup(table):
-    return W.rolled_up(_collapsed(table)).select(
+    return W.rolled_up(checkpointed(_collapsed(table))).select(
         "rid", F.size("entries").cast("bigint").alias("entries"), "organization", "role", "observed_at")
 
 

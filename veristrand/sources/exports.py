@@ -26,16 +26,10 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     line = F.regexp_replace(F.col("value"), r"^\uFEFF", "")
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_name").alias("file_name"),
-            (F.col("_metadata.file_block_start") + number).alias("pos"),
-            line.alias("payload"),
-        )
-        .filter(F.trim("payload") != "")
-        .withColumn("doc", P.variant(F.col("payload")))
-    )
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("file_name"),
+        (F.col("_metadata.file_block_start") + number).alias("pos"), line.alias("payload"))
+    return P.once(lines.filter(F.trim("payload") != ""), "doc", P.variant(F.col("payload")))
 
 
 def _reason(required: tuple[str, ...], doc: Column) -> Column:
