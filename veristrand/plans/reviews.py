@@ -86,6 +86,11 @@ class Reconciliation:
         self._run(run_id)
         return self.spark.read.parquet(self.tables.path("run_pairs", f"run_id={run_id}"))
 
+    def export(self, run_id: str, path: str) -> None:
+        """Record statuses and explained pairs of a run as JSON lines; an existing target is refused."""
+        for name, rows in (("records", self.run(run_id)), ("pairs", self.run_pairs(run_id))):
+            rows.write.mode("errorifexists").json(f"{path}/{name}.jsonl")
+
     def rerun(self, run_id: str) -> tuple[str, Reconciled]:
         """The same two stored datasets under today's reviews."""
         row = self._run(run_id)
