@@ -705,7 +705,7 @@ def record_status(table):
 
 @query("match_summary", RECONCILE_SQL + """
 SELECT count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'possible_match') AS possible_match,
-       count(*) FILTER (WHERE status = 'unmatched') AS unmatched, 0 AS incomplete FROM records""")
+       count(*) FILTER (WHERE status = 'unmatched') AS unmatched, 0::BIGINT AS incomplete FROM records""")
 def match_summary(table):
     records = R.reconcile(*_datasets(table)).records
     return records.agg(*[F.count_if(F.col("status") == s).alias(s) for s in R.STATUSES])

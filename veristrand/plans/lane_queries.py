@@ -40,7 +40,7 @@ VISIBLE = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^
 
 
 @query("page_links", f"""
-SELECT page_id, pos - 1 AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, {fragment('a')} AS label
+SELECT page_id, (pos - 1)::INTEGER AS pos, regexp_extract(a, 'href="([^"]*)"', 1) AS href, {fragment('a')} AS label
 FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, unnest(l) AS a FROM
   (SELECT page_id, regexp_extract_all(html, '(?is)(<a\\b[^>]*>.*?</a\\s*>)', 1) AS l FROM pages))
 WHERE regexp_extract(a, 'href="([^"]*)"', 1) <> ''""")
