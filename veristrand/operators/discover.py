@@ -48,29 +48,31 @@ def in_mode(mode: str) -> Column:
     return chosen == mode
 
 
+NO_CLAIMS = "array<struct<predicate:string,value:string,source:string,observed:double>>"
+
+
 def combine(profiles: DataFrame, scores: DataFrame | None, claims: DataFrame | None, annotations: DataFrame | None,
             mode: str) -> DataFrame:
     """One row per match. Every join is on the unique ``profile_id``.
 
-    ``scores`` is None for a blank query, which matches every profile.
+    ``scores`` is None for a blank query, which matches every profile. Otherwise
+    ids are matched and filtered first and meet the profiles last, so documents of
+    profiles that do not match are never shuffled for their sake.
     """
     spark = profiles.sparkSession
-    nothing = "array<struct<predicate:string,value:string,source:string,observed:double>>"
-    joined = profiles
-    joined = joined.withColumn("score", F.lit(0.0)) if scores is None else joined.join(scores, "profile_id", "left")
-    if claims is None:
-        joined = joined.withColumn("enriched_matches", F.array().cast(nothing))
-    else:
-        joined = joined.join(first_claims(claims), "profile_id", "left").withColumn(
-            "enriched_matches", F.coalesce("enriched_matches", F.array().cast(nothing)))
-    matched = joined.filter(F.col("score").isNotNull() | (F.size("enriched_matches") > 0))
     states = annotations if annotations is not None else spark.createDataFrame([], ANNOTATIONS)
     names = [f for f in states.columns if f != "profile_id"]
-    return (
-        matched.join(states.select("profile_id", F.struct(*names).alias("workspace")), "profile_id", "left")
-        .filter(in_mode(mode))
-        .withColumn("match_basis", F.when(F.col("score").isNotNull(), IMPORTED).otherwise(ENRICHED))
-    )
+    workspace = states.select("profile_id", F.struct(*names).alias("workspace"))
+    empty = F.array().cast(NO_CLAIMS)
+    if scores is None:
+        matched = profiles.select("profile_id", "payload", F.lit(0.0).alias("score"), empty.alias("enriched_matches"))
+        found = matched.join(workspace, "profile_id", "left").filter(in_mode(mode))
+    else:
+        shown = spark.createDataFrame([], f"profile_id string, enriched_matches {NO_CLAIMS}") if claims is None else first_claims(claims)
+        ids = scores.join(shown, "profile_id", "full").withColumn("enriched_matches", F.coalesce("enriched_matches", empty))
+        chosen = ids.join(workspace, "profile_id", "left").filter(in_mode(mode))
+        found = profiles.select("profile_id", "payload").join(chosen, "profile_id")
+    return found.withColumn("match_basis", F.when(F.col("score").isNotNull(), IMPORTED).otherwise(ENRICHED))
 
 
 def match_order() -> list[Column]:

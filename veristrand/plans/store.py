@@ -119,6 +119,8 @@ class EvidenceStore:
             extra = [F.col("unknown_subject")] if kind == "relationships" else []
             rows = frame.withColumn("fingerprint", P.comparable(F.col("profile_id"), doc)).select(
                 "pos", "profile_id", "collector", "record_key", "fingerprint", "payload", *extra)
+            # Ranged by profile, so that a lookup of one profile reads few row groups.
+            rows = rows.repartitionByRange("profile_id", "pos").sortWithinPartitions("profile_id", "pos")
             self.tables.write(rows, "versions", f"snapshot_id={snapshot_id}", f"kind={kind}")
         if not self._kind("relationships", snapshot_id).filter("unknown_subject").isEmpty():
             raise ImportRejected("Relationship references unknown source record")
