@@ -163,3 +163,10 @@ def blank(value: Column) -> Column:
 
 def or_empty(value: Column) -> Column:
     return F.coalesce(value, F.lit(""))
+
+
+def sentence(template: str, **parts: Column) -> Column:
+    """A text with ``{name}`` places, filled from the given columns or from columns of that name."""
+    pieces = re.split(r"\{(\w+)\}", template)
+    filled = [parts.get(piece, F.col(piece)) if i % 2 else F.lit(piece) for i, piece in enumerate(pieces) if i % 2 or piece]
+    return F.concat(*filled)

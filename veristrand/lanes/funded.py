@@ -7,13 +7,29 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions.dates import iso_date
-from ..functions.text import casefold, squeeze
+from ..functions.text import casefold, sentence, squeeze
 from ..operators.paging import CHUNK, number_rows
 from .common import Lane, accumulate, identifiers, no_identifiers
 
 # What stands for "nobody", how much abstract is kept, and the identity of an award row.
 NOBODY = ("unknown", "not specified", "n/a", "none")
 ABSTRACT = 1600
+GRANT_TEXT = "NIH RePORTER lists this as a FY{year} project funding record. Abstract: {abstract}"
+GRANT_BARE = "NIH RePORTER lists a FY{year} project funding record titled {title}. The record has no abstract text."
+GRANT_TIE = "NIH RePORTER organization field lists {org} in {city}, {state} (org_city={city}; org_state={state})."
+GRANT_CREDIT = ("NIH RePORTER lists {name} in the principal_investigators field for application {appl_id} "
+                "(project {number}, FY{year}).")
+AWARD_TIE = ("NSF award record lists performance location {site}, {place}, {state} "
+             "(perfCity={place}; perfStateCode={state}).")
+AWARD_TEXT = "NSF award abstract: {abstract}"
+AWARD_BARE = "NSF records an award titled {title}; no abstract text was returned."
+AWARD_LEAD = "NSF award {award} lists {name} as project director/principal investigator (pdPIName)."
+AWARD_CO = "NSF award {award} lists {name} in the coPDPI field."
+ROW_KIND = "SBIR/STTR {program} {phase} funding award"
+ROW_TIE = "SBIR.gov award CSV lists the recipient company address as {city}, {code} (city={city}; state={code})."
+ROW_TEXT = ("SBIR.gov lists an {agency}{branch} {phase} {program} award titled {title} to {company}. The downloadable file "
+            "does not include abstracts, so this record does not assert project results.")
+ROW_CREDIT = ("The SBIR.gov award CSV names {name} in its PI Name field for agency tracking number {number}{job}.")
 AWARD_IDENTITY = ("Agency", "Branch", "Company", "Agency Tracking Number", "Contract", "Program", "Phase",
                   "Proposal Award Date", "Award Title")
 
@@ -56,13 +72,12 @@ def grant_projects(documents: DataFrame, cities: DataFrame, states: tuple[str, .
     located = in_region(rows, cities, "state", states).filter("title != '' AND appl_id != ''").withColumn(
         "id", F.concat(F.lit("nih:"), "appl_id", F.when(F.col("subproject") != "", F.concat(F.lit(":"), "subproject")).otherwise(""))).withColumn(
         "url", F.coalesce(F.nullif(_text(doc, "project_detail_url"), F.lit("")), F.concat(F.lit("https://reporter.nih.gov/project-details/"), "appl_id")))
-    fy = F.concat(F.lit("NIH RePORTER lists this as a FY"), "year", F.lit(" project funding record. Abstract: "), F.substring("abstract", 1, ABSTRACT))
-    bare = F.concat(F.lit("NIH RePORTER lists a FY"), "year", F.lit(" project funding record titled "), "title", F.lit(". The record has no abstract text."))
+    fy, bare = sentence(GRANT_TEXT, abstract=F.substring("abstract", 1, ABSTRACT)), sentence(GRANT_BARE)
+    funded = F.when(F.col("org") != "", F.col("org")).otherwise("the funded organization")
     works = located.select(
         "id", "title", F.lit("NIH-funded research project").alias("kind"), F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         iso_date(_text(doc, "project_start_date", "award_notice_date")).alias("work_date"), F.col("org").alias("organization"),
-        F.concat(F.lit("NIH RePORTER organization field lists "), F.when(F.col("org") != "", F.col("org")).otherwise("the funded organization"),
-                 F.lit(" in "), "city", F.lit(", "), "state", F.lit(" (org_city="), "city", F.lit("; org_state="), "state", F.lit(").")).alias("regional_evidence"),
+        sentence(GRANT_TIE, org=funded).alias("regional_evidence"),
         F.col("scope").alias("geography_scope"), F.when(F.col("abstract") != "", fy).otherwise(bare).alias("description"), "raw_path", "raw_sha256", "ord")
     listed = F.coalesce(P.part(doc, "principal_investigators"), P.part(doc, "principal_investigator"))
     everyone = F.when(P.is_object(listed), F.array(listed)).otherwise(F.from_json(P.canonical(listed), "array<variant>"))
@@ -76,8 +91,7 @@ def grant_projects(documents: DataFrame, cities: DataFrame, states: tuple[str, .
         F.col("id").alias("work_id"), full.alias("name"),
         F.when(contact, "principal investigator (contact PI)").otherwise("principal investigator").alias("role"), F.lit("").alias("person_url"),
         identifiers(nih_profile_id=_text(person, "profile_id", "profileId")).alias("identifiers"),
-        F.concat(F.lit("NIH RePORTER lists "), full, F.lit(" in the principal_investigators field for application "), "appl_id",
-                 F.lit(" (project "), "number", F.lit(", FY"), "year", F.lit(").")).alias("evidence"),
+        sentence(GRANT_CREDIT, name=full).alias("evidence"),
         F.col("url").alias("source_url"), F.struct("ord", "nth").alias("ord"))
     return accumulate(works, kept_credits(credits), last=True, credit_key=CREDIT_KEY)
 
@@ -95,11 +109,10 @@ def research_awards(documents: DataFrame, cities: DataFrame, states: tuple[str,
     works = located.select(
         "id", "title", F.lit("NSF research award").alias("kind"), F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         iso_date(_text(doc, "startDate", "date")).alias("work_date"), F.col("awardee").alias("organization"),
-        F.concat(F.lit("NSF award record lists performance location "), site, F.lit(", "), "place", F.lit(", "), "state",
-                 F.lit(" (perfCity="), "place", F.lit("; perfStateCode="), "state", F.lit(").")).alias("regional_evidence"),
+        sentence(AWARD_TIE, site=site).alias("regional_evidence"),
         F.col("scope").alias("geography_scope"),
-        F.when(F.col("abstract") != "", F.concat(F.lit("NSF award abstract: "), F.substring("abstract", 1, ABSTRACT)))
-        .otherwise(F.concat(F.lit("NSF records an award titled "), "title", F.lit("; no abstract text was returned."))).alias("description"),
+        F.when(F.col("abstract") != "", sentence(AWARD_TEXT, abstract=F.substring("abstract", 1, ABSTRACT)))
+        .otherwise(sentence(AWARD_BARE)).alias("description"),
         "raw_path", "raw_sha256", "ord")
     co = P.part(doc, "coPDPI")
     lead = F.array(F.struct(_text(doc, "pdPIName").alias("name"), F.lit(True).alias("lead")))
@@ -112,8 +125,7 @@ def research_awards(documents: DataFrame, cities: DataFrame, states: tuple[str,
         F.col("id").alias("work_id"), name.alias("name"),
         F.when(F.col("p.lead"), "principal investigator").otherwise("co-principal investigator").alias("role"), F.lit("").alias("person_url"),
         F.when(F.col("p.lead"), identifiers(nsf_pi_id=_text(doc, "piId"))).otherwise(no_identifiers()).alias("identifiers"),
-        F.concat(F.lit("NSF award "), "award", F.lit(" lists "), name, F.when(
-            F.col("p.lead"), F.lit(" as project director/principal investigator (pdPIName).")).otherwise(F.lit(" in the coPDPI field."))).alias("evidence"),
+        F.when(F.col("p.lead"), sentence(AWARD_LEAD, name=name)).otherwise(sentence(AWARD_CO, name=name)).alias("evidence"),
         F.col("url").alias("source_url"), F.struct("ord", "nth").alias("ord"))
     return accumulate(works, kept_credits(credits), last=True, credit_key=CREDIT_KEY)
 
@@ -150,18 +162,18 @@ def award_rows(rows: DataFrame, cities: DataFrame, states: tuple[str, ...], stat
     branch = F.when(c("Branch") != "", F.concat(F.lit(" / "), "Branch")).otherwise("")
     works = numbered.select(
         "id", c("Award Title").alias("title"),
-        F.trim(F.concat(F.lit("SBIR/STTR "), F.when(c("Program") != "", c("Program")).otherwise("award"), F.lit(" "), phase, F.lit(" funding award"))).alias("kind"),
+        F.trim(sentence(ROW_KIND, program=F.when(c("Program") != "", c("Program")).otherwise("award"), phase=phase)).alias("kind"),
         F.lit(source_url).alias("source_url"), F.lit(observed).alias("observed_at"), iso_date(c("Proposal Award Date")).alias("work_date"),
         c("Company").alias("organization"),
-        F.concat(F.lit("SBIR.gov award CSV lists the recipient company address as "), "city", F.lit(f", {state_code} (city="), "city", F.lit(f"; state={state_code}).")).alias("regional_evidence"),
+        sentence(ROW_TIE, code=F.lit(state_code)).alias("regional_evidence"),
         F.col("scope").alias("geography_scope"),
-        F.concat(F.lit("SBIR.gov lists an "), "Agency", branch, F.lit(" "), phase, F.lit(" "), "Program", F.lit(" award titled "), c("Award Title"), F.lit(" to "), "Company",
-                 F.lit(". The downloadable file does not include abstracts, so this record does not assert project results.")).alias("description"),
+        sentence(ROW_TEXT, agency=c("Agency"), branch=branch, phase=phase, program=c("Program"), title=c("Award Title"),
+                 company=c("Company")).alias("description"),
         F.lit(raw_path).alias("raw_path"), F.lit(raw_sha256).alias("raw_sha256"), F.col("pos").alias("ord"))
     job = F.when(c("PI Title") != "", F.concat(F.lit(" (PI Title: "), c("PI Title"), F.lit(")"))).otherwise("")
     credits = numbered.select(
         F.col("id").alias("work_id"), c("PI Name").alias("name"), F.lit("principal investigator").alias("role"), F.lit("").alias("person_url"),
         no_identifiers().alias("identifiers"),
-        F.concat(F.lit("The SBIR.gov award CSV names "), c("PI Name"), F.lit(" in its PI Name field for agency tracking number "), number, job, F.lit(".")).alias("evidence"),
+        sentence(ROW_CREDIT, name=c("PI Name"), number=number, job=job).alias("evidence"),
         F.lit(source_url).alias("source_url"), F.col("pos").alias("ord"))
     return accumulate(works, kept_credits(credits), last=True, credit_key=CREDIT_KEY)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import payload as P
 from ..functions.dates import has_timezone
-from ..functions.text import clean_html, compact_text, or_empty, squeeze
+from ..functions.text import clean_html, compact_text, or_empty, sentence, squeeze
 from ..functions.urls import last_segment, tail
 from ..sources import pages as H
 from .common import Lane, accumulate, identifiers, keep, no_identifiers
@@ -26,6 +26,15 @@ GROUP_REASON = ("OpenAlex author entity matches a known institution or has an ex
 AMBIGUOUS_REASON = ("Browse text contains comma-separated creator text whose individual name boundaries are ambiguous; "
                     "preserved unresolved instead of splitting by guesswork.")
 NO_TIME = "Cached response requires its original timezone-aware fetched_at"
+WORK_TIE = "OpenAlex records author-level institutional affiliation(s) on this work: {listed}."
+WORK_TEXT = "OpenAlex indexes this {kind}{from_year}."
+AUTHOR_CREDIT = "OpenAlex authorship lists {name} with {institutions} on this work."
+DEPOSIT_TIE = "Zenodo creator metadata lists this affiliation: {target}; named regional creator(s): {named}."
+DEPOSIT_CREDIT = "Zenodo lists {name} as a creator with affiliation {affiliation}."
+LISTING_CREDIT = "Repository metadata credits {name} as {role} on this thesis."
+INDEX_CREDIT = "Thesis listing credits {name} as author of this item."
+ROSTER_CREDIT = "Official lab page lists {name} as {role}."
+ROSTER_TIE = "The page is published under the official {organization} research domain."
 ABSTRACT, DEPOSIT_TEXT, THESIS_TEXT = 2000, 2000, 1500
 SECTION_WORDS = "team|member|alum|people|personnel|student|research assistant|director"
 CLOSING_WORDS = "research|project|contact|about|publication|join|news|funding|program"
@@ -111,13 +120,13 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
     year = or_empty(F.col("w.publication_year"))
     abstract = F.substring("abstract", 1, ABSTRACT)
     kind = F.coalesce(F.nullif(F.col("w.type"), F.lit("")), F.lit("publication"))
-    generic = F.concat(F.lit("OpenAlex indexes this "), compact_text(kind), F.when(year != "", F.concat(F.lit(" from "), year)).otherwise(""), F.lit("."))
+    generic = sentence(WORK_TEXT, kind=compact_text(kind), from_year=F.when(year != "", F.concat(F.lit(" from "), year)).otherwise(""))
     read = typed.join(regional, ["work_id", "ord"]).withColumn("abstract", abstract_text(F.col("w.abstract_inverted_index")))
     works = read.withColumn("abstract", compact_text(F.col("abstract"))).select(
         F.col("work_id").alias("id"), "title", kind.alias("kind"), F.col("w.id").alias("source_url"),
         F.col("observed").alias("observed_at"), F.coalesce(F.nullif(F.col("w.publication_date"), F.lit("")), year).alias("work_date"),
         listed.alias("organization"),
-        F.concat(F.lit("OpenAlex records author-level institutional affiliation(s) on this work: "), listed, F.lit(".")).alias("regional_evidence"),
+        sentence(WORK_TIE, listed=listed).alias("regional_evidence"),
         scope.alias("geography_scope"), F.when(abstract != "", abstract).otherwise(generic).alias("description"),
         "raw_path", "raw_sha256", F.struct(rank.alias("rank"), "ord").alias("ord"))
     placed = (
@@ -147,7 +156,7 @@ def merged_authorships(placed: DataFrame) -> DataFrame:
     merged = texts.groupBy("work_id", "person_url").agg(
         F.min_by("head", "order").alias("head"), F.min("told").alias("told"),
         F.array_sort(F.collect_list(F.struct("order", "institutions"))).alias("seen"))
-    first = F.concat(F.lit("OpenAlex authorship lists "), F.col("head.name"), F.lit(" with "), F.get("seen", F.lit(0))["institutions"], F.lit(" on this work."))
+    first = sentence(AUTHOR_CREDIT, name=F.col("head.name"), institutions=F.get("seen", F.lit(0))["institutions"])
     evidence = F.aggregate(F.slice("seen", F.lit(2), F.size("seen")), first, lambda text, s: F.when(
         F.contains(text, s["institutions"]), text).otherwise(F.concat(text, F.lit(" Also lists "), s["institutions"], F.lit("."))))
     role = F.when(F.col("told").isNotNull(), F.concat(F.lit("author ("), F.col("told.position"), F.lit(")"))).otherwise("author")
@@ -182,14 +191,14 @@ def deposits(responses: DataFrame) -> Lane:
     works = rows.select(
         F.col("work_id").alias("id"), "title", kind.alias("kind"), F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         or_empty(F.col("r.metadata.publication_date")).alias("work_date"), F.col("target").alias("organization"),
-        F.concat(F.lit("Zenodo creator metadata lists this affiliation: "), "target", F.lit("; named regional creator(s): "), named, F.lit(".")).alias("regional_evidence"),
+        sentence(DEPOSIT_TIE, named=named).alias("regional_evidence"),
         F.col("scope").alias("geography_scope"), F.substring(clean_html(F.col("r.metadata.description")), 1, DEPOSIT_TEXT).alias("description"),
         "raw_path", "raw_sha256", "ord")
     person = F.when(F.col("c.orcid") != "", F.concat(F.lit("https://orcid.org/"), "c.orcid")).otherwise("")
     credits = rows.select("work_id", "url", "ord", F.posexplode("creators").alias("nth", "c")).filter("c.name != ''").select(
         "work_id", F.col("c.name").alias("name"), F.lit("creator").alias("role"), person.alias("person_url"),
         identifiers(orcid=person).alias("identifiers"),
-        F.concat(F.lit("Zenodo lists "), "c.name", F.lit(" as a creator with affiliation "), "c.affiliation", F.lit(".")).alias("evidence"),
+        sentence(DEPOSIT_CREDIT, name=F.col("c.name"), affiliation=F.col("c.affiliation")).alias("evidence"),
         F.col("url").alias("source_url"), F.struct("ord", "nth").alias("ord")).withColumn(
         "who", F.when(F.col("person_url") != "", F.col("person_url")).otherwise(F.col("name")))
     return accumulate(works, credits, credit_key=("work_id", "who"))
@@ -226,7 +235,7 @@ def thesis_listing(pages: DataFrame, site: str, prefix: str, organization: str,
         "work_id", clean_html(F.regexp_extract("match", person, 2)).alias("name"), compact_text(F.regexp_extract("match", person, 3)).alias("role"),
         F.when(F.startswith(url, F.lit("https://")), url).otherwise(F.concat(F.lit(site), url)).alias("person_url"),
         no_identifiers().alias("identifiers"), "source_url", F.struct("ord", "nth").alias("ord")).filter("name != ''").withColumn(
-        "evidence", F.concat(F.lit("Repository metadata credits "), "name", F.lit(" as "), "role", F.lit(" on this thesis.")))
+        "evidence", sentence(LISTING_CREDIT))
     return accumulate(works, credits)
 
 
@@ -256,7 +265,7 @@ def thesis_index(pages: DataFrame, site: str, prefix: str, organization: str, sc
         F.lit(scope).alias("geography_scope"), F.lit(description).alias("description"), "raw_path", "raw_sha256", "ord")
     credits = numbered.select(F.col("id").alias("work_id"), "source_url", "ord", F.posexplode("split.names").alias("nth", "name")).select(
         "work_id", "name", F.lit("thesis author").alias("role"), F.lit("").alias("person_url"), no_identifiers().alias("identifiers"),
-        F.concat(F.lit("Thesis listing credits "), "name", F.lit(" as author of this item.")).alias("evidence"), "source_url",
+        sentence(INDEX_CREDIT).alias("evidence"), "source_url",
         F.struct("ord", "nth").alias("ord"))
     unresolved = numbered.filter("split.ambiguous").select(
         F.col("id").alias("work_id"), F.col("authors").alias("name"), "source_url", F.lit(AMBIGUOUS_REASON).alias("reason"), "ord")
@@ -284,7 +293,7 @@ def roster_credits(blocks: DataFrame) -> DataFrame:
         "work_id", "url", "role", "pos", F.posexplode(N.roster_names(F.col("text"))).alias("nth", "name"))
     rows = named.select(
         "work_id", "name", "role", F.lit("").alias("person_url"), no_identifiers().alias("identifiers"),
-        F.concat(F.lit("Official lab page lists "), "name", F.lit(" as "), "role", F.lit(".")).alias("evidence"),
+        sentence(ROSTER_CREDIT).alias("evidence"),
         F.col("url").alias("source_url"), F.struct("pos", "nth").alias("ord"))
     return keep(rows, ["work_id", "name"], "ord", False).drop("ord")
 
@@ -302,6 +311,6 @@ def roster_pages(pages: DataFrame) -> Lane:
     works = titled.select(
         work_id.alias("id"), title.alias("title"), "kind", F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         F.lit("").alias("work_date"), "organization",
-        F.concat(F.lit("The page is published under the official "), "organization", F.lit(" research domain.")).alias("regional_evidence"),
+        sentence(ROSTER_TIE).alias("regional_evidence"),
         F.col("scope").alias("geography_scope"), F.substring(or_empty(F.col("summary")), 1, 1800).alias("description"), "raw_path", "raw_sha256")
     return Lane(works, roster_credits(blocks.withColumn("work_id", work_id)))
