@@ -84,6 +84,7 @@ class EvidenceStore:
             {"sequence": (latest.sequence if latest else 0) + 1, "snapshot_id": snapshot_id,
              "created_at": datetime.now(timezone.utc).isoformat(), "adapter": ADAPTER, "files": files,
              "documents": documents, "tokens": tokens}, SNAPSHOTS, "snapshots")
+        self.tables.remove("staged", snapshot_id)
         return {"status": "refreshed", "snapshot_id": snapshot_id, "changes": counts}
 
     def _stage(self, source: str, snapshot_id: str) -> dict[str, DataFrame]:

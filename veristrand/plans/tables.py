@@ -29,6 +29,11 @@ class Tables:
         writer = frame.write.mode(mode)
         (writer.partitionBy(*by) if by else writer).parquet(self.path(*parts))
 
+    def remove(self, *parts: str) -> None:
+        """Delete an intermediate folder of this store."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(*parts))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def append_row(self, row: dict, schema: str, *parts: str) -> None:
         self.write(self.spark.createDataFrame([row], schema).coalesce(1), *parts, mode="append")
 
@@ -49,3 +54,4 @@ class Tables:
         numbered = rows.join(starts, "_file").select(
             (F.lit(start) + F.col("_before") + F.col("_row") + 1).cast("bigint").alias("sequence"), *frame.columns)
         self.write(numbered, *parts, mode="overwrite")
+        self.remove("staged", *parts)
