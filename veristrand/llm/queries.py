@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
-from . import chat, quality, sharding, tokens, urls
+from . import chat, jaccard, quality, sharding, tokens, urls
 
 catalog = Catalog()
 
@@ -94,3 +94,8 @@ def op8_token_counts(table):
 def op10_quality_rules(table):
     return quality.quality(table("documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@catalog.add("op9_ngram_jaccard")
+def op9_ngram_jaccard(table):
+    return jaccard.similar(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
