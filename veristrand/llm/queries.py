@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
-from . import chat, jaccard, quality, sharding, tokens, urls
+from . import chat, jaccard, lines, quality, sharding, tokens, urls
 
 catalog = Catalog()
 
@@ -99,3 +99,9 @@ def op10_quality_rules(table):
 @catalog.add("op9_ngram_jaccard")
 def op9_ngram_jaccard(table):
     return jaccard.similar(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+@catalog.add("op3_line_dedup")
+def op3_line_dedup(table):
+    cleaned = lines.dedup_lines(table("documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("cleaned").alias("cleaned_md5"))
