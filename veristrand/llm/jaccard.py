@@ -153,7 +153,7 @@ def similar(
             F.min("text_digest").alias("text_digest")).withColumn("id", F.monotonically_increasing_id()))
     postings = shared(sets.select("id", "n", F.posexplode("prefix").alias("at", "key")))
     # A hub's shared n-grams come early in its order: it has few of its own before them.
-    postings = checkpointed(postings.withColumn("rank", (F.col("at") * 1_000_000 / F.col("n")).cast("long")))
+    postings = checkpointed(postings.withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
 
     def admissible(x: str, y: str):
         n, m, i, j = (F.col(f"{s}.{c}") for s, c in ((x, "n"), (y, "n"), (x, "at"), (y, "at")))
