@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
-from . import chat, jaccard, lines, quality, sharding, tokens, urls
+from . import chat, jaccard, leaks, lines, quality, sharding, tokens, urls
 
 catalog = Catalog()
 
@@ -105,3 +105,11 @@ def op9_ngram_jaccard(table):
 def op3_line_dedup(table):
     cleaned = lines.dedup_lines(table("documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.md5("cleaned").alias("cleaned_md5"))
+
+
+@catalog.add("op7_benchmark_leaks")
+def op7_benchmark_leaks(table):
+    searched = leaks.leaks(table("documents").select("doc_id", "text"), table("benchmark"))
+    return searched.select("doc_id", F.explode("leaks").alias("leak")).select(
+        "doc_id", F.col("leak.item").alias("item_id"), F.col("leak.begin").alias("begin"),
+        F.col("leak.end").alias("end"), F.col("leak.edits").alias("edits"))
