@@ -218,14 +218,21 @@ class Encoder:
             at = match.end()
         return [*found, text[at:]]
 
-    def words(self, text: str) -> list[str]:
-        """The pre-tokens of a text without special strings."""
+    def normal(self, text: str) -> str:
         if not self.vocabulary.lowercase:
-            return split_words(text, SPACED_WORDS)
+            return text
         if not text.isascii():
             # Letters are lowered one at a time, so a sigma never becomes a final one.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return split_words(text.lower(), LOWER_WORDS)
+        return text.lower()
+
+    def runs(self, text: str) -> list[str]:
+        """What stands between spaces in a normalised text, where white space is dropped."""
+        return [r for r in self.normal(text).replace("\n", " ").split(" ") if r]
+
+    def words(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        return split_words(self.normal(text), LOWER_WORDS if self.vocabulary.lowercase else SPACED_WORDS)
 
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the vocabulary with word ends names no decoder."""

@@ -18,6 +18,7 @@ CACHED_WORDS = 300_000
 CACHED_LETTERS = 64
 _encoders: dict[str, Encoder] = {}
 _caches: dict[str, dict] = {}
+_lengths: dict[str, _Lengths] = {}
 
 
 def _encoder(path: str, vocabulary) -> Encoder:
@@ -27,8 +28,8 @@ def _encoder(path: str, vocabulary) -> Encoder:
     return _encoders[path]
 
 
-def _remembered(key: str) -> dict:
-    cache = _caches.setdefault(key, {})
+def _remembered(key: str, kind: type) -> dict:
+    cache = _caches.setdefault(key, kind())
     if len(cache) > CACHED_WORDS:
         cache.clear()
     return cache
@@ -71,35 +72,60 @@ def _mapped(docs: DataFrame, path: str, text: str, batch: int, form: str, added:
     return found.withColumns({n: F.col(f"_llm_encoded.{n}") for n in added}).drop("_llm_encoded")
 
 
+class _Runs(dict):
+    """Pieces by run; asked for a run it has not, it notes that and gives nothing."""
+
+    def __init__(self):
+        super().__init__()
+        self.unknown: set[str] = set()
+
+    def __missing__(self, run: str) -> None:
+        self.unknown.add(run)
+
+
 def _encoded(encoder: Encoder, path: str, texts: list, shape) -> list[tuple]:
-    """Speculate, verify and merge for the words not met before, then assemble each text."""
-    cache = _remembered(path)
-    special = encoder.vocabulary.special
-    split = [[(p in special, [p] if p in special else encoder.words(p)) for p in encoder.pieces(t or "")] for t in texts]
-    unknown = list({w for pieces in split for own, words in pieces if not own for w in words if w not in cache})
-    fresh = dict(zip(unknown, map(tuple, encoder.encode_words(unknown)[0]))) if unknown else {}
-    once = {w: t for w, t in fresh.items() if len(w) > CACHED_LETTERS}
-    cache.update((w, _piece(encoder, t)) for w, t in fresh.items() if w not in once)
-    once = {w: _piece(encoder, t) for w, t in once.items()}
-    rows = []
-    for pieces in split:
-        parts = []
-        for own, words in pieces:
-            if own:
-                parts.append(_piece(encoder, (special[words[0]],)))
-            else:
-                parts += [cache[w] if w in cache else once[w] for w in words] if once else [cache[w] for w in words]
-        rows.append(shape(parts))
+    """Speculate, verify and merge for the words not met before, then assemble each text.
+
+    White space separates words and is dropped, so a run between spaces has its own tokens
+    whatever stands around it, and is remembered as a whole.
+    """
+    runs, words = _remembered(path, _Runs), _remembered(f"{path} words", dict)
+    special, split = encoder.vocabulary.special, []
+    for text in texts:
+        for piece in encoder.pieces(text or ""):
+            own = piece in special
+            names = [piece] if own else encoder.runs(piece)
+            split.append((False, names, [_piece(encoder, (special[piece],))] if own else list(map(runs.__getitem__, names))))
+        split.append((True, None, None))
+    unknown = {r: encoder.words(r) for r in runs.unknown}
+    runs.unknown.clear()
+    fresh = list({w for ws in unknown.values() for w in ws if w not in words})
+    found = dict(zip(fresh, (_piece(encoder, t) for t in encoder.encode_words(fresh)[0]))) if fresh else {}
+    built = {r: _joined([words[w] if w in words else found[w] for w in ws]) for r, ws in unknown.items() if ws}
+    words.update((w, p) for w, p in found.items() if len(w) <= CACHED_LETTERS)
+    rows, parts = [], []
+    for ended, names, pieces in split:
+        if ended:
+            rows.append(shape(parts))
+            parts = []
+        elif None in pieces:  # runs of white space alone are in no table and add nothing
+            parts += [p or built[n] for n, p in zip(names, pieces) if p or n in built]
+        else:
+            parts += pieces
+    runs.update((r, p) for r, p in built.items() if len(r) <= CACHED_LETTERS)
     return rows
 
 
+def _joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
+    return parts[0] if len(parts) == 1 else (" ".join([p[0] for p in parts]), " ".join([p[1] for p in parts]))
+
+
 def _piece(encoder: Encoder, tokens: tuple[int, ...]) -> tuple[str, str]:
     return " ".join(map(str, tokens)), encoder.decode(tokens)
 
 
 def _digest(parts: list[tuple[str, str]]) -> tuple[int, str, str]:
-    ids = " ".join([p[0] for p in parts])
-    decoded = " ".join([p[1] for p in parts])
+    ids, decoded = map(" ".join, zip(*parts)) if parts else ("", "")
     return (
         ids.count(" ") + 1 if ids else 0,
         hashlib.sha256(ids.encode()).hexdigest(),
@@ -127,50 +153,71 @@ def decode(frame: DataFrame, path: str, ids: str = "ids", *, text: str = "decode
 def frequent_lengths(
     docs: DataFrame, path: str, text: str = "text", *, entries: int = 32_768, per_task: int = 4_096,
 ) -> dict[str, int]:
-    """Token counts of the most frequent pre-tokens of all texts, at most ``entries``.
+    """Token counts of the most frequent space-led words of all texts, at most ``entries``.
 
-    Each task counts its own pre-tokens in bounded memory (the rarer half goes whenever
+    Each task counts its own words in bounded memory (the rarer half goes whenever
     there are too many) and hands on one summary of at most ``per_task`` rows; only the
     summaries meet, so no pre-token of a text is shuffled. The table only saves time: a
-    pre-token that is missing here gets its length from its worker's cache.
+    word that is missing here gets its length from its worker's cache.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
     def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path, vocabulary)
+        special = _encoder(path, vocabulary).special
         counts: Counter[str] = Counter()
         for frame in batches:
             for value in frame["text"]:
-                for piece in encoder.pieces(value or ""):
-                    if piece not in encoder.vocabulary.special:
-                        counts.update(w for w in encoder.words(piece) if len(w) <= CACHED_LETTERS)
+                counts.update((special.sub(" ", value) if special else value).split(" ") if value else ())
                 if len(counts) > CACHED_WORDS:
                     counts = Counter(dict(counts.most_common(CACHED_WORDS // 2)))
-        top = counts.most_common(per_task)
+        top = [(w, n) for w, n in counts.most_common(per_task) if len(w) <= CACHED_LETTERS]
         yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
 
     words = [r["word"] for r in (
         docs.select(F.col(text).alias("text")).mapInPandas(summaries, "word string, n long")
         .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(entries).collect())]
-    return dict(zip(words, map(len, Encoder(vocabulary.value).encode_words(words)[0])))
+    lengths = _Lengths(Encoder(vocabulary.value), {})
+    return {w: lengths[w] for w in words}
 
 
 class _Lengths(dict):
-    """Lengths by pre-token: the frequent ones always, the others as long as there is room."""
+    """Lengths of a space and what follows up to the next one: the frequent always, others while there is room.
+
+    A space before another character begins a pre-token, so such a run is whole pre-tokens,
+    whatever stands around it.
+    """
 
     def __init__(self, encoder: Encoder, frequent: dict[str, int]):
         super().__init__(frequent)
         self.encoder, self.frequent = encoder, frequent
+        self.own: dict[str, int] = {}
 
-    def __missing__(self, word: str) -> int:
-        length = len(self.encoder.merge(word))
-        if len(word) <= CACHED_LETTERS:
+    def __missing__(self, run: str) -> int:
+        length = sum(map(self._length, self.encoder.words(" " + run)))
+        if len(run) <= CACHED_LETTERS and "\n" not in run:
             if len(self) > CACHED_WORDS + len(self.frequent):
                 self.clear()
                 self.update(self.frequent)
-            self[word] = length
+            self[run] = length
         return length
 
+    def _length(self, word: str) -> int:
+        length = self.own.get(word)
+        if length is None:
+            length = len(self.encoder.merge(word))
+            if len(word) <= CACHED_LETTERS:
+                if len(self.own) > CACHED_WORDS:
+                    self.own.clear()
+                self.own[word] = length
+        return length
+
+    def of(self, text: str) -> int:
+        """The tokens of a text without special strings."""
+        if "  " in text or text.endswith(" "):  # spaces in a row make pre-tokens of their own
+            return sum(map(self._length, self.encoder.words(text)))
+        first, *runs = text.split(" ")
+        return sum(map(self.__getitem__, runs), sum(map(self._length, self.encoder.words(first))))
+
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", *, count: str = "n_tokens", **bounds: int) -> DataFrame:
     """``docs`` plus the number of tokens of each whole text; a null or empty text has none.
@@ -183,16 +230,13 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", *, count: str =
     @F.pandas_udf("long")
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoder(path, vocabulary)
-        lengths = _caches.get(("lengths", path, table.id if hasattr(table, "id") else 0))
-        if lengths is None:
-            for key in [k for k in _caches if k[0] == "lengths"]:
-                del _caches[key]
-            lengths = _Lengths(encoder, table.value)
-            _caches["lengths", path, table.id if hasattr(table, "id") else 0] = lengths
-        length, special = lengths.__getitem__, encoder.vocabulary.special
+        lengths = _lengths.get(path)
+        if lengths is None or lengths.frequent is not table.value:
+            lengths = _lengths[path] = _Lengths(encoder, table.value)
+        special = encoder.vocabulary.special
         for series in batches:
             yield pd.Series([
-                sum(1 if p in special else sum(map(length, encoder.words(p))) for p in encoder.pieces(t or ""))
+                sum(1 if p in special else lengths.of(p) for p in encoder.pieces(t or ""))
                 for t in series], dtype="int64")
 
     return docs.withColumn(count, counted(F.col(text)))
