@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
 from . import words
 from .linking import classes, shared
+from .staging import staged
 
 #: The global order of n-grams is cut into this many fragments.
 FRAGMENTS = 8
@@ -127,9 +127,11 @@ def segments(texts: DataFrame, size: int, frequent) -> DataFrame:
 
 def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
     """The pairs ``a``, ``b`` with ``overlap``: partial overlaps counted per fragment, then summed."""
-    left = cut.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("_left"))
-    right = cut.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("_right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
+    dealt = cut.repartition("id", "fragment")
+    left = dealt.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("_left"))
+    right = dealt.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("_right"))
+    asked = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    partial = asked.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select(
         "a", "b", F.size(F.array_intersect("_left", "_right")).alias("_partial"))
     return partial.groupBy("a", "b").agg(F.sum("_partial").alias("overlap"))
 
@@ -137,23 +139,23 @@ def overlaps(pairs: DataFrame, cut: DataFrame) -> DataFrame:
 def similar(
     docs: DataFrame, *, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``text_digest``, ``n_shingles``, ``component_id``.
+    """One row per document: ``doc_id``, ``text_digest``, ``n_shingles``, ``class``, ``component_id``.
 
     Two documents link when ``100 * overlap >= percent * union`` of their sets of word n-grams;
-    a component's id is the smallest document id in it. Equal sets are one vertex, so copies
+    linked documents have one ``class``, and a component's id is the smallest document id in it. Equal sets are one vertex, so copies
     are never compared. A null or blank text has an empty set and links with nothing: its
     component is its own id. Rows that repeat an id are rows of their own; a null id
     never names a component that has another. An empty table gives no rows.
     """
     frequent = frequent_ngrams(docs, size, text=text)
-    signed = checkpointed(signatures(docs, size, percent, frequent, key=key, text=text))
-    sets = checkpointed(
+    signed = staged(signatures(docs, size, percent, frequent, key=key, text=text))
+    sets = staged(
         signed.filter("set_digest IS NOT NULL").groupBy("set_digest").agg(
             F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
             F.min("text_digest").alias("text_digest")).withColumn("id", F.monotonically_increasing_id()))
     postings = shared(sets.select("id", "n", F.posexplode("prefix").alias("at", "key")))
     # A hub's shared n-grams come early in its order: it has few of its own before them.
-    postings = checkpointed(postings.withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
+    postings = staged(postings.withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
 
     def admissible(x: str, y: str):
         n, m, i, j = (F.col(f"{s}.{c}") for s, c in ((x, "n"), (y, "n"), (x, "at"), (y, "at")))
@@ -161,11 +163,13 @@ def similar(
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
             F.least(n - i, m - j) >= needed)
 
-    wanted = sets.join(postings.select("id").distinct(), "id", "left_semi").select("id", "text_digest")
-    cut = checkpointed(segments(_texts_of(docs, wanted, text), size, frequent))
     numbers = sets.select("id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        # Only texts in a pair are cut again; no n-gram of another text is ever shuffled.
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = _texts_of(docs, sets.select("id", "text_digest").join(wanted, "id", "left_semi"), text)
+        cut = staged(segments(texts, size, frequent))
         sized = overlaps(pairs, cut).join(numbers.withColumnsRenamed({"id": "a", "n": "_n"}), "a").join(
             numbers.withColumnsRenamed({"id": "b", "n": "_m"}), "b")
         return sized.filter(100 * F.col("overlap") >= percent * (F.col("_n") + F.col("_m") - F.col("overlap"))).select("a", "b")
@@ -173,19 +177,39 @@ def similar(
     roots = classes(postings, verify, admissible)
     named = sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    decided = named.join(first, "root").select("set_digest", "component_id")
+    decided = named.join(first, "root").select("set_digest", F.col("root").alias("class"), "component_id")
     return signed.join(decided, "set_digest", "left").select(
-        "doc_id", "text_digest", F.col("n").alias("n_shingles"),
+        "doc_id", "text_digest", F.col("n").alias("n_shingles"), "class",
         F.when(F.col("set_digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each class: the one with the smallest id, then the smallest digest.
+
+    Documents without words stay; rows that repeat both id and text are one document.
+    """
+    found = similar(docs, size=size, percent=percent, key=key, text=text)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_digest")
+    chosen = found.filter("class IS NOT NULL").groupBy("class").agg(F.min(order).alias("o")).select("o.doc_id", "o.text_digest")
+    stay = chosen.unionByName(found.filter("class IS NULL").select("doc_id", "text_digest"))
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    return docs.withColumn("_llm_own", _identity(F.col(key), digest)).join(
+        stay.select(_identity(F.col("doc_id"), F.col("text_digest")).alias("_llm_own")), "_llm_own", "left_semi"
+    ).dropDuplicates(["_llm_own"]).drop("_llm_own")
+
+
+def _identity(key: Column, digest: Column) -> Column:
+    """One value for an id, null or not, and a text: spreads copies of a text over all tasks."""
+    return F.md5(F.concat_ws(":", key.isNull().cast("string"), key.cast("string"), digest))
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     """``id`` and ``text`` of the wanted digests, one text each.
 
     The wanted rows go to the texts while there are few of them; otherwise both are shuffled.
     """
     digested = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_digest"), F.col(text).alias("text"))
-    wanted = checkpointed(wanted)
+    wanted = staged(wanted)
     if wanted.count() <= WANTED:
         wanted = F.broadcast(wanted)
     return digested.join(wanted, "text_digest").dropDuplicates(["id"])

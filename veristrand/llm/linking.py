@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from .staging import staged
 
 Admissible = Callable[[str, str], Column]
 
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
     they are shuffled, and the joins back on a busy id can be split, so a hub costs no task
     more than its share. Each round is cut off on shared storage.
     """
-    edges = checkpointed(
+    edges = staged(
         links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = _mark(edges)
     while mark[0]:
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
         met = large.join(least, "u")
         small = met.select("u", F.col("m").alias("v")).unionByName(
             met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = checkpointed(small.filter("u <> v").distinct())
+        edges = staged(small.filter("u <> v").distinct())
         before, mark = mark, _mark(edges)
         if mark == before:
             break
@@ -62,25 +62,25 @@ def classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], admis
     costs a comparison per member instead of one per pair.
     """
     admissible = admissible or (lambda x, y: F.lit(True))
-    postings = checkpointed(postings)
+    postings = staged(postings)
     hubs = postings.groupBy("key").agg(F.min_by("id", "rank").alias("hub")).select("key", "hub")
     hub_rows = postings.join(hubs, "key").filter("id = hub").drop("hub")
     first = _pairs(postings, hub_rows, admissible, F.col("x.id") != F.col("y.id"))
-    links = checkpointed(verify(checkpointed(first)))
+    links = staged(verify(staged(first)))
     roots = components(links)
-    placed = checkpointed(
+    placed = staged(
         postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"))
     mixed = sizes.groupBy("key").agg(
         F.max_by("root", F.struct("_n", "root")).alias("_top"), F.count(F.lit(1)).alias("_roots")
     ).filter("_roots > 1").select("key", "_top")
-    open_rows = checkpointed(placed.join(mixed, "key"))
+    open_rows = staged(placed.join(mixed, "key"))
     strangers = open_rows.filter("root <> _top")
     # Two strangers meet from either side; the pair is made once.
     apart = (F.col("x.root") != F.col("y.root")) & (
         (F.col("y.root") == F.col("y._top")) | (F.col("x.id") < F.col("y.id")))
     rest = _pairs(strangers, open_rows, admissible, apart).join(first, ["a", "b"], "left_anti")
-    more = checkpointed(verify(checkpointed(rest)))
+    more = staged(verify(staged(rest)))
     if more.isEmpty():
         return roots
     return components(links.unionByName(more))

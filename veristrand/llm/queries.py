@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
-from . import chat, jaccard, leaks, lines, quality, sharding, tokens, urls
+from . import chat, classlm, jaccard, leaks, lines, quality, sharding, tokens, urls
 
 catalog = Catalog()
 
@@ -113,3 +113,13 @@ def op7_benchmark_leaks(table):
     return searched.select("doc_id", F.explode("leaks").alias("leak")).select(
         "doc_id", F.col("leak.item").alias("item_id"), F.col("leak.begin").alias("begin"),
         F.col("leak.end").alias("end"), F.col("leak.edits").alias("edits"))
+
+
+@catalog.add("op6_class_lm")
+def op6_class_lm(table):
+    docs = table("documents").select("doc_id", "text")
+    model = classlm.train(docs.filter(classlm.in_training(F.col("doc_id"))).select("text"))
+    scored = classlm.score(docs, model)
+    return scored.select(
+        "doc_id", (~classlm.in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")

@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,7 +135,7 @@ def _digest(parts: list[tuple[str, str]]) -> tuple[int, str, str]:
 
 
 def _ids(parts: list[tuple[str, str]]) -> tuple[list[int]]:
-    return ([int(i) for p in parts for i in p[0].split()],)
+    return (np.fromstring(" ".join([p[0] for p in parts]), np.int32, sep=" "),)
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", *, text: str = "decoded") -> DataFrame:
