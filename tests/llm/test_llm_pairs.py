@@ -124,8 +124,11 @@ def brute_lines(docs):
             line = line.strip(" \t\n\x0b\x0c\r").lower()
             if line:
                 places.append((doc, place, index.setdefault(line, len(index))))
-    sets = [{x[i : i + 5] for i in range(len(x) - 4)} or {x} for x in index]
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    sets = []
+    for line in index:
+        starts = [line[i : i + 12] for i in range(len(line) - 11) if line[i] != " " and (i == 0 or line[i - 1] == " ")]
+        sets.append(set(starts) if len(starts) >= 4 else {line[i : i + 12] for i in range(len(line) - 11)} or {line})
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9]
     root = classes_of(len(sets), links)
     first = {}
     for doc, place, line in sorted(places):

@@ -48,7 +48,8 @@ def _mark(edges: DataFrame) -> tuple:
 def shared(postings: DataFrame) -> DataFrame:
     """The postings whose key at least two ids hold."""
     held = postings.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key")
-    return postings.join(held, "key", "left_semi")
+    # Most keys are held once, so the table of the others is small beside the postings: no need to sort those.
+    return postings.join(held.hint("shuffle_hash"), "key", "left_semi")
 
 
 def classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], admissible: Admissible | None = None) -> DataFrame:
