@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .linking import classes, shared
-from .staging import staged
+from .staging import staged, told
 
 #: The global order of n-grams is cut into this many fragments.
 FRAGMENTS = 8
@@ -20,8 +20,8 @@ FRAGMENTS = 8
 FREQUENT = 1 << 18
 #: N-grams that one task counts at a time.
 COUNTED = 1 << 22
-#: Up to so many wanted texts their digests are sent to every task; beyond, both sides are shuffled.
-WANTED = 1 << 17
+#: Tables of up to so many rows (of some fifty bytes) are sent to every task; beyond, both sides are shuffled.
+TOLD = 1 << 18
 
 
 def ngram_sets(texts: list, size: int) -> Iterator[np.ndarray]:
@@ -148,12 +148,16 @@ def similar(
     never names a component that has another. An empty table gives no rows.
     """
     frequent = frequent_ngrams(docs, size, text=text)
-    signed = staged(signatures(docs, size, percent, frequent, key=key, text=text))
+    signed = staged(signatures(docs, size, percent, frequent, key=key, text=text).withColumn(
+        "row", F.monotonically_increasing_id()))
+    # A set is named by one of its rows, so its prefix is read from there and not carried along.
     sets = staged(
         signed.filter("set_digest IS NOT NULL").groupBy("set_digest").agg(
-            F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"),
-            F.min("text_digest").alias("text_digest")).withColumn("id", F.monotonically_increasing_id()))
-    postings = shared(sets.select("id", "n", F.posexplode("prefix").alias("at", "key")))
+            F.min("row").alias("id"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"),
+            F.min("text_digest").alias("text_digest")))
+    named = told(sets.select(F.col("id").alias("row")), TOLD)
+    postings = shared(signed.join(named, "row", "left_semi").select(
+        F.col("row").alias("id"), "n", F.posexplode("prefix").alias("at", "key")))
     # A hub's shared n-grams come early in its order: it has few of its own before them.
     postings = staged(postings.withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
 
@@ -175,9 +179,9 @@ def similar(
         return sized.filter(100 * F.col("overlap") >= percent * (F.col("_n") + F.col("_m") - F.col("overlap"))).select("a", "b")
 
     roots = classes(postings, verify, admissible)
-    named = sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    decided = named.join(first, "root").select("set_digest", F.col("root").alias("class"), "component_id")
+    rooted = sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    decided = rooted.join(first, "root").select("set_digest", F.col("root").alias("class"), "component_id")
     return signed.join(decided, "set_digest", "left").select(
         "doc_id", "text_digest", F.col("n").alias("n_shingles"), "class",
         F.when(F.col("set_digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
@@ -204,12 +208,6 @@ def _identity(key: Column, digest: Column) -> Column:
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
-    """``id`` and ``text`` of the wanted digests, one text each.
-
-    The wanted rows go to the texts while there are few of them; otherwise both are shuffled.
-    """
+    """``id`` and ``text`` of the wanted digests, one text each."""
     digested = docs.select(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_digest"), F.col(text).alias("text"))
-    wanted = staged(wanted)
-    if wanted.count() <= WANTED:
-        wanted = F.broadcast(wanted)
-    return digested.join(wanted, "text_digest").dropDuplicates(["id"])
+    return digested.join(told(staged(wanted), TOLD), "text_digest").dropDuplicates(["id"])

@@ -16,14 +16,12 @@ def components(links: DataFrame) -> DataFrame:
     """``id`` and ``root`` (the smallest id reachable) of every id in the links ``a``, ``b``.
 
     Distributed union-find by alternating stars: every id hands its larger neighbours to its
-    smallest neighbour, then its smaller ones, until nothing changes. Minima combine before
-    they are shuffled, and the joins back on a busy id can be split, so a hub costs no task
-    more than its share. Each round is cut off on shared storage.
+    smallest neighbour, then its smaller ones, until each id points to one root. Minima combine
+    before they are shuffled, and the joins back on a busy id can be split, so a hub costs no
+    task more than its share. Each round is cut off on shared storage.
     """
-    edges = staged(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = _mark(edges)
-    while mark[0]:
+    edges = staged(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _flat(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
         large = both.filter("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,16 +31,16 @@ def components(links: DataFrame) -> DataFrame:
         small = met.select("u", F.col("m").alias("v")).unionByName(
             met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
         edges = staged(small.filter("u <> v").distinct())
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
         edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Changes whenever the set of edges does."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether every id points to one other at most, which itself points nowhere."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    seen = ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return seen.filter("out > 1 OR out = 1 AND into = 1").isEmpty()
 
 
 def shared(postings: DataFrame) -> DataFrame:
@@ -55,7 +53,7 @@ def shared(postings: DataFrame) -> DataFrame:
 def classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], admissible: Admissible | None = None) -> DataFrame:
     """``id`` and ``root`` of all ids that verified links connect.
 
-    ``postings`` has key, id, rank and what ``admissible`` needs; a pair is a candidate when it
+    ``postings``, a stored table, has key, id, rank and what ``admissible`` needs; a pair is a candidate when it
     shares a key and is admissible. First every key's holders are compared with the one of
     lowest rank (its hub) alone. What that connects needs no further comparison; every key
     that still holds several classes then compares each holder outside its largest class with
@@ -63,11 +61,10 @@ def classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], admis
     costs a comparison per member instead of one per pair.
     """
     admissible = admissible or (lambda x, y: F.lit(True))
-    postings = staged(postings)
-    hubs = postings.groupBy("key").agg(F.min_by("id", "rank").alias("hub")).select("key", "hub")
-    hub_rows = postings.join(hubs, "key").filter("id = hub").drop("hub")
-    first = _pairs(postings, hub_rows, admissible, F.col("x.id") != F.col("y.id"))
-    links = staged(verify(staged(first)))
+    own = [c for c in postings.columns if c != "key"]
+    hubs = postings.groupBy("key").agg(F.min_by(F.struct(*own), "rank").alias("hub")).select("key", "hub.*")
+    first = staged(_pairs(postings, hubs, admissible, F.col("x.id") != F.col("y.id")))
+    links = staged(verify(first))
     roots = components(links)
     placed = staged(
         postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -19,3 +20,8 @@ def staged(frame: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def told(frame: DataFrame, most: int) -> DataFrame:
+    """Sent to every task while a stored table has few rows; beyond that, joins shuffle both sides."""
+    return F.broadcast(frame) if frame.count() <= most else frame
