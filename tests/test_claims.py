@@ -5,7 +5,7 @@ import pytest
 
 from veristrand.operators import claims as C
 from veristrand.operators import feed as feeds
-from veristrand.plans.evidence import JOBS, LINKS, RESPONSES, ChangeFeed, Evidence
+from veristrand.plans.evidence import EVENTS, JOBS, LINKS, RESPONSES, ChangeFeed, Evidence
 
 
 def author(latest="I2", later=2025, **extra):
@@ -145,8 +145,9 @@ def test_feed_takes_several_responses_per_job_in_one_sync(spark, evidence):
     assert [(e["response_id"], e["before"], e["after"]) for e in events if e["predicate"] == "self_reported_bio"] == [
         (1, [], ['"a"']), (2, ['"a"'], ['"b"']), (4, ['"b"'], ['"c"'])]
     assert [e["sequence"] for e in events] == [1, 2, 3, 4]
-    narrow = feeds.claim_changes(evidence.responses(), evidence.claims(), evidence.jobs(),
-                                 spark.createDataFrame([], "job_id bigint, response_id bigint"), width=2)
+    nothing = spark.createDataFrame([], "job_id bigint, response_id bigint")
+    pending = feeds.pending_responses(evidence.responses(), evidence.claims(), nothing)
+    narrow = feeds.claim_changes(evidence.responses(), evidence.claims(), evidence.jobs(), pending, width=2)
     assert [r.sequence for r in feeds.sequenced(narrow, 10, width=2).orderBy("response_id", "predicate").collect()] == [11, 12, 13, 14]
     assert narrow.count() == 4
 
@@ -168,14 +169,34 @@ def test_in_flight_response_is_not_lost_and_late_one_is_ignored(spark, evidence)
     assert feed.read(events[-1]["sequence"])["events"] == []
 
 
-def test_repeated_batch_rewrites_itself(evidence):
+def test_repeated_batch_changes_nothing(evidence):
     evidence.job(1, "github-profile", "fixture")
     evidence.respond(1, {"login": "fixture", "id": 1})
     feed = ChangeFeed(evidence)
-    assert feed.sync(batch_id=0) == 1 and feed.sync(batch_id=0) == 1
+    assert feed.sync("b-0") == 1 and feed.sync("b-0") == 1
     assert feed.events().count() == 1
 
 
+def test_plain_and_named_batches_number_every_event_once(spark, evidence):
+    """Reads, plain syncs, named batches, a repeated batch and one that died before its commit."""
+    evidence.job(1, "github-profile", "fixture")
+    feed, seen = ChangeFeed(evidence), []
+    for number, bio in enumerate("abcdef"):
+        evidence.respond(1, {"login": "fixture", "id": 1, "bio": bio})
+        if number == 4:  # written, but never committed
+            feed.tables.write(spark.createDataFrame([], EVENTS).drop("batch"), "feed_events", "batch=s-4")
+            feed.tables.write(spark.createDataFrame([(1, 99)], "job_id bigint, response_id bigint"), "feed_heads", "batch=s-4")
+        if number % 2:
+            feed.read()
+        else:
+            assert feed.sync(f"s-{number}") == (2 if number == 0 else 1)
+            assert feed.sync("s-0") == 2
+        events = feed.read(limit=5000)["events"]
+        assert events[: len(seen)] == seen and [e["sequence"] for e in events] == list(range(1, len(events) + 1))
+        seen = events
+    assert [e["after"] for e in seen if e["predicate"] == "self_reported_bio"] == [[f'"{b}"'] for b in "abcdef"]
+
+
 def test_seeding_counts_new_tasks_only(spark, evidence):
     profiles = spark.createDataFrame([
         ("p1", json.dumps({"external_ids": json.dumps({"openalex": "https://openalex.org/A1", "github": "Demo"})})),
@@ -184,7 +205,7 @@ def test_seeding_counts_new_tasks_only(spark, evidence):
         ("p4", json.dumps({})),
         ("p5", json.dumps({"external_ids": {"openalex": "bad"}}))], "profile_id string, payload string")
     evidence.job(1, "github-profile", "demo")
-    tasks = [tuple(r) for r in C.seed_tasks(profiles, evidence.jobs()).collect()]
+    tasks = sorted(tuple(r) for r in C.seed_tasks(profiles, evidence.jobs()).collect())
     assert tasks == [("p1", 0, "openalex-author", "A1"), ("p1", 2, "github-repos", "demo")]
     assert C.seed_tasks(profiles, evidence.jobs(), limit=1).count() == 1
     listed = C.identifier_tasks(profiles)

@@ -36,10 +36,29 @@ def test_streamed_feed_equals_the_batch_feed(spark, tmp_path):
     whole = ChangeFeed(batch)
     whole.sync()
     assert contents(feed) == contents(whole) and len(contents(feed)) == 4
-    feed.sync(batch_id=1)
+    feed.sync("stream-1", archived="stream-1")
+    feed.sync()
     assert contents(feed) == contents(whole)
 
 
+def test_plain_reads_beside_a_stream_lose_and_double_nothing(spark, tmp_path):
+    source, state = str(tmp_path / "in"), str(tmp_path / "state")
+    evidence = Evidence(spark, str(tmp_path / "e"))
+    job(evidence, 1, "github-profile", "fixture")
+    feed, first = ChangeFeed(evidence), bodies("xy")
+    for number, raw in enumerate(first):
+        evidence.archive(spark.createDataFrame([(number + 1, 1, 1.0, "https://example.org", "h", bytearray(raw), "1")], RESPONSES))
+        feed.sync()
+    drop(spark, source, 3, bodies("yz"))
+    run_feed(evidence, feed, response_stream(evidence, source), state).awaitTermination()
+    assert feed.read()["cursor"] == 4
+    drop(spark, source, 5, bodies("w"))
+    run_feed(evidence, feed, response_stream(evidence, source), state).awaitTermination()
+    rows = contents(feed)
+    assert [r[0] for r in rows] == [1, 2, 3, 4, 5]
+    assert [r[5] for r in rows if r[2] == "self_reported_bio"] == [['"x"'], ['"y"'], ['"z"'], ['"w"']]
+
+
 def test_streamed_cycles_evaluate_subscriptions(spark, tmp_path, write_jsonl):
     person = {"record_id": "p1", "name": "Fictional Person", "source_url": "https://example.org/person", "regional_evidence": "x"}
     store = build(spark, tmp_path, write_jsonl, [person])

@@ -111,8 +111,10 @@ def test_observations_keep_their_own_affiliation_and_profiles_roll_up(batch, tmp
     assert person["record_id"] == "person_" + hashlib.sha256(identity.encode()).hexdigest()[:24]
     assert person["organization"] == "Another University; Example University" and person["role"] == "adviser; designer"
     assert person["regional_evidence"] == "Fictional regional project\nAnother affiliation"
-    assert person["expertise"].splitlines()[0] == f"Fictional prototype — designer: {RAW.decode()} A fictional test fixture"
-    assert [d["contribution"]["role"] for d in person["discovered_work"]] == ["designer", "adviser"]
+    listed = sorted(batch.exported("export", "credits"), key=lambda c: (c["order"]["run"], c["order"]["pos"]))
+    assert listed[0]["expertise"] == f"Fictional prototype — designer: {RAW.decode()} A fictional test fixture"
+    assert [c["contribution"]["role"] for c in listed] == ["designer", "adviser"] and person["discovered_work_count"] == 2
+    assert {c["record_id"] for c in listed} == {person["record_id"]} and [c["work"]["id"] for c in listed][1] == "second-work"
     assert person["collector"] == "university" and person["work_discovery"] is True
 
 
@@ -128,21 +130,21 @@ def test_reexport_is_stable_and_keeps_base_fields(batch, tmp_path, spark):
     assert [second[k] for k in ("people", "evidence", "connections")] == [first[k] for k in ("people", "evidence", "connections")]
     row = batch.exported("two", "people")[0]
     assert {k: row[k] for k in profile} == profile
-    assert row["discovered_work"][0]["contribution"]["role"] == "designer"
+    assert row["discovered_work_count"] == 1
+    assert batch.exported("two", "credits")[0]["contribution"]["role"] == "designer"
 
 
-def test_very_large_profiles_are_split_whole(batch, tmp_path, monkeypatch):
-    monkeypatch.setattr(W, "ENTRIES_PER_ROW", 3)
+@pytest.mark.parametrize("size", [1, 10])
+def test_profiles_have_one_form_at_every_size(batch, tmp_path, size):
     store = batch.store(ORIGINAL)
-    credits = [{**CREDIT, "person_url": "https://example.org/person", "role": f"role {i}"} for i in range(10)]
+    credits = [{**CREDIT, "person_url": "https://example.org/person", "role": f"role {i}"} for i in range(size)]
     batch.write(credits=credits).ingest()
     counts = batch.archive.export(store, str(tmp_path / "export"))
-    assert counts["people"] == 2 and counts["evidence"] == 10
+    assert counts["people"] == 2 and counts["evidence"] == counts["credits"] == size
     person = next(p for p in batch.exported("export", "people") if p["record_id"] != "original")
-    parts = [person, *batch.exported("export", "people-parts")]
-    assert person["discovered_work_parts"] == 4
-    roles = [d["contribution"]["role"] for p in parts for d in p["discovered_work"]]
-    assert sorted(roles) == sorted(f"role {i}" for i in range(10))
+    assert person["discovered_work_count"] == size and person["role"].split("; ") == sorted(f"role {i}" for i in range(size))
+    roles = [c["contribution"]["role"] for c in batch.exported("export", "credits")]
+    assert sorted(roles) == sorted(f"role {i}" for i in range(size))
 
 
 def test_source_identities_prefer_urls_then_identifiers(spark):

@@ -16,7 +16,7 @@ from ..functions.text import casefold, or_empty, squeeze
 from ..sources import pages as H
 from .common import CREDIT, UNRESOLVED, WORK, Lane, keep, no_identifiers, public_id
 
-# Credit labels with their roles, text limits, patterns and reasons.
+# Credit labels with their roles, patterns and reasons.
 CREDIT_LABELS = (
     ("Curated by", "curator"), ("Curator:", "curator"), ("Curators:", "curator"), ("Artist:", "artist"),
     ("Artists:", "exhibiting artist"), ("Photographers:", "photographer"), ("Project Coordinators:", "project coordinator"),
@@ -32,7 +32,6 @@ FILM_PAIR = r"(?U)[“\"]([^”\"]{2,120})[”\"]\s+((?:[A-Z][\w'’.-]+\s+){1,4
 FILM_DIRECTOR = r"(?U)((?:[A-Z][\w'’.-]+\s+){1,4}[A-Z][\w'’.-]+)\s*\(\s*(?:Co-)?Dir\s*\)"
 FILM_WORDS = r"(?i)\b(?:film|short|documentary|screening|cinema|festival)\b"
 PANELIST = r"(?U)(?:^|,\s*(?:and\s+)?)(Director|Producer|Documentary Participant|Writer|Star)\s+((?:[A-Z][\w'’.-]+\s+){1,3}[A-Z][\w'’.-]+)"
-WORK_TEXT, CREDIT_TEXT, NOTES_TEXT, SHOWN_TEXT = 1200, 600, 1400, 1000
 TITLE_MARK = "Official page title identifies"
 NOT_A_DIRECTOR = "Director credit did not resolve to a verified individual name."
 TWO_SPELLINGS = ("This source spells the same apparent credit differently in its title and body; "
@@ -53,6 +52,8 @@ class Venue:
     organization: str
     regional: str
     geography: str
+    #: Words of places that must not pass for names of persons.
+    places: tuple[str, ...] = ()
 
 
 def event_kind(title: Column, rules: tuple[tuple[str, str], ...], otherwise: str = "exhibition") -> Column:
@@ -65,18 +66,18 @@ def event_kind(title: Column, rules: tuple[tuple[str, str], ...], otherwise: str
 
 # --- gate -------------------------------------------------------------------
 
-def gated(works: DataFrame, candidates: DataFrame, unresolved: DataFrame | None = None) -> Lane:
+def gated(works: DataFrame, candidates: DataFrame, unresolved: DataFrame | None = None, places: tuple[str, ...] = ()) -> Lane:
     """First work per id; credits of persons once per work, name and role; unresolved names once per work.
 
     ``candidates(work_id, name, role, evidence, source_url, person_url, reason, ord)``: a
     candidate with a reason, or one that reads as no person, stays unresolved.
     """
     kept = keep(works.withColumn("title", squeeze(F.col("title"))).filter("title != ''").withColumn(
-        "description", F.substring(squeeze(F.col("description")), 1, WORK_TEXT)), ["id"], "ord", False).select(*WORK)
-    checked = candidates.withColumn("person", N.person_name(F.col("name"))).withColumn("is_person", N.is_person(F.col("name")))
+        "description", squeeze(F.col("description"))), ["id"], "ord", False).select(*WORK)
+    checked = candidates.withColumn("person", N.person_name(F.col("name"))).withColumn("is_person", N.is_person(F.col("name"), places))
     good = checked.filter(F.col("is_person") & (F.col("reason") == "") & (F.col("role") != "")).select(
         "work_id", F.col("person").alias("name"), squeeze(F.col("role")).alias("role"), "person_url", no_identifiers().alias("identifiers"),
-        F.substring(squeeze(F.col("evidence")), 1, CREDIT_TEXT).alias("evidence"), "source_url", "ord")
+        squeeze(F.col("evidence")).alias("evidence"), "source_url", "ord")
     keyed = good.withColumn("folded", casefold(F.col("name"))).withColumn("folded_role", casefold(F.col("role")))
     credits = keep(keyed, ["work_id", "folded", "folded_role"], "ord", False).select(*CREDIT)
     left = checked.filter(~F.col("is_person") | (F.col("reason") != "")).select(
@@ -117,8 +118,8 @@ def film_listings(pages: DataFrame, venue: Venue) -> Lane:
         "title != ''").withColumn("date", N.mentioned_date(F.col("full"))).drop("html")
     pairs = F.transform(F.regexp_extract_all("full", F.lit(f"({FILM_PAIR[4:]})"), 1), lambda m: F.struct(
         F.regexp_extract(m, FILM_PAIR, 1).alias("film"), F.regexp_extract(m, FILM_PAIR, 2).alias("director")))
-    alone = F.slice(F.array_distinct(F.regexp_extract_all("full", F.lit(FILM_DIRECTOR), 1)), 1, 3)
-    says_film = F.concat_ws(" ", "title", F.substring("full", 1, 800)).rlike(FILM_WORDS)
+    alone = F.array_distinct(F.regexp_extract_all("full", F.lit(FILM_DIRECTOR), 1))
+    says_film = F.concat_ws(" ", "title", "full").rlike(FILM_WORDS)
     none = F.array().cast("array<struct<film:string,director:string>>")
     films = read.withColumn("pairs", pairs).withColumn("pairs", F.when(F.size("pairs") > 0, F.col("pairs")).when(
         says_film, F.transform(alone, lambda d: F.struct(F.col("title").alias("film"), d.alias("director")))).otherwise(none))
@@ -141,10 +142,10 @@ def film_listings(pages: DataFrame, venue: Venue) -> Lane:
     work = lambda frame, title, kind, ord_: frame.select(
         F.col("work_id").alias("id"), title.alias("title"), F.lit(kind).alias("kind"), F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         F.col("date").alias("work_date"), F.lit(venue.organization).alias("organization"), F.lit(venue.regional).alias("regional_evidence"),
-        F.lit(venue.geography).alias("geography_scope"), F.substring("full", 1, SHOWN_TEXT).alias("description"), "raw_path", "raw_sha256", ord_.alias("ord"))
+        F.lit(venue.geography).alias("geography_scope"), F.col("full").alias("description"), "raw_path", "raw_sha256", ord_.alias("ord"))
     works = work(rows, F.col("p.film"), "film", F.col("ord")).unionByName(
         work(talks, F.col("title"), "talk", F.struct("ord", F.lit(1).alias("part"), F.lit(0).alias("nth"))))
-    return gated(works, directors.unionByName(panelists).unionByName(moderators))
+    return gated(works, directors.unionByName(panelists).unionByName(moderators), places=venue.places)
 
 
 # --- labelled credits -------------------------------------------------------
@@ -175,7 +176,7 @@ def labelled_names(pages: DataFrame) -> DataFrame:
     ``pages(url, title, text, kind)``.
     """
     def labelled(number: int, label: str, role: str) -> Column:
-        found = F.regexp_extract_all("text", F.lit(rf"(?i)\Q{label}\E\s+(.{{0,260}}?){LABEL_END}"), 1)
+        found = F.regexp_extract_all("text", F.lit(rf"(?i)\Q{label}\E\s+(.*?){LABEL_END}"), 1)
         return F.transform(found, lambda span, i: F.struct(
             F.lit(number).alias("rule"), i.alias("at"), span.alias("span"), F.lit(role).alias("role"),
             F.concat(F.lit(label + " "), F.trim(span)).alias("evidence")))
@@ -188,7 +189,7 @@ def labelled_names(pages: DataFrame) -> DataFrame:
         F.lit(100).alias("rule"), i.alias("at"), name.alias("span"), shown.alias("role"),
         F.concat(F.lit(TITLE_MARK + " "), name, F.lit(" in the credited work title.")).alias("evidence")))
     listed = F.transform(
-        F.regexp_extract_all("text", F.lit(r"(?i)(?:artists?|filmmakers?|performers?)\s+(?:include|are)\s+(.{0,320}?)(?:\.|\n)"), 1),
+        F.regexp_extract_all("text", F.lit(r"(?i)(?:artists?|filmmakers?|performers?)\s+(?:include|are)\s+(.*?)(?:\.|\n|$)"), 1),
         lambda span, i: F.struct(F.lit(200).alias("rule"), i.alias("at"), span.alias("span"),
                                  F.when(F.col("kind") == "exhibition", "exhibiting artist").otherwise("credited creator").alias("role"), F.lit("").alias("evidence")))
     rows = pages.select("url", "kind", F.explode(F.concat(spans, titled, listed)).alias("s"))
@@ -210,7 +211,7 @@ def credited_pages(pages: DataFrame, venue: Venue) -> Lane:
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda c: c["name"]).alias("candidates"),
         F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(
             F.startswith("evidence", F.lit(TITLE_MARK)), F.struct("ord", "name")))), lambda c: N.person_name(c["name"]))).alias("in_title"))
-    texts = read.select("url", F.filter(N.named_people(F.col("text")), N.is_person).alias("in_text"))
+    texts = read.select("url", F.filter(N.named_people(F.col("text")), lambda n: N.is_person(n, venue.places)).alias("in_text"))
     conflicts = per_page.join(texts, "url").select("url", spelling_conflicts("candidates", "in_title", "in_text").alias("conflicts"))
     judged = names.join(conflicts, "url").join(read.select("url", F.col("title").alias("page_title"), F.col("kind").alias("page_kind")), "url").withColumn(
         "work_id", public_id(F.col("url"), F.concat("page_kind", F.lit(":"), "page_title"))).withColumn(
@@ -223,8 +224,8 @@ def credited_pages(pages: DataFrame, venue: Venue) -> Lane:
         public_id(F.col("url"), F.concat("kind", F.lit(":"), "title")).alias("id"), "title", "kind", F.col("url").alias("source_url"),
         F.col("observed").alias("observed_at"), N.mentioned_date(F.col("text")).alias("work_date"), F.lit(venue.organization).alias("organization"),
         F.lit(venue.regional).alias("regional_evidence"), F.lit(venue.geography).alias("geography_scope"),
-        F.substring("text", 1, SHOWN_TEXT).alias("description"), "raw_path", "raw_sha256", F.lit(0).alias("ord"))
-    return gated(works, _candidates(linked, F.col("role"), F.col("evidence"), NOT_A_PERSON, F.col("reason")))
+        F.col("text").alias("description"), "raw_path", "raw_sha256", F.lit(0).alias("ord"))
+    return gated(works, _candidates(linked, F.col("role"), F.col("evidence"), NOT_A_PERSON, F.col("reason")), places=venue.places)
 
 
 # --- podcasts ---------------------------------------------------------------
@@ -264,7 +265,7 @@ def podcast_episodes(items: DataFrame, venue: Venue, feed_url: str, observed: st
     read = items.filter("title != ''").select(
         "pos", "title", title.alias("work_title"), F.when(F.col("link") != "", F.col("link")).otherwise(feed_url).alias("url"),
         F.coalesce(F.nullif("guid", F.lit("")), "title").alias("guid"), "published", H.page_text(F.col("notes")).alias("notes_text"),
-    ).withColumn("summary", F.substring(squeeze(F.col("notes_text")), 1, NOTES_TEXT)).withColumn(
+    ).withColumn("summary", squeeze(F.col("notes_text"))).withColumn(
         "work_id", public_id(F.col("url"), F.concat(F.lit("episode:"), "guid")))
     day = rfc822_date(F.col("published"))
     works = read.select(
@@ -275,12 +276,12 @@ def podcast_episodes(items: DataFrame, venue: Venue, feed_url: str, observed: st
         F.lit(raw_path).alias("raw_path"), F.lit(raw_sha256).alias("raw_sha256"), F.col("pos").alias("ord"))
     guest, resolved = guest_of(F.col("summary"), F.col("work_title"), titled_guests)
     guests = read.withColumn("name", guest).withColumn("resolved", resolved).filter("name != ''")
-    quote = or_empty(F.regexp_substr("notes_text", F.concat(F.lit(r"(?i).{0,80}\b"), N.quoted(F.col("name")), F.lit(r"\b.{0,160}"))))
+    quote = or_empty(F.regexp_substr("notes_text", F.concat(F.lit(r"(?i)[^.!?\n]*\b"), N.quoted(F.col("name")), F.lit(r"\b[^.!?\n]*"))))
     evidence = F.concat(F.lit("The public show notes identify "), "name", F.lit(" as the episode's interview subject/guest: "),
-                        F.when(quote != "", quote).otherwise(F.substring("summary", 1, 220)))
+                        F.when(quote != "", F.trim(quote)).otherwise(F.col("summary")))
     reason = F.when(F.col("resolved"), "").otherwise(N.guest_uncertainty(F.col("name"), F.col("summary"), F.col("work_title")))
     rows = guests.withColumn("ord", F.col("pos"))
-    return gated(works, _candidates(rows, F.lit("interview guest"), evidence, NOT_A_GUEST, reason))
+    return gated(works, _candidates(rows, F.lit("interview guest"), evidence, NOT_A_GUEST, reason), places=venue.places)
 
 
 # --- reports ----------------------------------------------------------------
@@ -306,7 +307,7 @@ def report_staff(texts: DataFrame, opening: str, closing: str, report: str) -> D
     """Credits of a report's staff section; ``texts(url, work_id, text)``."""
     found = staff_lines(texts.select("url", "text"), "url", opening, closing).join(texts.select("url", "work_id"), "url")
     rows = found.select(
-        "work_id", "name", F.concat(F.lit("project staff — "), "heading", F.lit(": "), F.substring("job", 1, 140)).alias("role"), F.lit("").alias("person_url"),
+        "work_id", "name", F.concat(F.lit("project staff — "), "heading", F.lit(": "), "job").alias("role"), F.lit("").alias("person_url"),
         no_identifiers().alias("identifiers"),
         F.concat(F.lit(f"{report} acknowledgments list "), "printed", F.lit(", "), "job", F.lit(", under "), "heading", F.lit(".")).alias("evidence"),
         F.col("url").alias("source_url"), F.col("pos").alias("ord"))

@@ -13,7 +13,6 @@ from .common import Lane, accumulate, identifiers, no_identifiers
 
 # What stands for "nobody", how much abstract is kept, and the identity of an award row.
 NOBODY = ("unknown", "not specified", "n/a", "none")
-ABSTRACT = 1600
 GRANT_TEXT = "NIH RePORTER lists this as a FY{year} project funding record. Abstract: {abstract}"
 GRANT_BARE = "NIH RePORTER lists a FY{year} project funding record titled {title}. The record has no abstract text."
 GRANT_TIE = "NIH RePORTER organization field lists {org} in {city}, {state} (org_city={city}; org_state={state})."
@@ -72,7 +71,7 @@ def grant_projects(documents: DataFrame, cities: DataFrame, states: tuple[str, .
     located = in_region(rows, cities, "state", states).filter("title != '' AND appl_id != ''").withColumn(
         "id", F.concat(F.lit("nih:"), "appl_id", F.when(F.col("subproject") != "", F.concat(F.lit(":"), "subproject")).otherwise(""))).withColumn(
         "url", F.coalesce(F.nullif(_text(doc, "project_detail_url"), F.lit("")), F.concat(F.lit("https://reporter.nih.gov/project-details/"), "appl_id")))
-    fy, bare = sentence(GRANT_TEXT, abstract=F.substring("abstract", 1, ABSTRACT)), sentence(GRANT_BARE)
+    fy, bare = sentence(GRANT_TEXT, abstract=F.col("abstract")), sentence(GRANT_BARE)
     funded = F.when(F.col("org") != "", F.col("org")).otherwise("the funded organization")
     works = located.select(
         "id", "title", F.lit("NIH-funded research project").alias("kind"), F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
@@ -111,7 +110,7 @@ def research_awards(documents: DataFrame, cities: DataFrame, states: tuple[str,
         iso_date(_text(doc, "startDate", "date")).alias("work_date"), F.col("awardee").alias("organization"),
         sentence(AWARD_TIE, site=site).alias("regional_evidence"),
         F.col("scope").alias("geography_scope"),
-        F.when(F.col("abstract") != "", sentence(AWARD_TEXT, abstract=F.substring("abstract", 1, ABSTRACT)))
+        F.when(F.col("abstract") != "", sentence(AWARD_TEXT, abstract=F.col("abstract")))
         .otherwise(sentence(AWARD_BARE)).alias("description"),
         "raw_path", "raw_sha256", "ord")
     co = P.part(doc, "coPDPI")

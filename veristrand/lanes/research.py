@@ -35,7 +35,6 @@ LISTING_CREDIT = "Repository metadata credits {name} as {role} on this thesis."
 INDEX_CREDIT = "Thesis listing credits {name} as author of this item."
 ROSTER_CREDIT = "Official lab page lists {name} as {role}."
 ROSTER_TIE = "The page is published under the official {organization} research domain."
-ABSTRACT, DEPOSIT_TEXT, THESIS_TEXT = 2000, 2000, 1500
 SECTION_WORDS = "team|member|alum|people|personnel|student|research assistant|director"
 CLOSING_WORDS = "research|project|contact|about|publication|join|news|funding|program"
 
@@ -118,7 +117,7 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
         scope = F.when(F.array_contains("found", name), name).otherwise(scope)
     listed = F.array_join("institutions", "; ")
     year = or_empty(F.col("w.publication_year"))
-    abstract = F.substring("abstract", 1, ABSTRACT)
+    abstract = F.col("abstract")
     kind = F.coalesce(F.nullif(F.col("w.type"), F.lit("")), F.lit("publication"))
     generic = sentence(WORK_TEXT, kind=compact_text(kind), from_year=F.when(year != "", F.concat(F.lit(" from "), year)).otherwise(""))
     read = typed.join(regional, ["work_id", "ord"]).withColumn("abstract", abstract_text(F.col("w.abstract_inverted_index")))
@@ -192,7 +191,7 @@ def deposits(responses: DataFrame) -> Lane:
         F.col("work_id").alias("id"), "title", kind.alias("kind"), F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         or_empty(F.col("r.metadata.publication_date")).alias("work_date"), F.col("target").alias("organization"),
         sentence(DEPOSIT_TIE, named=named).alias("regional_evidence"),
-        F.col("scope").alias("geography_scope"), F.substring(clean_html(F.col("r.metadata.description")), 1, DEPOSIT_TEXT).alias("description"),
+        F.col("scope").alias("geography_scope"), clean_html(F.col("r.metadata.description")).alias("description"),
         "raw_path", "raw_sha256", "ord")
     person = F.when(F.col("c.orcid") != "", F.concat(F.lit("https://orcid.org/"), "c.orcid")).otherwise("")
     credits = rows.select("work_id", "url", "ord", F.posexplode("creators").alias("nth", "c")).filter("c.name != ''").select(
@@ -226,7 +225,7 @@ def thesis_listing(pages: DataFrame, site: str, prefix: str, organization: str,
         "id", "title", F.lit("thesis").alias("kind"), "source_url", F.col("observed").alias("observed_at"),
         F.when(year.rlike(r"^\d{4}$"), year).otherwise("").alias("work_date"), F.lit(organization).alias("organization"),
         F.lit(regional).alias("regional_evidence"), F.lit(scope).alias("geography_scope"),
-        F.substring(cell(1), 1, THESIS_TEXT).alias("description"), "raw_path", "raw_sha256", "ord")
+        cell(1).alias("description"), "raw_path", "raw_sha256", "ord")
     person = r'(?is)<a href="([^"]*viewContributorPage\.action\?[^"]*)"[^>]*>(.*?)</a>\s*-\s*([^<]+)'
     people = parsed.filter("full").select(F.col("id").alias("work_id"), "source_url", "ord", F.posexplode(
         F.regexp_extract_all(F.get("cells", F.lit(4)), F.lit(f"({person})".replace("(?is)", "")), 1)).alias("nth", "match"))
@@ -303,14 +302,13 @@ def roster_pages(pages: DataFrame) -> Lane:
     work_id = F.concat(F.lit("labpage:"), F.substring(F.sha2("url", 256), 1, 16))
     blocks = H.page_blocks(pages)
     heads = blocks.filter("tag = 'h1' AND NOT contains(lower(text), 'privacy')").groupBy("url").agg(F.min_by("text", "pos").alias("head"))
-    order = Window.partitionBy("url").orderBy("pos")
-    opening = blocks.filter("tag = 'p' AND length(text) > 45").withColumn("n", F.row_number().over(order)).filter("n <= 3")
-    summaries = opening.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda p: p["text"]), " ").alias("summary"))
+    opening = blocks.filter("tag = 'p' AND length(text) > 45")
+    summaries = opening.groupBy("url").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), " ").alias("summary"))
     titled = pages.join(heads, "url", "left").join(summaries, "url", "left")
     title = F.coalesce("head", F.nullif(H.page_title(F.col("html")), F.lit("")), "organization")
     works = titled.select(
         work_id.alias("id"), title.alias("title"), "kind", F.col("url").alias("source_url"), F.col("observed").alias("observed_at"),
         F.lit("").alias("work_date"), "organization",
         sentence(ROSTER_TIE).alias("regional_evidence"),
-        F.col("scope").alias("geography_scope"), F.substring(or_empty(F.col("summary")), 1, 1800).alias("description"), "raw_path", "raw_sha256")
+        F.col("scope").alias("geography_scope"), or_empty(F.col("summary")).alias("description"), "raw_path", "raw_sha256")
     return Lane(works, roster_credits(blocks.withColumn("work_id", work_id)))

@@ -275,15 +275,19 @@ def movement_candidates(jobs: DataFrame, responses: DataFrame, claims: DataFrame
 
 # --- jobs -------------------------------------------------------------------
 
+def job_histogram(jobs: DataFrame, now: float) -> DataFrame:
+    """Jobs per status, and those that are due."""
+    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("due") <= now).alias("due"))
+
+
 def job_stats(jobs: DataFrame, responses: DataFrame, claims: DataFrame, now: float) -> dict:
-    histogram = jobs.groupBy("status").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("due") <= now).alias("due")).collect()
-    errors = jobs.filter("error IS NOT NULL").orderBy("job_id").limit(20).select("provider", "subject", "status", "error")
+    histogram = job_histogram(jobs, now).collect()
+    errors = jobs.filter("error IS NOT NULL").select("job_id", "provider", "subject", "status", "error")
     return {
-        "jobs": {r.status: r.n for r in histogram},
+        "jobs": {r.status: r.jobs for r in histogram},
         "due": sum(r.due for r in histogram if r.status == "pending"),
         "responses": responses.count(), "claims": claims.count(),
-        "errors": [r.asDict() for r in errors.collect()],
+        "errors": errors,
     }
 
 
@@ -342,12 +346,12 @@ def new_links(links: DataFrame, tasks: DataFrame) -> DataFrame:
     return tasks.select(*keys).dropDuplicates().join(links, keys, "left_anti")
 
 
-def seed_tasks(profiles: DataFrame, jobs: DataFrame, limit: int = 100) -> DataFrame:
-    """The first ``limit`` identifier tasks, in profile order, that no job covers yet."""
-    if not 1 <= limit <= 100000:
-        raise ValueError("Seed limit must be 1–100000")
+def seed_tasks(profiles: DataFrame, jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """The identifier tasks that no job covers yet, all or the first ``limit`` in profile order."""
+    if limit is not None and limit < 1:
+        raise ValueError("Seed limit must be positive")
     tasks = identifier_tasks(profiles).filter("provider IS NOT NULL")
     first = tasks.groupBy("provider", "subject").agg(F.min(F.struct("profile_id", "position")).alias("first"))
     fresh = first.join(jobs.select("provider", "subject"), ["provider", "subject"], "left_anti")
-    return fresh.select("first.profile_id", "first.position", "provider", "subject").orderBy(
-        "profile_id", "position").limit(limit)
+    tasks = fresh.select("first.profile_id", "first.position", "provider", "subject")
+    return tasks if limit is None else tasks.orderBy("profile_id", "position").limit(limit)

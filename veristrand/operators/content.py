@@ -23,6 +23,12 @@ def content_digest(rows: DataFrame, *columns: str) -> tuple[str, int]:
     return hashlib.sha256(f"{found.n}:{found.sums}".encode()).hexdigest(), found.n
 
 
+def distinct_contents(files: DataFrame, content: Column, name: str) -> DataFrame:
+    """(sha256, first, copies) of every distinct content; only digests and names are shuffled."""
+    return files.select(F.sha2(content, 256).alias("sha256"), F.col(name).alias("_name")).groupBy("sha256").agg(
+        F.min("_name").alias("first"), F.count(F.lit(1)).alias("copies"))
+
+
 def json_string(value: Column) -> Column:
     """A JSON string; only text with characters that need escaping takes the long way."""
     return F.when(value.rlike(r"[\x00-\x1f\"\\]"), F.to_json(value.cast("variant"))).otherwise(

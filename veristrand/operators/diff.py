@@ -12,6 +12,11 @@ def _copies(rows: DataFrame, before: int) -> DataFrame:
         F.lit(before).alias("_before"), F.lit(1 - before).alias("_after"))
 
 
+def as_of(versions: DataFrame, snapshot_id, name: str = "snapshot_id") -> DataFrame:
+    """The rows of one snapshot; its folder or column value is pushed into the scan."""
+    return versions.filter(F.col(name) == F.lit(snapshot_id)).drop(name)
+
+
 def diff_versions(previous: DataFrame, current: DataFrame) -> DataFrame:
     """(kind, record_key, change_type, before_rows, after_rows) for keys that differ.
 

@@ -28,15 +28,14 @@ def pending_responses(responses: DataFrame, claims: DataFrame, heads: DataFrame)
         "response_id", "job_id", F.coalesce(F.col("response_id") == F.col("head"), F.lit(False)).alias("is_head"))
 
 
-def claim_changes(responses: DataFrame, claims: DataFrame, jobs: DataFrame, heads: DataFrame,
+def claim_changes(responses: DataFrame, claims: DataFrame, jobs: DataFrame, pending: DataFrame,
                   width: int = CHUNK) -> DataFrame:
-    """One row per predicate whose value set differs from the response before.
+    """One row per predicate of a pending response whose value set differs from the response before.
 
     Each group of claims is sent twice: to its own response as "after" and to the
     next response of the job as "before". Both keys are response ids, so the
     comparison groups on unique keys and no job is too large for a task.
     """
-    pending = pending_responses(responses, claims, heads)
     following = neighbour(pending, "job_id", "response_id", forward=True, width=width)
     groups = claim_groups(claims).join(
         pending.join(following.drop("job_id"), "response_id"), "response_id")
@@ -71,10 +70,10 @@ def sequenced(changes: DataFrame, start: int = 0, width: int = CHUNK) -> DataFra
     return number_rows(changes, F.floor(F.col("response_id") / width), [F.col("response_id"), F.col("predicate")], start)
 
 
-def new_heads(responses: DataFrame, claims: DataFrame, heads: DataFrame) -> DataFrame:
+def new_heads(pending: DataFrame) -> DataFrame:
     """Heads that moved: the newest successful response per job past its old head."""
     return (
-        pending_responses(responses, claims, heads).groupBy("job_id")
+        pending.groupBy("job_id")
         .agg(F.max("response_id").alias("response_id"), F.max_by("is_head", "response_id").alias("_still"))
         .filter("NOT _still").drop("_still")
     )

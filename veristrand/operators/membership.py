@@ -22,19 +22,17 @@ def fingerprinted(items: DataFrame) -> DataFrame:
     Observation times, claim times, annotation times and movement sources are in
     the item but not in the digest, so refetching alone changes nothing.
     """
-    claim = lambda c: F.struct(
-        c["predicate"].alias("predicate"), c["source"].alias("source"), c["value"].alias("value"))
     kept = [F.col(f"workspace.{n}").alias(n) for n in items.select("workspace.*").columns if n != "updated_at"]
     movement = lambda m: F.struct(*[m[n].alias(n) for n in (
         "subject", "name", "status", "prior", "later", "limitation")])
     semantic = P.key_of(
         P.without_fields(P.variant(F.col("payload")), "observed_at"), F.col("match_basis"),
-        F.to_json(F.array_sort(F.transform("enriched_matches", claim))),
+        F.col("claims_digest"),
         F.to_json(F.when(F.col("workspace").isNotNull(), F.struct(*kept))),
         F.to_json(F.transform("movement_candidates", movement)))
     item = F.to_json(F.struct(
         F.col("profile_id").alias("id"), F.col("payload").alias("record"), "match_basis", "workspace",
-        "enriched_matches", "movement_candidates"))
+        "claims", "enriched_matches", "movement_candidates"))
     return items.select("profile_id", semantic.alias("fingerprint"), item.alias("payload"))
 
 
@@ -71,9 +69,9 @@ def origin_cohort(profiles: DataFrame, institutions: list[str]) -> DataFrame:
     return profiles.filter(F.arrays_overlap(tokens, F.array(*[F.lit(i) for i in institutions])))
 
 
-def plan_tasks(cohort: DataFrame, jobs: DataFrame, links: DataFrame, now: float, limit: int,
+def plan_tasks(cohort: DataFrame, jobs: DataFrame, links: DataFrame, now: float, limit: int | None,
                origin: bool) -> tuple[DataFrame, dict]:
-    """The first ``limit`` identifier tasks of a cohort, and counts over the records inspected.
+    """The identifier tasks of a cohort, all or the first ``limit``, and counts over the whole cohort.
 
     A task counts once per (provider, subject), at its first record. A linked job
     is planned only when pending and due; a known job that is not linked yet is
@@ -94,16 +92,12 @@ def plan_tasks(cohort: DataFrame, jobs: DataFrame, links: DataFrame, now: float,
         .join(linked, ["profile_id", "provider", "subject"], "left")
         .filter(~F.coalesce(settled, F.lit(False)))
         .select("profile_id", "position", "provider", "subject", reason.alias("reason"))
-        .orderBy("profile_id", "position").limit(limit)
     )
-    found = tasks.collect()
-    inspected = listed.filter("position IS NULL OR position = 0")
-    if len(found) >= limit:
-        inspected = inspected.filter(F.col("profile_id") < found[-1].profile_id)
-    counts = inspected.agg(F.count_if("missing").alias("missing"), F.count_if("invalid").alias("invalid")).first()
-    spark = cohort.sparkSession
-    kept = [(r.profile_id, r.provider, r.subject, r.reason) for r in found]
+    if limit is not None:
+        tasks = tasks.orderBy("profile_id", "position").limit(limit)
+    counts = listed.filter("position IS NULL OR position = 0").agg(
+        F.count_if("missing").alias("missing"), F.count_if("invalid").alias("invalid")).first()
     return (
-        spark.createDataFrame(kept, "profile_id string, provider string, subject string, reason string"),
+        tasks.select("profile_id", "provider", "subject", "reason"),
         {"records_without_supported_ids": counts.missing, "invalid_identifier_records": counts.invalid},
     )

@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 CHUNK = 1_000_000
 
 
-def check_page(limit: int, offset: int = 0, most: int = 100) -> None:
-    if not 1 <= limit <= most or offset < 0:
-        raise ValueError(f"limit must be 1–{most} and offset must be nonnegative")
+def check_page(limit: int, offset: int = 0) -> None:
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be positive and offset must be nonnegative")
 
 
-def page(frame: DataFrame, order: list[Column], limit: int = 20, offset: int = 0, most: int = 100) -> DataFrame:
-    check_page(limit, offset, most)
+def page(frame: DataFrame, order: list[Column], limit: int = 20, offset: int = 0) -> DataFrame:
+    check_page(limit, offset)
     return frame.orderBy(*order).offset(offset).limit(limit)
 
 
+def cursor_rows(events: DataFrame, after: int, limit: int) -> DataFrame:
+    """The next rows after a sequence number, in order."""
+    return events.filter(F.col("sequence") > after).orderBy("sequence").limit(limit)
+
+
 def after_cursor(events: DataFrame, after: int = 0, limit: int = 100) -> dict:
     """Rows after a sequence number. Reading the same cursor again gives the same rows."""
-    if type(after) is not int or after < 0 or type(limit) is not int or not 1 <= limit <= 1000:
-        raise ValueError("Use a nonnegative cursor and limit 1–1000")
-    rows = events.filter(F.col("sequence") > after).orderBy("sequence").limit(limit + 1).collect()
+    if type(after) is not int or after < 0 or type(limit) is not int or limit < 1:
+        raise ValueError("Use a nonnegative cursor and a positive limit")
+    rows = cursor_rows(events, after, limit + 1).collect()
     kept = rows[:limit]
     return {
         "events": [row.asDict(recursive=True) for row in kept],

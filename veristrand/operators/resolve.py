@@ -64,3 +64,14 @@ def orphans(observations: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def duplicate_keys(frame: DataFrame, key: str) -> DataFrame:
     return frame.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+def collector_counts(profiles: DataFrame, name: str = "collector") -> DataFrame:
+    """Profiles per collector."""
+    return profiles.groupBy(F.col(name).alias("collector")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def kind_counts(rows: DataFrame, kind: str = "kind") -> DataFrame:
+    """Rows per kind, and those that belong to no profile."""
+    return rows.groupBy(F.col(kind).alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("profile_id").isNull()).alias("unresolved"))

@@ -21,8 +21,7 @@ COLLECTORS = {
     "builders_business": "university", "creative_public_work": "regional_institutions",
 }
 TIE = "Documented work connection"
-DERIVED = ("discovered_work", "work_evidence")
-ENTRIES_PER_ROW = 10_000
+DERIVED = ("discovered_work", "discovered_work_count", "work_evidence")
 NO_URL_SALTS = 4096
 
 
@@ -167,49 +166,40 @@ def with_fields(entries: DataFrame) -> DataFrame:
         F.concat(w("title"), F.lit(" — "), c("role"), F.lit(": "), c("evidence"), F.lit(" "), w("description")).alias("line"))
 
 
+#: What a profile lists of its entries, each value once; the last in order of appearance.
+LISTED = (("organization", "; ", False), ("role", "; ", False), ("regional_evidence", "\n", True))
+
+
 def rolled_up(entries: DataFrame) -> DataFrame:
-    """(rid, part, ...): one row per profile, several for a profile with very many credits.
+    """One row per profile: counts, first entry, last observation and its distinct listed values.
 
-    A profile beyond 10,000 entries is split by a hash of the entry, so no task
-    gathers more than about that many; every entry stays in exactly one part.
+    Counts, minima and the distinct values combine map-side and no document is carried, so a
+    profile with a third of all credits costs its task only its distinct values.
     """
-    sizes = entries.groupBy("rid").agg(F.ceil(F.count(F.lit(1)) / ENTRIES_PER_ROW).cast("int").alias("parts"))
-    spread = F.pmod(F.xxhash64("work_id", "role", "source_url"), F.col("parts")).cast("int")
-    entry = F.struct("first", "line", "work", "credit", "regional_evidence")
     head = F.struct("collector", "name", "person_url", "source_url", "geography_scope", "work_date", "identifiers")
-    filled = lambda column: F.when(F.col(column) != "", F.col(column))
-    return (
-        entries.join(sizes, "rid").withColumn("part", spread)
-        .groupBy("rid", "part")
-        .agg(
-            F.max("parts").alias("parts"), F.min("first").alias("first"), F.min_by(head, "first").alias("head"),
-            F.array_sort(F.collect_list(entry)).alias("entries"),
-            F.array_join(F.array_sort(F.collect_set(filled("organization"))), "; ").alias("organization"),
-            F.array_join(F.array_sort(F.collect_set("role")), "; ").alias("role"), F.max("observed_at").alias("observed_at"))
-    )
-
-
-def _lines(entries: Column) -> Column:
-    return F.array_join(F.transform(entries, lambda e: e["line"]), "\n")
-
-
-def _listed(entries: Column) -> Column:
-    return F.transform(entries, lambda e: F.struct(
-        P.variant(e["credit"]).alias("contribution"), P.variant(e["work"]).alias("work")))
+    totals = entries.groupBy("rid").agg(
+        F.count(F.lit(1)).alias("entries"), F.min("first").alias("first"), F.min_by(head, "first").alias("head"),
+        F.max("observed_at").alias("observed_at"))
+    values = entries.select("rid", "first", F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(name).alias("value")) for kind, (name, _, _) in enumerate(LISTED)])).alias("v"))
+    once = values.filter("v.value <> ''").groupBy("rid", "v.kind", "v.value").agg(F.min("first").alias("first"))
+    texts = []
+    for kind, (name, joint, by_first) in enumerate(LISTED):
+        order = ("first", "value") if by_first else ("value", "first")
+        found = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*order))))
+        texts.append(F.array_join(F.transform(found, lambda v: v["value"]), joint).alias(name))
+    return totals.join(once.groupBy("rid").agg(*texts), "rid", "left").na.fill("", [name for name, _, _ in LISTED])
 
 
 def _collected(rolled: DataFrame) -> DataFrame:
     """The fields every record made from credits shares."""
     return rolled.select(
-        "rid", "part", "parts", "first", F.col("head.collector").alias("collector"),
-        F.col("head.work_date").alias("evidence_date"), _lines(F.col("entries")).alias("expertise"),
+        "rid", F.col("entries").alias("discovered_work_count"), F.col("head.collector").alias("collector"),
+        F.col("head.work_date").alias("evidence_date"), F.lit("").alias("expertise"),
         P.variant(F.col("head.identifiers")).alias("external_ids"), F.col("head.geography_scope").alias("geography_scope"),
         F.lit("").alias("location"), F.col("head.name").alias("name"), "observed_at", "organization",
-        F.col("head.person_url").alias("profile_url"),
-        F.array_join(F.array_distinct(F.transform("entries", lambda e: e["regional_evidence"])), "\n").alias("regional_evidence"),
-        F.lit(TIE).alias("regional_tie"), "role", F.col("head.source_url").alias("source_url"),
-        F.lit(True).alias("work_discovery"), _listed(F.col("entries")).alias("discovered_work"),
-        _lines(F.col("entries")).alias("work_evidence"))
+        F.col("head.person_url").alias("profile_url"), "regional_evidence", F.lit(TIE).alias("regional_tie"), "role",
+        F.col("head.source_url").alias("source_url"), F.lit(True).alias("work_discovery"))
 
 
 RECORD = ("collector", "evidence_date", "expertise", "external_ids", "geography_scope", "location", "name", "observed_at",
@@ -238,30 +228,30 @@ def is_generated(payload: Column) -> Column:
     return F.coalesce(P.canonical(P.part(P.variant(payload), "work_discovery")) == "true", F.lit(False))
 
 
-def merged_people(people: DataFrame, rolled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(record_id, payload, origin) of the export, and the further parts of very large profiles.
+def merged_people(people: DataFrame, rolled: DataFrame) -> DataFrame:
+    """(record_id, payload, origin) of the export; ``origin`` is kept, enriched or new.
 
-    ``origin`` is kept, enriched or new. Every join is on the unique profile id.
+    Every join is on the unique profile id. The credits themselves are rows of their own.
     """
-    collected = _collected(rolled)
-    leading = collected.groupBy("rid").agg(F.min_by("part", "first").alias("part"))
-    main = collected.join(leading, ["rid", "part"]).withColumn("record_id", F.col("rid"))
-    extra = ("discovered_work", "work_evidence")
+    main = _collected(rolled).withColumn("record_id", F.col("rid"))
+    extra = ("discovered_work_count",)
     fresh = _record((*RECORD, *extra))
     added = F.from_json(F.to_json(F.struct(*extra)), "map<string,variant>")
-    partial = F.create_map(F.lit("discovered_work_parts"), F.parse_json(F.col("parts").cast("string")))
-    more = F.when(F.col("parts") > 1, partial).otherwise(F.create_map().cast("map<string,variant>"))
     joined = people.select("record_id", "payload").join(
-        main.select("record_id", "parts", fresh.alias("fresh"), added.alias("added")), "record_id", "full")
+        main.select("record_id", fresh.alias("fresh"), added.alias("added")), "record_id", "full")
     payload = (
-        F.when(F.col("fresh").isNull(), F.col("payload"))
-        .when(F.col("payload").isNull(), F.to_json(F.map_concat(_objects(F.col("fresh")), more)))
-        .otherwise(F.to_json(F.map_concat(_objects(F.col("payload")), F.col("added"), more))))
+        F.when(F.col("fresh").isNull(), F.col("payload")).when(F.col("payload").isNull(), F.col("fresh"))
+        .otherwise(F.to_json(F.map_concat(_objects(F.col("payload")), F.col("added")))))
     origin = F.when(F.col("fresh").isNull(), "kept").when(F.col("payload").isNull(), "new").otherwise("enriched")
-    rest = collected.filter("parts > 1").join(leading, ["rid", "part"], "left_anti").select(F.to_json(F.struct(
-        "discovered_work", "expertise", "organization", "part", F.col("rid").alias("record_id"), "regional_evidence",
-        "role", "work_evidence")).alias("payload"))
-    return joined.select("record_id", payload.alias("payload"), origin.alias("origin")), rest
+    return joined.select("record_id", payload.alias("payload"), origin.alias("origin"))
+
+
+def credit_rows(entries: DataFrame) -> DataFrame:
+    """Every credit of every profile as a row: its order, its line of evidence and both documents."""
+    return entries.select(F.to_json(F.struct(
+        P.variant(F.col("credit")).alias("contribution"), F.col("line").alias("expertise"),
+        F.struct(F.col("first.run").alias("run"), F.col("first.pos").alias("pos")).alias("order"),
+        F.col("rid").alias("record_id"), P.variant(F.col("work")).alias("work"))).alias("payload"))
 
 
 def credit_observations(entries: DataFrame) -> DataFrame:
@@ -276,8 +266,7 @@ def credit_observations(entries: DataFrame) -> DataFrame:
 
 def credit_relationships(entries: DataFrame, rolled: DataFrame) -> DataFrame:
     """One relationship per entry, its subject as the profile's first credit names it."""
-    subject = rolled.groupBy("rid").agg(F.min_by("head", "first").alias("head"))
-    return entries.join(subject, "rid").select(
+    return entries.join(rolled.select("rid", "head"), "rid").select(
         F.col("rid").alias("record_id"), "first",
         F.to_json(F.struct(
             "evidence", F.col("work_date").alias("evidence_date"), F.col("title").alias("object_name"),

@@ -51,7 +51,7 @@ def discover(store: EvidenceStore, evidence: Evidence, annotations: DataFrame |
 
 def discover_page(*args, offset: int = 0, limit: int = 30, **kwargs) -> dict:
     found = discover(*args, **kwargs)
-    return {"total": found.count(), "profiles": page(found, D.match_order(), limit, offset, most=100_000),
+    return {"total": found.count(), "profiles": page(found, D.match_order(), limit, offset),
             "meaning": D.MEANING}
 
 
@@ -91,8 +91,7 @@ class Workspaces:
     def records(self, workspace: str) -> DataFrame:
         """(profile_id, annotation fields): the latest annotation per profile."""
         names = [part.split()[0] for part in D.ANNOTATION.split(", ")]
-        return self._log(workspace).groupBy("profile_id").agg(
-            F.max_by(F.struct(*names), "sequence").alias("_latest")).select("profile_id", "_latest.*")
+        return D.latest_annotations(self._log(workspace), names).drop("saved")
 
     def save(self, workspace: str, profile_id: str, data: dict) -> dict:
         self.require(workspace)
@@ -119,8 +118,7 @@ class Workspaces:
 
     def shortlist(self, workspace: str, store: EvidenceStore) -> DataFrame:
         """Shortlisted annotations with their profile, NULL where it left the snapshot."""
-        chosen = self.records(workspace).filter("selection = 'shortlisted'")
-        return chosen.join(store.profiles().withColumnRenamed("payload", "record"), "profile_id", "left")
+        return D.shortlisted(self.records(workspace), store.profiles().withColumnRenamed("payload", "record"))
 
     def export_shortlist(self, workspace: str, store: EvidenceStore, path: str) -> None:
         self.shortlist(workspace, store).write.mode("errorifexists").json(path)
@@ -248,11 +246,11 @@ class Subscriptions:
 
     # --- planning -----------------------------------------------------------
 
-    def plan(self, consumer: str, subscription: str, store: EvidenceStore, evidence: Evidence, limit: int = 25,
+    def plan(self, consumer: str, subscription: str, store: EvidenceStore, evidence: Evidence, limit: int | None = 25,
              apply: bool = False) -> dict:
-        """Identifier tasks missing in the relevant cohort; ``tasks`` is a DataFrame of at most 1000 rows."""
-        if not 1 <= limit <= 1000 or type(apply) is not bool:
-            raise ValueError("Use limit 1–1000 and a boolean apply flag")
+        """Identifier tasks missing in the relevant cohort, the first ``limit`` or (None) all; ``tasks`` is a DataFrame."""
+        if limit is not None and limit < 1 or type(apply) is not bool:
+            raise ValueError("Use a positive limit and a boolean apply flag")
         saved = self.get(consumer, subscription)
         if saved["paused"]:
             return {"paused": True, "tasks": None, "queued": 0}
@@ -294,15 +292,24 @@ def annotation_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def enqueue(evidence: Evidence, tasks: DataFrame) -> int:
-    """Add missing jobs and links of a plan (at most 1000 tasks); returns the jobs added."""
-    fresh = tasks.select("provider", "subject").distinct().join(
-        evidence.jobs().select("provider", "subject"), ["provider", "subject"], "left_anti").orderBy("provider", "subject").collect()
-    last = evidence.jobs().agg(F.coalesce(F.max("job_id"), F.lit(0))).first()[0]
+    """Add missing jobs and links of a plan of any size; returns the jobs added."""
     spark = evidence.spark
-    rows = [(last + i, r.provider, r.subject, "pending", 0, 0.0, 0.0, None) for i, r in enumerate(fresh, 1)]
-    if rows:
-        evidence.add("jobs", spark.createDataFrame(rows, JOBS).coalesce(1))
-    links = C.new_links(evidence.links(), tasks).collect()
-    if links:
-        evidence.add("links", spark.createDataFrame([tuple(r) for r in links], LINKS).coalesce(1))
-    return len(rows)
+    batch = uuid.uuid4().hex
+    fresh = tasks.select("provider", "subject").distinct().join(
+        evidence.jobs().select("provider", "subject"), ["provider", "subject"], "left_anti")
+    links = C.new_links(evidence.links(), tasks)
+    evidence.tables.write(links, "staged", f"links-{batch}")
+    evidence.tables.write_sequenced(fresh, [F.col("provider"), F.col("subject")],
+                                    evidence.jobs().agg(F.coalesce(F.max("job_id"), F.lit(0))).first()[0], "new_jobs", batch)
+    added = spark.read.parquet(evidence.tables.path("new_jobs", batch))
+    count = added.count()
+    if count:
+        none = {"status": F.lit("pending"), "attempts": F.lit(0), "due": F.lit(0.0), "lease": F.lit(0.0), "error": F.lit(None)}
+        evidence.add("jobs", added.withColumnRenamed("sequence", "job_id").withColumns(none).select(*[
+            F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], JOBS).schema]))
+    staged = spark.read.schema(links.schema).parquet(evidence.tables.path("staged", f"links-{batch}"))
+    if not staged.isEmpty():
+        evidence.add("links", staged)
+    evidence.tables.remove("staged", f"links-{batch}")
+    evidence.tables.remove("new_jobs", batch)
+    return count

@@ -14,7 +14,8 @@ from ..operators import claims as C
 from ..operators import diff, discover as D, feed, fuzzy, graph, membership, paging, resolve, search
 from ..operators import reconcile as R
 from ..operators import works as W
-from ..session import checkpointed, spread
+from ..operators.content import distinct_contents
+from ..session import checkpointed
 from ..sources.datasets import Dataset
 from .catalog import Catalog
 
@@ -49,7 +50,7 @@ def shared_url_keys(table):
 
 @query("name_keys", f"SELECT doc_id, md5({NAME_KEY_SQL.format(t='text')}) AS key_digest FROM documents")
 def name_keys(table):
-    return spread(table("documents")).select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_digest"))
+    return table("documents").select("doc_id", F.md5(text.name_key(F.col("text"))).alias("key_digest"))
 
 
 @query("identifier_keys", """
@@ -158,8 +159,7 @@ def alias_resolution(table):
 SELECT l_returnflag AS kind, count(*) AS relationships, count(*) FILTER (WHERE profile_id IS NULL) AS unresolved
 FROM resolved GROUP BY l_returnflag""")
 def resolution_stats(table):
-    return _resolved(table).groupBy(F.col("l_returnflag").alias("kind")).agg(
-        F.count(F.lit(1)).alias("relationships"), F.count_if(F.col("profile_id").isNull()).alias("unresolved"))
+    return resolve.kind_counts(_resolved(table), "l_returnflag").withColumnRenamed("n", "relationships")
 
 
 @query("unresolved_page", RESOLVED_SQL + """
@@ -224,19 +224,19 @@ scored AS (
 
 @query("search_bm25", bm25_sql(["sur", "pas"]) + "SELECT doc_id, round(score, 6) AS score FROM scored")
 def search_bm25(table):
-    found = search.search_texts(spread(table("documents")), "sur pas", "doc_id", "text", one_part=True)
+    found = search.search_texts(table("documents"), "sur pas", "doc_id", "text", one_part=True)
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("search_top", bm25_sql(["avec", "dans"]) + """
 SELECT doc_id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, doc_id LIMIT 20""")
 def search_top(table):
-    found = search.search_texts(spread(table("documents")), '"Avec" + (dans)', "doc_id", "text", one_part=True)
+    found = search.search_texts(table("documents"), '"Avec" + (dans)', "doc_id", "text", one_part=True)
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 def _index(table) -> tuple[DataFrame, DataFrame]:
-    documents = spread(table("documents").select("doc_id", "text"))
+    documents = table("documents").select("doc_id", "text")
     return search.postings(documents, "doc_id"), search.lengths(documents, "doc_id")
 
 
@@ -262,7 +262,7 @@ def document_lengths(table):
 , found AS (SELECT doc_id, round(score, 6) AS score FROM scored JOIN documents USING (doc_id) WHERE lang = 'fr')
 SELECT doc_id, score, (SELECT count(*) FROM found) AS total FROM found ORDER BY score DESC, doc_id LIMIT 30 OFFSET 5""")
 def browse_page(table):
-    scored = search.search_texts(spread(table("documents")), "sur pas", "doc_id", "text", one_part=True)
+    scored = search.search_texts(table("documents"), "sur pas", "doc_id", "text", one_part=True)
     chosen = table("documents").filter("lang = 'fr'").select("doc_id")
     found = scored.join(chosen, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
     total = found.agg(F.count(F.lit(1)).alias("total")).scalar()
@@ -271,7 +271,7 @@ def browse_page(table):
 
 @query("collector_counts", "SELECT source AS collector, count(*) AS count FROM documents GROUP BY source")
 def collector_counts(table):
-    return table("documents").groupBy(F.col("source").alias("collector")).count()
+    return resolve.collector_counts(table("documents"), "source")
 
 
 # --- history ----------------------------------------------------------------
@@ -327,14 +327,14 @@ def change_rows(table):
 SELECT o_custkey AS profile_id, o_orderkey, o_orderstatus FROM orders WHERE year(o_orderdate) = 1996""")
 def as_of_records(table):
     versions = table("orders").withColumn("snapshot_id", F.year("o_orderdate"))
-    return versions.filter("snapshot_id = 1996").select(F.col("o_custkey").alias("profile_id"), "o_orderkey", "o_orderstatus")
+    return diff.as_of(versions, 1996).select(F.col("o_custkey").alias("profile_id"), "o_orderkey", "o_orderstatus")
 
 
 # --- claims and feed --------------------------------------------------------
 
 def _responses(table) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Events as responses of one job per user; error events yielded no claims."""
-    events = spread(table("events"))
+    events = table("events")
     responses = events.select(
         F.col("event_id").alias("response_id"), F.col("user_id").alias("job_id"), F.col("value").alias("observed"),
         F.concat(F.lit("https://example.org/"), text_of("user_id")).alias("url"), F.md5("props").alias("sha256"))
@@ -418,7 +418,7 @@ def _feed(table, heads=None):
     responses, claims, jobs = _responses(table)
     if heads is None:
         heads = responses.select("job_id", "response_id").limit(0)
-    return feed.claim_changes(responses, claims, jobs, heads)
+    return feed.claim_changes(responses, claims, jobs, feed.pending_responses(responses, claims, heads))
 
 
 @query("change_feed", FEED_SQL + "SELECT * FROM events_out")
@@ -439,8 +439,7 @@ def feed_sequence(table):
 SELECT * FROM (SELECT row_number() OVER (ORDER BY response_id, predicate) AS sequence, response_id, predicate FROM events_out)
 WHERE sequence > 700 ORDER BY sequence LIMIT 1000""")
 def feed_page(table):
-    numbered = feed.sequenced(_feed(table))
-    return numbered.filter("sequence > 700").select("sequence", "response_id", "predicate").orderBy("sequence").limit(1000)
+    return paging.cursor_rows(feed.sequenced(_feed(table)), 700, 1000).select("sequence", "response_id", "predicate")
 
 
 HEADS_SQL = "heads AS (SELECT user_id AS job_id, max(event_id) AS head FROM events WHERE event_type = 'purchase' AND value < 20 GROUP BY 1)"
@@ -463,7 +462,7 @@ SELECT job_id, max(response_id) AS response_id FROM done LEFT JOIN heads USING (
 WHERE response_id > coalesce(head, -1) GROUP BY job_id""")
 def feed_heads(table):
     responses, claims, _ = _responses(table)
-    return feed.new_heads(responses, claims, _heads(table))
+    return feed.new_heads(feed.pending_responses(responses, claims, _heads(table)))
 
 
 @query("feed_after_heads", FEED_SQL.replace("WITH ", f"WITH {HEADS_SQL}, ", 1) + """
@@ -480,7 +479,7 @@ def _accounts(table):
         F.when(F.col("c_nationkey") == 3, "someone-else").otherwise(F.upper(login)).alias("login"), F.col("c_custkey").alias("id"),
         F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("").alias("bio")))
     raw = F.when(F.col("c_nationkey") == 5, F.lit("not json")).otherwise(body)
-    customers = spread(table("customer"))
+    customers = table("customer")
     responses = customers.select(F.col("c_custkey").alias("response_id"), F.col("c_custkey").alias("job_id"), F.encode(raw, "UTF-8").alias("raw"))
     jobs = customers.select(F.col("c_custkey").alias("job_id"), F.lit("github-profile").alias("provider"), login.alias("subject"))
     return C.parse_responses(responses, jobs)
@@ -580,7 +579,7 @@ def movement_candidates(table):
 SELECT event_type AS status, count(*) AS jobs, count(*) FILTER (WHERE value <= 30) AS due FROM events GROUP BY event_type""")
 def job_histogram(table):
     jobs = table("events").select(F.col("event_type").alias("status"), F.col("value").alias("due"))
-    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("due") <= 30).alias("due"))
+    return C.job_histogram(jobs, 30)
 
 
 @query("eligible_jobs", """
@@ -633,6 +632,9 @@ lcs AS (
     FROM walk WHERE i < length(a))
   SELECT a, b, 200.0 * line[length(b) + 1] / (length(a) + length(b)) AS score FROM walk WHERE i = length(a))"""
 
+#: The named queries list the candidates of so many most similar names.
+BEST_NAMES = 10
+
 RECONCILE_SQL = f"""
 WITH l AS (
   SELECT c_custkey AS ord, c_custkey::VARCHAR AS id, lower(n_name || ' ' || c_mktsegment) AS name,
@@ -647,13 +649,13 @@ rid AS (SELECT id, unnest(['orcid', 'github', 'email']) AS ns, unnest([orcid, gi
 counts AS (
   SELECT ns, value, a.n AS n_left, b.n AS n_right
   FROM (SELECT ns, value, count(*) AS n FROM lid GROUP BY ALL) a JOIN (SELECT ns, value, count(*) AS n FROM rid GROUP BY ALL) b USING (ns, value)),
-listed AS (SELECT * FROM counts WHERE n_left * n_right <= 16 * (n_left + n_right)),
+listed AS (SELECT * FROM counts WHERE n_left = 1 OR n_right = 1),
 name_pairs AS (SELECT DISTINCT l.name AS a, r.name AS b FROM l, r),
 {LCS_SQL.strip()},
 near AS (
   SELECT l_name, id AS right_id FROM (
     SELECT lcs.a AS l_name, r.id, row_number() OVER (PARTITION BY lcs.a ORDER BY score DESC, r.ord) AS n
-    FROM lcs JOIN r ON r.name = lcs.b WHERE score >= 75) WHERE n <= 10),
+    FROM lcs JOIN r ON r.name = lcs.b WHERE score >= 75) WHERE n <= {BEST_NAMES}),
 candidates AS (
   SELECT lid.id AS left_id, rid.id AS right_id FROM lid JOIN listed USING (ns, value) JOIN rid USING (ns, value)
   UNION SELECT l.id, right_id FROM l JOIN near ON near.l_name = l.name),
@@ -683,7 +685,7 @@ def identifier_counts(table):
 
 
 @query("shared_identifier_groups", RECONCILE_SQL + """
-SELECT ns, value, n_left, n_right FROM counts WHERE n_left * n_right > 16 * (n_left + n_right)""")
+SELECT ns, value, n_left, n_right FROM counts WHERE n_left > 1 AND n_right > 1""")
 def shared_identifier_groups(table):
     left, right = _datasets(table)
     counts = R.identifier_counts(R.identifiers_of(left.records), R.identifiers_of(right.records))
@@ -694,21 +696,21 @@ def shared_identifier_groups(table):
 SELECT left_id, right_id, status, score,
        concat_ws(',', CASE WHEN github_conflict THEN 'github' END, CASE WHEN orcid_conflict THEN 'orcid' END) AS conflicts FROM pairs""")
 def candidate_pairs(table):
-    return R.reconcile(*_datasets(table)).pairs.select(
+    return R.reconcile(*_datasets(table), best_names=BEST_NAMES).pairs.select(
         "left_id", "right_id", "status", "score", F.array_join("conflicting_identifier_namespaces", ",").alias("conflicts"))
 
 
 @query("record_status", RECONCILE_SQL + "SELECT left_id, status FROM records")
 def record_status(table):
-    return R.reconcile(*_datasets(table)).records.select("left_id", "status")
+    return R.reconcile(*_datasets(table), best_names=BEST_NAMES).records.select("left_id", "status")
 
 
 @query("match_summary", RECONCILE_SQL + """
 SELECT count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'possible_match') AS possible_match,
        count(*) FILTER (WHERE status = 'unmatched') AS unmatched, 0::BIGINT AS incomplete FROM records""")
 def match_summary(table):
-    records = R.reconcile(*_datasets(table)).records
-    return records.agg(*[F.count_if(F.col("status") == s).alias(s) for s in R.STATUSES])
+    records = R.reconcile(*_datasets(table), best_names=BEST_NAMES).records
+    return R.status_counts(records)
 
 
 @query("match_quality", RECONCILE_SQL + """
@@ -720,7 +722,7 @@ SELECT (SELECT count(*) FROM gold) AS true_pairs, (SELECT count(*) FROM auto) AS
        (SELECT count(*) FROM gold g WHERE EXISTS (SELECT 1 FROM lid JOIN counts USING (ns, value) JOIN rid USING (ns, value)
           WHERE lid.id = g.left_id AND rid.id = g.right_id)) AS retrieved""")
 def match_quality(table):
-    result = R.reconcile(*_datasets(table))
+    result = R.reconcile(*_datasets(table), best_names=BEST_NAMES)
     balance = lambda side: F.get(side.identifiers["orcid"], F.lit(0))
     left, right = result.left.records, result.right.records
     gold = left.select(F.col("record_id").alias("left_id"), balance(left).alias("balance")).join(
@@ -763,7 +765,7 @@ def _annotations(table):
 def _discovered(table, mode: str):
     """Documents as profiles; each event's latest claims belong to the document with the user's number."""
     profiles = table("documents").select(text_of("doc_id").alias("profile_id"), F.col("text").alias("payload"))
-    scored = search.search_texts(spread(table("documents")), "sur pas", "doc_id", "text", one_part=True).select(
+    scored = search.search_texts(table("documents"), "sur pas", "doc_id", "text", one_part=True).select(
         text_of("doc_id").alias("profile_id"), "score")
     responses, claims, jobs = _responses(table)
     links = jobs.select(text_of("job_id").alias("profile_id"), "provider", "subject")
@@ -776,7 +778,7 @@ def discover_sql(condition: str) -> str:
 matched AS (SELECT job_id::VARCHAR AS profile_id, count(*) AS claims FROM claims JOIN latest USING (job_id, response_id)
             WHERE contains(lower(value), 'c') GROUP BY job_id),
 notes AS (SELECT doc_id::VARCHAR AS profile_id, toxic = 1 AS known, CASE quality WHEN 1 THEN 'shortlisted' ELSE 'dismissed' END AS selection FROM labels)
-SELECT d.doc_id::VARCHAR AS profile_id, round(s.score, 6) AS score, least(coalesce(m.claims, 0), 5)::BIGINT AS claims,
+SELECT d.doc_id::VARCHAR AS profile_id, round(s.score, 6) AS score, coalesce(m.claims, 0)::BIGINT AS claims,
        CASE WHEN s.score IS NOT NULL THEN '{D.IMPORTED}' ELSE '{D.ENRICHED}' END AS match_basis
 FROM documents d LEFT JOIN scored s ON s.doc_id = d.doc_id LEFT JOIN matched m ON m.profile_id = d.doc_id::VARCHAR
 LEFT JOIN notes n ON n.profile_id = d.doc_id::VARCHAR
@@ -784,7 +786,7 @@ WHERE (s.score IS NOT NULL OR m.claims > 0) AND {condition}"""
 
 
 def _shown(found):
-    return found.select("profile_id", F.round("score", 6).alias("score"), F.size("enriched_matches").cast("bigint").alias("claims"), "match_basis")
+    return found.select("profile_id", F.round("score", 6).alias("score"), "claims", "match_basis")
 
 
 @query("discover_all", discover_sql("true"))
@@ -806,14 +808,14 @@ def discover_shortlisted(table):
 SELECT l.doc_id::VARCHAR AS profile_id, d.n_chars FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang = 'en' WHERE quality = 1""")
 def shortlist(table):
     documents = table("documents").filter("lang = 'en'").select(text_of("doc_id").alias("profile_id"), "n_chars")
-    return _annotations(table).filter("selection = 'shortlisted'").select("profile_id").join(documents, "profile_id", "left")
+    return D.shortlisted(_annotations(table), documents).select("profile_id", "n_chars")
 
 
 @query("latest_annotations", """
 SELECT user_id::VARCHAR AS profile_id, arg_max(event_type, event_id) AS selection, count(*) AS saved FROM events GROUP BY user_id""")
 def latest_annotations(table):
     log = table("events").select(text_of("user_id").alias("profile_id"), F.col("event_type").alias("selection"), F.col("event_id").alias("sequence"))
-    return log.groupBy("profile_id").agg(F.max_by("selection", "sequence").alias("selection"), F.count(F.lit(1)).alias("saved"))
+    return D.latest_annotations(log, ["selection"])
 
 
 def _members(frame, fingerprint):
@@ -881,21 +883,19 @@ def cohort_counters(table):
 
 
 @query("seed_tasks", f"""WITH {TASKS_SQL}
-SELECT f.p AS profile_id, f.n AS position, provider, subject FROM first_tasks ANTI JOIN jobs USING (provider, subject)
-ORDER BY profile_id, position LIMIT 100000""")
+SELECT f.p AS profile_id, f.n AS position, provider, subject FROM first_tasks ANTI JOIN jobs USING (provider, subject)""")
 def seed_tasks(table):
-    return C.seed_tasks(_cohort(table), _jobs_and_links(table)[0], 100_000)
+    return C.seed_tasks(_cohort(table), _jobs_and_links(table)[0])
 
 
 @query("plan_tasks", f"""WITH {TASKS_SQL}
 SELECT f.p AS profile_id, provider, subject,
        CASE WHEN j.failed IS NOT NULL THEN '{membership.EXISTING_JOB}' ELSE '{membership.QUERY_TASK}' END AS reason
 FROM first_tasks t LEFT JOIN jobs j USING (provider, subject)
-WHERE NOT (coalesce(j.failed, false) AND f.p = printf('%010d', CAST(substr(subject, 2) AS BIGINT)))
-ORDER BY f.p, f.n LIMIT 1000""".replace("CAST(substr(subject, 2) AS BIGINT)", "coalesce(TRY_CAST(substr(subject, 2) AS BIGINT), -1)"))
+WHERE NOT (coalesce(j.failed, false) AND f.p = printf('%010d', CAST(substr(subject, 2) AS BIGINT)))""".replace("CAST(substr(subject, 2) AS BIGINT)", "coalesce(TRY_CAST(substr(subject, 2) AS BIGINT), -1)"))
 def plan_tasks(table):
     jobs, links = _jobs_and_links(table)
-    return membership.plan_tasks(_cohort(table), jobs, links, 1.0, 1000, False)[0]
+    return membership.plan_tasks(_cohort(table), jobs, links, 1.0, None, False)[0]
 
 
 @query("origin_cohort", """
@@ -961,7 +961,7 @@ def path_neighbours(table):
 def _credits(table):
     """Line items as credits: the supplier contributed to the part in a role named by the ship year."""
     url = F.concat(F.lit("https://example.org/part/"), text_of("l_partkey"))
-    joined = spread(table("lineitem")).join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
     work = F.to_json(F.struct(
         text_of("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("organization"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("observed_at"), url.alias("source_url"), F.lit("r").alias("regional_evidence")))
@@ -1002,8 +1002,7 @@ def collapsed_credits(table):
 SELECT rid, count(*) AS entries, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS organization,
        string_agg(DISTINCT role, '; ' ORDER BY role) AS role, max(observed_at) AS observed_at FROM entries GROUP BY rid""")
 def work_rollup(table):
-    return W.rolled_up(checkpointed(_collapsed(table))).select(
-        "rid", F.size("entries").cast("bigint").alias("entries"), "organization", "role", "observed_at")
+    return W.rolled_up(_collapsed(table)).select("rid", "entries", "organization", "role", "observed_at")
 
 
 @query("batch_problems", """
@@ -1024,5 +1023,4 @@ def batch_problems(table):
 @query("distinct_artifacts", """
 SELECT sha256(text) AS sha256, min(doc_id) AS first_doc, count(*) AS copies FROM documents GROUP BY 1""")
 def distinct_artifacts(table):
-    return table("documents").groupBy(F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256")).agg(
-        F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"))
+    return distinct_contents(table("documents"), F.encode("text", "UTF-8"), "doc_id").withColumnRenamed("first", "first_doc")

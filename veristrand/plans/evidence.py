@@ -18,11 +18,12 @@ LINKS = "profile_id string, provider string, subject string"
 RESPONSES = ("response_id bigint, job_id bigint, observed double, url string, sha256 string, raw binary, "
              "parser_version string")
 CLAIMS = "response_id bigint, subject string, predicate string, value string, pos bigint"
-HEADS = "job_id bigint, response_id bigint, batch_id bigint"
+HEADS = "job_id bigint, response_id bigint, batch string"
+COMMITS = "batch string, last_sequence bigint, events bigint"
 EVENTS = (
     "sequence bigint, job_id bigint, response_id bigint, predicate string, kind string, provider string, "
     "subject string, before array<string>, after array<string>, source string, observed_at double, "
-    "previous_response_id bigint, sha256 string, meaning string, batch_id bigint"
+    "previous_response_id bigint, sha256 string, meaning string, batch string"
 )
 
 
@@ -74,42 +75,60 @@ class Evidence:
 
 
 class ChangeFeed:
-    """Pull-based feed. Each sync is one batch whose folders a replay overwrites."""
+    """Pull-based feed. A batch, named by its source, counts once its commit row is written last.
+
+    What a batch without that row left behind is replaced by its repetition and seen by
+    nobody; a committed batch is never written again. So numbers are given once, whether
+    plain calls, a stream or both publish.
+    """
 
     def __init__(self, evidence: Evidence):
         self.evidence, self.tables = evidence, evidence.tables
 
-    def heads(self, before_batch: int | None = None) -> DataFrame:
-        log = self.tables.read("feed_heads", schema=HEADS)
-        if before_batch is not None:
-            log = log.filter(F.col("batch_id") < before_batch)
-        return log.groupBy("job_id").agg(F.max("response_id").alias("response_id"))
+    def commits(self) -> DataFrame:
+        return self.tables.read("feed_commits", schema=COMMITS)
+
+    def _committed(self, table: str, schema: str) -> DataFrame:
+        return self.tables.read(table, schema=schema).join(self.commits().select("batch"), "batch", "left_semi")
+
+    def heads(self) -> DataFrame:
+        return self._committed("feed_heads", HEADS).groupBy("job_id").agg(F.max("response_id").alias("response_id"))
 
     def events(self) -> DataFrame:
-        return self.tables.read("feed_events", schema=EVENTS)
+        return self._committed("feed_events", EVENTS)
 
-    def sync(self, batch_id: int | None = None) -> int:
+    def sync(self, batch: str | None = None, archived: str | None = None) -> int:
         """Publish changes of responses past the heads; returns how many.
 
-        With a ``batch_id`` the call may repeat: it sees only earlier batches and
-        rewrites its own, so a restarted stream neither loses nor doubles events.
+        A ``batch`` name makes the call repeatable: once committed it only reports what it
+        published. ``archived`` names the batch of responses whose jobs alone are compared.
         """
-        if batch_id is None:
-            last = self.tables.read("feed_heads", schema=HEADS).agg(F.max("batch_id")).first()[0]
-            batch_id = 0 if last is None else last + 1
+        done = self.commits().agg(F.count(F.lit(1)).alias("n"), F.max("last_sequence").alias("last"),
+                                  F.max(F.when(F.col("batch") == (batch or ""), F.col("events"))).alias("own")).first()
+        if done.own is not None:
+            return done.own
+        batch = batch or f"sync-{uuid.uuid4().hex}"
         responses, claims = self.evidence.responses(), self.evidence.claims()
-        heads = self.heads(batch_id)
-        moved = feeds.new_heads(responses, claims, heads)
-        if moved.isEmpty():
-            return 0
-        last = self.events().filter(F.col("batch_id") < batch_id).agg(F.max("sequence")).first()[0] or 0
-        changes = feeds.claim_changes(responses, claims, self.evidence.jobs(), heads)
-        events = feeds.sequenced(changes, last)
-        self.tables.write(events, "feed_events", f"batch_id={batch_id}", mode="overwrite")
-        self.tables.write(moved, "feed_heads", f"batch_id={batch_id}", mode="overwrite")
-        return self.events().filter(F.col("batch_id") == batch_id).count()
+        if archived is not None:
+            fresh = self.tables.read("responses", f"batch={archived}", schema=RESPONSES).select("job_id").distinct()
+            responses = responses.join(fresh, "job_id", "left_semi")
+        pending = feeds.pending_responses(responses, claims, self.heads()).persist()
+        try:
+            moved = feeds.new_heads(pending)
+            if moved.isEmpty():
+                return 0
+            changes = feeds.claim_changes(responses, claims, self.evidence.jobs(), pending)
+            events = feeds.sequenced(changes, done.last or 0)
+            self.tables.write(events, "feed_events", f"batch={batch}", mode="overwrite")
+            self.tables.write(moved, "feed_heads", f"batch={batch}", mode="overwrite")
+        finally:
+            pending.unpersist()
+        count = self.tables.read("feed_events", schema=EVENTS).filter(F.col("batch") == batch).count()
+        self.tables.append_row(
+            {"batch": batch, "last_sequence": (done.last or 0) + count, "events": count}, COMMITS, "feed_commits")
+        return count
 
     def read(self, after: int = 0, limit: int = 100) -> dict:
         if type(after) is int and after >= 0:
             self.sync()
-        return after_cursor(self.events().drop("batch_id"), after, limit)
+        return after_cursor(self.events().drop("batch"), after, limit)

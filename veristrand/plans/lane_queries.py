@@ -10,7 +10,6 @@ from ..functions import payload as P
 from ..functions.text import slug
 from ..functions.urls import github_repository
 from ..lanes import builders, common, creative, funded, research, software
-from ..session import spread
 from ..sources import pages as H
 from .catalog import Catalog
 from .core_queries import text_of
@@ -45,7 +44,7 @@ FROM (SELECT page_id, generate_subscripts(l, 1) AS pos, unnest(l) AS a FROM
   (SELECT page_id, regexp_extract_all(html, '(?is)(<a\\b[^>]*>.*?</a\\s*>)', 1) AS l FROM pages))
 WHERE regexp_extract(a, 'href="([^"]*)"', 1) <> ''""")
 def page_links(table):
-    return H.page_links(spread(table("pages")), key="page_id")
+    return H.page_links(table("pages"), key="page_id")
 
 
 @query("link_targets", f"""
@@ -54,7 +53,7 @@ SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets,
   SELECT page_id, url, regexp_extract(unnest(regexp_extract_all(html, '(?is)(<a\\b[^>]*>.*?</a\\s*>)', 1)), 'href="([^"]*)"', 1) AS href FROM pages)
 WHERE href <> '' GROUP BY page_id""")
 def link_targets(table):
-    links = H.page_links(spread(table("pages")), key="page_id").join(table("pages").select("page_id", "url"), "page_id")
+    links = H.page_links(table("pages"), key="page_id").join(table("pages").select("page_id", "url"), "page_id")
     return links.groupBy("page_id").agg(
         F.count(F.lit(1)).alias("links"), F.countDistinct("href").alias("targets"),
         F.min(H.resolve_href(F.col("url"), F.col("href"))).alias("first_target"))
@@ -66,7 +65,7 @@ SELECT page_id, tag, count(*) AS blocks, md5(min(text)) AS first_text FROM (
   FROM (SELECT page_id, unnest(regexp_extract_all({VISIBLE}, '(?is)(<(?:h[1-6]|p|li)\\b[^>]*>.*?</(?:h[1-6]|p|li)\\s*>)', 1)) AS b FROM pages))
 WHERE text <> '' GROUP BY page_id, tag""")
 def page_blocks(table):
-    return H.page_blocks(spread(table("pages")), key="page_id").groupBy("page_id", "tag").agg(
+    return H.page_blocks(table("pages"), key="page_id").groupBy("page_id", "tag").agg(
         F.count(F.lit(1)).alias("blocks"), F.md5(F.min("text")).alias("first_text"))
 
 
@@ -78,14 +77,16 @@ lines AS (SELECT page_id, {squeezed('line')} AS line FROM (
 
 @query("page_lines", f"WITH {LINES_SQL} SELECT page_id, md5(line) AS line, count(*) AS n FROM lines WHERE line <> '' GROUP BY ALL")
 def page_lines(table):
-    return H.page_lines(spread(table("pages")), key="page_id").groupBy("page_id", F.md5("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    return H.page_lines(table("pages"), key="page_id").groupBy("page_id", F.md5("line").alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("page_titles", f"""
+SELECT page_id, title, heading, CASE WHEN trim(split_part(title, ' | ', 1)) <> '' THEN trim(split_part(title, ' | ', 1)) ELSE heading END AS content FROM (
 SELECT page_id, {fragment("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-       {fragment("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading FROM pages""")
+       {fragment("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} AS heading FROM pages)""")
 def page_titles(table):
-    return table("pages").select("page_id", H.page_title(F.col("html")).alias("title"), H.first_heading(F.col("html")).alias("heading"))
+    found = table("pages").select("page_id", H.page_title(F.col("html")).alias("title"), H.first_heading(F.col("html")).alias("heading"))
+    return found.withColumn("content", N.content_title(F.col("title"), F.col("heading")))
 
 
 @query("section_items", f"""
@@ -149,7 +150,7 @@ SPAN = "[A-ZÀ-ÖØ-Þ][\\p{L}\\p{M}\\p{Nd}_À-ÖØ-öø-ÿ''’.-]*(?:\\s+[A-Z
 SELECT doc_id, len(regexp_extract_all(text, '{SPAN}')) AS spans, md5(array_to_string(regexp_extract_all(text, '{SPAN}'), '|')) AS digest FROM documents""")
 def capitalised_spans(table):
     spans = F.regexp_extract_all("text", F.lit(f"({N.FULL_NAME})"), 1)
-    return spread(table("documents")).select("doc_id", spans.alias("s")).select(
+    return table("documents").select("doc_id", spans.alias("s")).select(
         "doc_id", F.size("s").cast("bigint").alias("spans"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
@@ -228,7 +229,7 @@ def _scholarly(table):
     author = F.struct(
         F.struct(F.concat(F.lit("https://openalex.org/A"), text_of("l_partkey")).alias("id"), F.concat(F.lit("Part "), text_of("l_partkey")).alias("display_name")).alias("author"),
         F.lit("middle").alias("author_position"), F.array(F.struct(F.concat(F.lit("https://openalex.org/I"), text_of("l_suppkey")).alias("id"))).alias("institutions"))
-    lines = spread(table("lineitem")).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(author)).alias("authorships"))
+    lines = table("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(author)).alias("authorships"))
     orders = table("orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     body = F.struct(
         F.concat(F.lit("https://openalex.org/W"), text_of("o_orderkey")).alias("id"), F.col("o_orderpriority").alias("display_name"),
@@ -275,7 +276,7 @@ def _activity(table):
     people = table("customer").filter("c_acctbal > 0").select(
         F.concat(F.lit("user-"), text_of("c_custkey")).alias("login_key"), F.concat(F.lit("User-"), text_of("c_custkey")).alias("login"), F.col("c_name").alias("name"),
         F.lit("").alias("person_url"), F.lit("near").alias("scope"), F.lit("t").alias("tie"), F.lit("o").alias("origin"))
-    return software.event_credits(_documents(spread(table("events")), body, "event_id"), people)
+    return software.event_credits(_documents(table("events"), body, "event_id"), people)
 
 
 @query("activity_credits", f"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..operators.content import content_digest
-from ..operators.reconcile import REVIEWS, Reconciled, reconcile
+from ..operators.reconcile import REVIEWS, Reconciled, all_candidates, reconcile
 from ..sources.datasets import RECORD_SCHEMA, Dataset
 from .tables import Tables
 
@@ -62,6 +62,7 @@ class Reconciliation:
         run_id = uuid.uuid4().hex
         digests = [self._keep(left), self._keep(right)]
         self.tables.write(result.pairs, "run_pairs", f"run_id={run_id}")
+        self.tables.write(result.members(), "run_members", f"run_id={run_id}")
         self.tables.write(result.records, "run_records", f"run_id={run_id}")
         self.tables.append_row(
             {"sequence": self._next(self.runs()), "run_id": run_id,
@@ -86,9 +87,19 @@ class Reconciliation:
         self._run(run_id)
         return self.spark.read.parquet(self.tables.path("run_pairs", f"run_id={run_id}"))
 
+    def run_members(self, run_id: str) -> DataFrame:
+        """Records that share a factored identifier."""
+        self._run(run_id)
+        return self.spark.read.parquet(self.tables.path("run_members", f"run_id={run_id}"))
+
+    def run_candidates(self, run_id: str) -> DataFrame:
+        """Every candidate of a stored run, listed or factored."""
+        return all_candidates(self.run_pairs(run_id), self.run_members(run_id))
+
     def export(self, run_id: str, path: str) -> None:
-        """Record statuses and explained pairs of a run as JSON lines; an existing target is refused."""
-        for name, rows in (("records", self.run(run_id)), ("pairs", self.run_pairs(run_id))):
+        """Statuses, explained pairs and group members of a run as JSON lines; an existing target is refused."""
+        parts = (("records", self.run(run_id)), ("pairs", self.run_pairs(run_id)), ("members", self.run_members(run_id)))
+        for name, rows in parts:
             rows.write.mode("errorifexists").json(f"{path}/{name}.jsonl")
 
     def rerun(self, run_id: str) -> tuple[str, Reconciled]:

@@ -181,8 +181,7 @@ class EvidenceStore:
 
     def stats(self) -> dict:
         latest = self._published()
-        counted = self._version(latest.snapshot_id).groupBy("kind").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("profile_id").isNull()).alias("unresolved")).collect()
+        counted = resolve.kind_counts(self._version(latest.snapshot_id)).collect()
         found = {row.kind: row for row in counted}
         counts = {kind: found[kind].n if kind in found else 0 for kind in KINDS}
         unresolved = found["relationships"].unresolved if "relationships" in found else 0
@@ -191,7 +190,7 @@ class EvidenceStore:
             "snapshot_id": latest.snapshot_id}}
 
     def collectors(self) -> DataFrame:
-        return self.table("profiles").groupBy("collector").count().orderBy("collector")
+        return resolve.collector_counts(self.table("profiles")).orderBy("collector")
 
     def unresolved(self, limit: int = 20, offset: int = 0) -> DataFrame:
         rows = self.table("relationships").filter("profile_id IS NULL").select(

@@ -16,6 +16,8 @@ from ..sources import batches
 from .store import EvidenceStore
 from .tables import Tables
 
+#: Up to so many new files their paths are sent to every task; beyond, contents are shuffled once.
+TOLD_PATHS = 50_000
 RUNS = "sequence bigint, run_id string, lane string, manifest string"
 ARTIFACTS = "sha256 string, bytes binary"
 RUN_ARTIFACTS = "run_id string, path string, sha256 string"
@@ -70,8 +72,11 @@ class Works:
         if not self.runs().filter(F.col("run_id") == run_id).isEmpty():
             return {"run_id": run_id, "status": "unchanged", **counts}
         doc = F.col("doc")
-        new_files = files.join(kept.select("path"), "path", "left_semi").dropDuplicates(["sha256"]).join(
-            self.artifacts().select("sha256"), "sha256", "left_anti")
+        # Decided on hashes; only the chosen files' contents are then read, and never shuffled.
+        chosen = kept.groupBy("sha256").agg(F.min("path").alias("path")).join(
+            self.artifacts().select("sha256"), "sha256", "left_anti").select("path")
+        chosen = F.broadcast(chosen) if chosen.count() <= TOLD_PATHS else chosen
+        new_files = files.join(chosen, "path", "left_semi")
         self.tables.write(new_files.select("sha256", F.col("content").alias("bytes")), "artifacts", mode="append")
         self.tables.write(kept, "run_artifacts", f"run_id={run_id}", mode="overwrite")
         self.tables.write(works.select(P.field(doc, "id").alias("id"), "pos", "payload"), "works", f"run_id={run_id}", mode="overwrite")
@@ -100,7 +105,8 @@ class Works:
         """Write a complete export: the store's records plus records made from credits.
 
         Credits group by source identity only. Records made by an earlier export
-        are rebuilt, not added again. Each stream is a folder of JSON lines.
+        are rebuilt, not added again. Each stream is a folder of JSON lines; a profile
+        row holds what its credits add up to, and ``credits`` holds them all, by profile.
         """
         unknown = self.runs().filter(~F.col("lane").isin(*W.COLLECTORS)).first()
         if unknown:
@@ -110,20 +116,18 @@ class Works:
         people = base["profiles"].select(F.col("profile_id").alias("record_id"), W.stripped(F.col("payload")).alias("payload"))
         entries = checkpointed(W.with_fields(W.collapsed_credits(self.credits(), people)))
         rolled = W.rolled_up(entries)
-        merged, rest = W.merged_people(people, rolled)
-        merged = checkpointed(merged)
+        merged = checkpointed(W.merged_people(people, rolled))
         kept = lambda kind: base[kind].select("payload")
         streams = {
             "people": merged.select("payload"),
             "evidence": kept("observations").unionByName(W.credit_observations(entries).select("payload")),
             "connections": kept("relationships").unionByName(W.credit_relationships(entries, rolled).select("payload")),
+            "credits": W.credit_rows(entries),
         }
         counts = {}
         for name, rows in streams.items():
             rows.write.mode("errorifexists").text(f"{output}/{name}.jsonl")
             counts[name] = self.spark.read.text(f"{output}/{name}.jsonl").count()
-        if not entries.groupBy("rid").count().filter(F.col("count") > W.ENTRIES_PER_ROW).isEmpty():
-            rest.write.mode("errorifexists").text(f"{output}/people-parts.jsonl")
         origins = {r.origin: r.n for r in merged.groupBy("origin").agg(F.count(F.lit(1)).alias("n")).collect()}
         return {**counts, "work_profiles": origins.get("new", 0) + origins.get("enriched", 0),
                 "new_work_profiles": origins.get("new", 0), "enriched_existing_profiles": origins.get("enriched", 0),

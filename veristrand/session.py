@@ -53,16 +53,3 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage on reliable storage, so a lost executor costs no recomputation."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
-
-
-def spread(frame: DataFrame) -> DataFrame:
-    """Rows over all cores when their source has fewer splits than that.
-
-    For work that costs much more per row than moving the row does. A table with
-    at least as many splits as the cluster has cores is left alone.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    files = frame.inputFiles()
-    if len(files) >= cores:
-        return frame
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

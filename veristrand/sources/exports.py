@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..functions.text import casefold
 from ..functions.urls import url_key
+from ..operators.content import content_digest
 
 # The streams of a complete export and what each row must carry.
 STREAMS = {
@@ -15,20 +16,32 @@ STREAMS = {
     "observations": ("evidence.jsonl", ("record_id", "name", "source_url", "regional_evidence")),
     "relationships": ("connections.jsonl", ("subject_name", "relation", "source_url", "evidence")),
 }
-PART_LIMIT = 1 << 30
 
 
-def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with ``pos``, a file-order position, and the parsed ``doc``.
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file_name, pos, value): every line with its dense place in all files, in name order.
 
-    A split starts at a byte offset and holds fewer lines than bytes, so offset +
-    line number inside the split grows with file order without a global sort.
+    Names are ordered by their first number, then as text. Inside a split lines are numbered
+    as they are read; only one count per split meets in the prefix sum, and that table, about
+    a hundred bytes for each split of the input, goes to every task.
     """
-    line = F.regexp_replace(F.col("value"), r"^\uFEFF", "")
     number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file_name"),
-        (F.col("_metadata.file_block_start") + number).alias("pos"), line.alias("payload"))
+        F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("_block"),
+        number.alias("_number"), "value")
+    digits = F.lpad(F.regexp_extract("file_name", r"(\d{1,30})", 1), 30, "0")
+    before = Window.orderBy(digits, "file_name", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("file_name", "_block").agg(
+        F.count(F.lit(1)).alias("_lines"), F.min("_number").alias("_first")).select(
+        "file_name", "_block", (F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return lines.join(F.broadcast(starts), ["file_name", "_block"]).select(
+        "file_name", (F.col("_number") + F.col("_shift")).alias("pos"), "value")
+
+
+def json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-blank lines with ``pos``, unique and in file order over any number of files, and the parsed ``doc``."""
+    line = F.regexp_replace(F.col("value"), r"^\uFEFF", "")
+    lines = placed_lines(spark, path).select("file_name", "pos", line.alias("payload"))
     return P.once(lines.filter(F.trim("payload") != ""), "doc", P.variant(F.col("payload")))
 
 
@@ -71,23 +84,7 @@ def stream_columns(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def content_hashes(spark: SparkSession, directory: str) -> dict[str, str]:
-    """SHA-256 per stream, over the part files in name order.
-
-    Each part is hashed by the task that reads it; the driver sees one digest per
-    part. A stream is a single file or a folder of parts, each below 1 GiB.
-    """
-    hashes = {}
-    for file_name, _ in STREAMS.values():
-        parts = spark.read.format("binaryFile").load(f"{directory}/{file_name}")
-        large = parts.filter(F.col("length") > PART_LIMIT).select("path").first()
-        if large:
-            raise ValueError(f"{large.path}: write exports as part files of at most 1 GiB")
-        digests = (
-            parts.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha"))
-            .agg(F.array_sort(F.collect_list(F.struct("name", "sha"))).alias("parts"))
-            .select(F.sha2(F.to_json("parts"), 256).alias("many"), F.get("parts", F.lit(0))["sha"].alias("one"),
-                    F.size("parts").alias("n"))
-            .first()
-        )
-        hashes[file_name] = digests.one if digests.n == 1 else digests.many
-    return hashes
+    """A content address per stream: its lines with their places, however they are split into files."""
+    return {
+        file_name: content_digest(placed_lines(spark, f"{directory}/{file_name}"), "pos", "value")[0]
+        for file_name, _ in STREAMS.values()}

@@ -3,8 +3,9 @@
 State is a log of heads, one row per job that moved in a batch, not per-key
 state of a streaming operator: a job that sends a third of all responses would
 pin one state partition, while a micro-batch compares its responses in parallel.
-Each micro-batch writes folders named by its batch id, so a batch that Spark
-repeats after a failure replaces its own output.
+Each micro-batch writes folders named by the stream and its batch id, so a batch
+that Spark repeats after a failure replaces its own output or, once committed,
+changes nothing; plain syncs in between have names of their own.
 """
 
 from __future__ import annotations
@@ -28,12 +29,13 @@ def response_stream(evidence: Evidence, source: str, files_per_batch: int | None
 
 
 def run_feed(evidence: Evidence, feed: ChangeFeed, responses: DataFrame, checkpoint: str,
-             after_batch: Callable[[int], None] | None = None, **trigger) -> StreamingQuery:
-    """Archive each micro-batch, extract its claims and publish what changed."""
+             after_batch: Callable[[int], None] | None = None, stream: str = "stream", **trigger) -> StreamingQuery:
+    """Archive each micro-batch, extract its claims and publish what changed; streams need names of their own."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        evidence.archive(batch, f"stream-{batch_id}")
-        feed.sync(batch_id)
+        name = f"{stream}-{batch_id}"
+        evidence.archive(batch, name)
+        feed.sync(name, archived=name)
         if after_batch:
             after_batch(batch_id)
 
