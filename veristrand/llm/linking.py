@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import staged
@@ -50,20 +50,22 @@ def shared(postings: DataFrame) -> DataFrame:
     return postings.join(held.hint("shuffle_hash"), "key", "left_semi")
 
 
-def classes(postings: DataFrame, verify: Callable[[DataFrame], DataFrame], admissible: Admissible | None = None) -> DataFrame:
+def classes(
+    postings: DataFrame, verify: Callable[[DataFrame], DataFrame], admissible: Admissible | None = None, hubs: int = 1,
+) -> DataFrame:
     """``id`` and ``root`` of all ids that verified links connect.
 
     ``postings``, a stored table, has key, id, rank and what ``admissible`` needs; a pair is a candidate when it
-    shares a key and is admissible. First every key's holders are compared with the one of
-    lowest rank (its hub) alone. What that connects needs no further comparison; every key
+    shares a key and is admissible. First every key's holders are compared with the few
+    (``hubs``) of lowest rank alone. What that connects needs no further comparison; every key
     that still holds several classes then compares each holder outside its largest class with
     all holders of other classes. So no link between classes is lost, and a group of copies
-    costs a comparison per member instead of one per pair.
+    costs a few comparisons per member instead of one per pair.
     """
     admissible = admissible or (lambda x, y: F.lit(True))
-    own = [c for c in postings.columns if c != "key"]
-    hubs = postings.groupBy("key").agg(F.min_by(F.struct(*own), "rank").alias("hub")).select("key", "hub.*")
-    first = staged(_pairs(postings, hubs, admissible, F.col("x.id") != F.col("y.id")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
+    centres = postings.withColumn("_place", place).filter(F.col("_place") <= hubs).drop("_place")
+    first = staged(_pairs(postings, centres, admissible, F.col("x.id") != F.col("y.id")))
     links = staged(verify(first))
     roots = components(links)
     placed = staged(

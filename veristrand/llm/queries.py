@@ -66,7 +66,31 @@ def op2_chat_format(table):
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
-@catalog.add("op4_sharding")
+@catalog.add("op4_sharding", sql=r"""
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+hexed AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, source, (length(h) // 2 + 1)::BIGINT AS size,
+    xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM hexed, tab),
+ranked AS (
+  SELECT *, md5('17:' || doc_id) AS digest,
+    (row_number() OVER (PARTITION BY source ORDER BY md5('17:' || doc_id), doc_id, size, text_crc32) - 0.5::DOUBLE)
+      / count(*) OVER (PARTITION BY source) AS fraction
+  FROM sized),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, digest, doc_id, size, text_crc32) - 1 AS place,
+    count(*) OVER () // 16 AS small, count(*) OVER () % 16 AS larger FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law,
+  (CASE WHEN place < larger * (small + 1) THEN place // (small + 1)
+        ELSE larger + (place - larger * (small + 1)) // greatest(small, 1) END)::INTEGER AS shard,
+  CASE WHEN place < larger * (small + 1) THEN place % (small + 1)
+       ELSE (place - larger * (small + 1)) % greatest(small, 1) END AS slot,
+  NULL::INTEGER AS grown_shard
+FROM placed""")
 def op4_sharding(table):
     sized = table("documents").select(
         "doc_id", "source", (tokens.utf8_bytes("text") + 1).alias("size"),
@@ -90,13 +114,59 @@ def op8_token_counts(table):
         "doc_id", tokens.utf8_bytes("text").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-@catalog.add("op10_quality_rules")
+QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+f AS (
+  SELECT doc_id, line, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words,
+    length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS letters,
+    length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g')) AS symbols,
+    length(line) - length(replace(line, '!', '')) AS shouts
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines,
+    sum(words) FILTER (WHERE NOT (symbols > 0.1::DOUBLE * letters OR (shouts > 0.08::DOUBLE * letters AND shouts > 2)
+      OR regexp_matches(line, '{boilerplate}', 'i')
+      OR (words <= 3 AND NOT regexp_matches(line, '[{endings}][\x20\x09-\x0D]*$')))) AS n_left
+  FROM f GROUP BY doc_id),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM t),
+win AS (SELECT doc_id, i, array_to_string(words[i : i + 4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS n FROM win) WHERE n > 1)
+  GROUP BY doc_id),
+counts AS (
+  SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_left, 0)::BIGINT AS n_left
+  FROM w LEFT JOIN lines ON lines.doc_id = w.doc_id LEFT JOIN rep ON rep.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_left >= 0.5 * n_words AS kept
+FROM counts"""
+
+
+@catalog.add("op10_quality_rules", sql=QUALITY_SQL.replace("{boilerplate}", "|".join(quality.BOILERPLATE)).replace(
+    "{endings}", "".join(quality.ENDINGS).replace("]", r"\]").replace("'", "''")))
 def op10_quality_rules(table):
     return quality.quality(table("documents").select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@catalog.add("op9_ngram_jaccard")
+@catalog.add("op9_ngram_jaccard", sql=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[i : i + 3], ' ')) AS s FROM (
+    SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS id, a AS r FROM edges UNION SELECT reach.id, e.b FROM reach JOIN edges e ON e.a = reach.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(r) FROM reach WHERE id = w.doc_id), w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id""")
 def op9_ngram_jaccard(table):
     return jaccard.similar(table("documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
