@@ -26,8 +26,10 @@ def brute_quality(text):
 def test_quality_counts_and_verdicts(spark):
     rng = random.Random(2)
     made = [" ".join(rng.choice(["a", "b", "Cé", "d#", "\n", "\t", "|", "x\x85y"]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
-    clean = "\n".join(f"The {w} of the day is told here in plain words, as it was." for w in ("first", "second", "third", "fourth"))
-    menu = "\n".join(["Home", "About us", "Contact", "Shop now", "Log in", clean.split("\n")[0]])
+    clean = "\n".join((
+        "The ferry left the harbour an hour late.", "Nobody on the quay seemed to mind the delay.",
+        "A boy counted gulls until his sister called him home.", "By noon the fog had lifted from both shores."))
+    menu = "\n".join(["Home", "About us", "Contact", "Shop now", "Log in", "Site map", "Your cart", clean.split("\n")[0]])
     special = [None, "", " \n ", clean, menu, clean + "\nAll rights reserved.", "w " * 30000, clean.replace(" ", "*** ")]
     every = special + made
     rows = spark.createDataFrame([(i, t, 3) for i, t in enumerate(every)], "doc_id long, text string, kept int")

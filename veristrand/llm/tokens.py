@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, Vocabulary
 
 #: Most words a worker remembers; beyond it the memory is emptied, results stay the same.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Words longer than this are encoded each time, so the memory has a bound in bytes too.
 CACHED_LETTERS = 64
 _encoders: dict[str, Encoder] = {}
@@ -172,7 +172,8 @@ def frequent_lengths(
                 if len(counts) > CACHED_WORDS:
                     counts = Counter(dict(counts.most_common(CACHED_WORDS // 2)))
         top = [(w, n) for w, n in counts.most_common(per_task) if len(w) <= CACHED_LETTERS]
-        yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
+        if top:
+            yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
 
     words = [r["word"] for r in (
         docs.select(F.col(text).alias("text")).mapInPandas(summaries, "word string, n long")
