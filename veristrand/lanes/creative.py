@@ -81,7 +81,7 @@ def gated(works: DataFrame, candidates: DataFrame, unresolved: DataFrame | None
     keyed = good.withColumn("folded", casefold(F.col("name"))).withColumn("folded_role", casefold(F.col("role")))
     credits = keep(keyed, ["work_id", "folded", "folded_role"], "ord", False).select(*CREDIT)
     left = checked.filter(~F.col("is_person") | (F.col("reason") != "")).select(
-        "work_id", F.regexp_replace(squeeze(F.col("name")), N.EDGE, "").alias("name"), "source_url",
+        "work_id", F.regexp_replace(squeeze(F.col("name")), N.EDGES, "").alias("name"), "source_url",
         F.when(F.col("reason") != "", F.col("reason")).otherwise(F.col("fallback")).alias("reason"), "ord")
     if unresolved is not None:
         left = left.unionByName(unresolved)
