@@ -147,11 +147,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert links > 20
     frame = spark.createDataFrame([(*d, "own") for d in docs], "doc_id long, text string, n_lines string").repartition(3)
     found = {r["doc_id"]: r for r in lines.dedup_lines(frame).collect()}
-    missed = 0
+    same = 0
     for doc, text in docs:
         kept = None if text is None else "\n".join(p for k, p in enumerate(text.split("\n")) if (doc, k) not in gone)
-        missed += found[doc]["cleaned"] != kept
-    assert missed <= 1 and len(found) == len(docs)  # bands find a link with probability 0.98 and more
+        same += found[doc]["cleaned"] == kept
+    # A band finds a link with a probability below one; what it finds is exact, so no more than these lines go.
+    dropped = sum(r["n_dropped"] for r in found.values())
+    assert len(found) == len(docs) and 0.97 * len(gone) <= dropped <= len(gone) and same >= 0.95 * len(docs)
     assert found[61]["n_lines"] == 0 and found[61]["cleaned"] is None and found[60]["cleaned"] == ""
 
 

@@ -19,7 +19,7 @@ FRAGMENTS = 8
 #: At most so many frequent n-grams are told to every task (9 bytes each); the order is right with any choice.
 FREQUENT = 1 << 18
 #: N-grams that one task counts at a time.
-COUNTED = 1 << 22
+COUNTED = 1 << 20
 #: Tables of up to so many rows (of some fifty bytes) are sent to every task; beyond, both sides are shuffled.
 TOLD = 1 << 18
 
