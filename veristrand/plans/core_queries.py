@@ -632,7 +632,7 @@ lcs AS (
     FROM walk WHERE i < length(a))
   SELECT a, b, 200.0 * line[length(b) + 1] / (length(a) + length(b)) AS score FROM walk WHERE i = length(a))"""
 
-#: The named queries list the candidates of so many most similar names.
+#: ``candidate_pairs`` and ``best_candidates`` list the candidates of so many most similar names, as their SQL does.
 BEST_NAMES = 10
 
 RECONCILE_SQL = f"""
@@ -676,6 +676,9 @@ records AS (
                        WHEN found > 0 OR shared > 0 THEN 'possible_match' ELSE 'unmatched' END AS status FROM first_status)
 """
 
+#: The same with all names above the similarity.
+ALL_NAMES_SQL = RECONCILE_SQL.replace(f" WHERE n <= {BEST_NAMES}", "")
+
 
 @query("identifier_counts", RECONCILE_SQL + "SELECT ns, value, n_left, n_right FROM counts")
 def identifier_counts(table):
@@ -700,16 +703,24 @@ def candidate_pairs(table):
         "left_id", "right_id", "status", "score", F.array_join("conflicting_identifier_namespaces", ",").alias("conflicts"))
 
 
+@query("all_candidate_pairs", ALL_NAMES_SQL + """
+SELECT left_id, right_id, status, score,
+       concat_ws(',', CASE WHEN github_conflict THEN 'github' END, CASE WHEN orcid_conflict THEN 'orcid' END) AS conflicts FROM pairs""")
+def all_candidate_pairs(table):
+    return R.reconcile(*_datasets(table)).pairs.select(
+        "left_id", "right_id", "status", "score", F.array_join("conflicting_identifier_namespaces", ",").alias("conflicts"))
+
+
 @query("record_status", RECONCILE_SQL + "SELECT left_id, status FROM records")
 def record_status(table):
-    return R.reconcile(*_datasets(table), best_names=BEST_NAMES).records.select("left_id", "status")
+    return R.reconcile(*_datasets(table)).records.select("left_id", "status")
 
 
 @query("match_summary", RECONCILE_SQL + """
 SELECT count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'possible_match') AS possible_match,
        count(*) FILTER (WHERE status = 'unmatched') AS unmatched, 0::BIGINT AS incomplete FROM records""")
 def match_summary(table):
-    records = R.reconcile(*_datasets(table), best_names=BEST_NAMES).records
+    records = R.reconcile(*_datasets(table)).records
     return R.status_counts(records)
 
 
@@ -722,7 +733,7 @@ SELECT (SELECT count(*) FROM gold) AS true_pairs, (SELECT count(*) FROM auto) AS
        (SELECT count(*) FROM gold g WHERE EXISTS (SELECT 1 FROM lid JOIN counts USING (ns, value) JOIN rid USING (ns, value)
           WHERE lid.id = g.left_id AND rid.id = g.right_id)) AS retrieved""")
 def match_quality(table):
-    result = R.reconcile(*_datasets(table), best_names=BEST_NAMES)
+    result = R.reconcile(*_datasets(table))
     balance = lambda side: F.get(side.identifiers["orcid"], F.lit(0))
     left, right = result.left.records, result.right.records
     gold = left.select(F.col("record_id").alias("left_id"), balance(left).alias("balance")).join(

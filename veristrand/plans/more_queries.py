@@ -16,7 +16,7 @@ from ..session import checkpoint_dir
 from ..sources import exports
 from ..sources.datasets import prepared
 from .catalog import Catalog
-from .core_queries import BEST_NAMES, RECONCILE_SQL, _datasets
+from .core_queries import ALL_NAMES_SQL, BEST_NAMES, RECONCILE_SQL, _datasets
 from .store import search_parts
 
 catalog = Catalog()
@@ -104,20 +104,31 @@ SELECT s_suppkey::VARCHAR AS left_id, s_suppkey::VARCHAR AS right_id,
 FROM supplier JOIN customer ON c_custkey = s_suppkey""")
 def reviewed_pairs(table):
     left, right = _datasets(table)
-    pairs = R.reconcile(left, right, _reviews(left, right), best_names=BEST_NAMES).pairs
+    pairs = R.reconcile(left, right, _reviews(left, right)).pairs
     return pairs.filter("left_id = right_id").select(
         "left_id", "right_id", "status", F.exists("evidence", lambda e: e["type"] == "stale_review").alias("stale"))
 
 
-@query("best_candidates", RECONCILE_SQL + """
+BEST_SQL = """
 SELECT left_id, right_id, status FROM (
-  SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY status, score DESC, right_id) AS n FROM pairs) WHERE n = 1""")
-def best_candidates(table):
-    pairs = R.reconcile(*_datasets(table), best_names=BEST_NAMES).pairs
+  SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY status, score DESC, right_id) AS n FROM pairs) WHERE n = 1"""
+
+
+def _first_candidates(pairs):
     first = F.row_number().over(Window.partitionBy("left_id").orderBy(*R.candidate_order()))
     return pairs.withColumn("n", first).filter("n = 1").select("left_id", "right_id", "status")
 
 
+@query("best_candidates", RECONCILE_SQL + BEST_SQL)
+def best_candidates(table):
+    return _first_candidates(R.reconcile(*_datasets(table), best_names=BEST_NAMES).pairs)
+
+
+@query("best_of_all_candidates", ALL_NAMES_SQL + BEST_SQL)
+def best_of_all_candidates(table):
+    return _first_candidates(R.reconcile(*_datasets(table)).pairs)
+
+
 @query("moved_members", """
 SELECT c_custkey::VARCHAR AS profile_id, 'A' || c_nationkey AS subject, 1::BIGINT AS candidates
 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1""")
