@@ -13,14 +13,12 @@ from . import words
 
 #: Bytes of a q-gram, which is then one machine word.
 GRAM = 8
-#: Items are looked for by windows of so many characters, each beginning half a window after the last.
-WINDOW = 100
-#: Share of a window's characters that may differ: its edit budget.
+#: Items are looked for by windows of so many bytes of UTF-8, and the next one begins so many bytes later.
+WINDOW, STEP = 100, 10
+#: Share of a window's bytes that may differ: its edit budget.
 EDITS = 0.08
 #: Diagonals by which bands advance; each also covers the first ones of the next, as many as the budget.
 ADVANCE = 16
-#: Items with fewer characters prove no leak.
-SHORTEST = 40
 #: Characters of items that are searched in one pass over the documents; more items take more passes.
 BLOCK_CHARS = 4_000_000
 #: Hits that are counted, and regions that are aligned, at a time.
@@ -62,14 +60,17 @@ class Index:
     """The windows of one block of items and the q-grams in them."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, edits: float = EDITS):
-        self.owner, self.at, parts = [], [], []
+        self.owner, self.at, self.tiny, parts = [], [], [], []
         for number, text in items:
             data = lowered(text).encode("utf-8", "surrogatepass").replace(b"\0", b" ").strip()
             form = normal(np.frombuffer(data, np.uint8))[0]
-            if len(form) < SHORTEST:
+            if len(form) < GRAM:
+                # Without a q-gram; looked for as it is.
+                if form.tobytes().strip():
+                    self.tiny.append((number, form.tobytes()))
                 continue
             last = max(0, len(form) - window)
-            for start in sorted({*range(0, last, window // 2), last}):
+            for start in sorted({*range(0, last, STEP), last}):
                 self.owner.append(number)
                 self.at.append(start)
                 parts.append(form[start : start + window])
@@ -208,6 +209,14 @@ class Index:
                 chars.append(int(edits[i]))
                 found[t][self.owner[w]] = chars if have is None else [
                     min(have[0], chars[0]), max(have[1], chars[1]), min(have[2], chars[2])]
+        for item, letters in self.tiny:
+            for t, (first, last) in enumerate(zip(begins, ends)):
+                own = form[first:last].tobytes()
+                at = own.find(letters)
+                if at >= 0:
+                    begin, end = first + at, first + own.rfind(letters) + len(letters)
+                    span = [int(origin[begin]), int(origin[end - 1]) + 1]
+                    found[t][item] = [int(np.count_nonzero((data[starts[t] : o] & 0xC0) != 0x80)) for o in span] + [0]
         return [[(item, *where) for item, where in sorted(f.items())] for f in found]
 
 
@@ -218,11 +227,15 @@ def leaks(
     """``docs`` plus ``leaks``: an array of (item, begin, end, edits), empty for a clean text.
 
     A text leaks an item when one of the item's windows occurs in it with at most ``edits`` of
-    its letters changed, left out or added; case, punctuation and runs of white space make no
-    difference. No occurrence is missed: within the budget a window keeps a known number of
-    q-grams on neighbouring diagonals. ``begin`` and ``end`` are characters of the text, exact
-    but for the edits. Null and empty texts and items leak nothing, nor do items shorter than
-    ``SHORTEST`` letters; repeated items are reported each. Other columns pass unchanged.
+    its bytes changed, left out or added; case, punctuation and runs of white space make no
+    difference. No occurrence of a window is missed: within the budget a window keeps a known
+    number of q-grams on neighbouring diagonals. Windows have ``WINDOW`` bytes and begin every
+    ``STEP``, so an unchanged excerpt of ``WINDOW + STEP - 1`` = 109 bytes (without what makes no
+    difference) is always found, a shorter one only if it is within the edits of a window;
+    items shorter than a window are searched whole, those of fewer bytes than a q-gram without
+    edits. ``begin`` and ``end`` are characters of the text, exact but for the edits. Null and
+    empty texts, and items without a letter or digit, leak nothing; repeated items are reported
+    each. Other columns pass unchanged.
 
     Documents are only mapped. Items go to the tasks in blocks of bounded size, one pass each.
     """
