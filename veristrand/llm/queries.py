@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
-from . import chat, classlm, jaccard, leaks, lines, quality, sharding, tokens, urls
+from . import (
+    chat, classlm, collocations, jaccard, leaks, lines, passages, quality, repair, sharding, tokens, urls)
 
 catalog = Catalog()
 
@@ -193,3 +194,141 @@ def op6_class_lm(table):
     return scored.select(
         "doc_id", (~classlm.in_training(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.train_tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Phrases of each language that are returned.
+BEST_PHRASES = 2000
+
+
+@catalog.add("op11_collocations", sql=rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex({LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces),
+totals AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, array_to_string(words[i : i + m - 1], ' ') AS phrase, m FROM (
+    SELECT lang, words, m, unnest(range(1, greatest(len(words) - m + 2, 1))) AS i FROM w, (SELECT unnest(range(1, 6)) AS m))),
+f AS (SELECT lang, phrase, m, count(*)::HUGEINT AS f FROM grams GROUP BY lang, phrase, m HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS words FROM f WHERE m > 1),
+longer AS (
+  SELECT DISTINCT lang, array_to_string(words[i : i + k - 1], ' ') AS phrase, a FROM (
+    SELECT lang, words, a, k, unnest(range(1, m - k + 2)) AS i
+    FROM (SELECT *, unnest(range(2, m)) AS k FROM c))),
+alone AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM longer WHERE longer.lang = c.lang AND longer.phrase = c.phrase AND 100 * longer.a >= 100 * c.a)),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 : m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM alone)),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, n, 1000 * a * n // (x.f * y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = tail
+  JOIN totals ON totals.lang = cuts.lang),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {BEST_PHRASES}""")
+def op11_collocations(table):
+    found = collocations.collocations(table("documents").select("lang", "text"))
+    return collocations.best(found, BEST_PHRASES).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def _offer(state: str, cost: str, edit: str, line: str) -> str:
+    """SQL of a state after one more edit: cost, audit and repaired lines."""
+    return (f"CASE WHEN {state} IS NOT NULL THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{edit}', "
+            f"'lines': {line.format(lines=state + '.lines')}}} END")
+
+
+def _insert(state: str, role: str) -> str:
+    return _offer(state, "2", "I", f"list_append({{lines}}, '{role}:')")
+
+
+def _row(state: str, role: str | None, when: str = "true") -> str:
+    """SQL of keeping a row (no role) or giving it one."""
+    line = "list_append({lines}, " + ("x.role" if role is None else f"'{role}'") + " || ':' || x.text)"
+    own = f"CASE WHEN ({when}) AND x.fault NOT IN ('blank', 'duplicate') THEN {state} END"
+    return _offer(f"({own})", ("0" if role is None else "2") + " + (x.fault = 'truncated')::INT", "K" if role is None else "R", line)
+
+
+def _least(*offers: str) -> str:
+    return f"list_min([{', '.join(offers)}])"
+
+
+REPAIR_SQL = rf"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+lots AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS lot FROM given, tab),
+damaged AS (
+  SELECT conv_id, turn, CASE lot WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE lot WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM lots WHERE lot <> 0),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM damaged),
+x AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS step FROM numbered),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE step NOT IN ('su', 'ua', 'au')) AS illegal FROM x GROUP BY conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}} AS s0,
+    NULL::STRUCT(cost INT, audit VARCHAR, lines VARCHAR[]) AS s1, {{'cost': 2, 'audit': 'I', 'lines': ['user:']}} AS s2,
+    {{'cost': 4, 'audit': 'II', 'lines': ['user:', 'assistant:']}} AS s3 FROM ids
+  UNION ALL
+  SELECT conv_id, i, s0, s1, u, {_least("s3", _insert("u", "assistant"))} FROM (
+    SELECT conv_id, i, s0, s1, s3, {_least("s2", _insert("s0", "user"), _insert("s1", "user"), _insert("s3", "user"))} AS u FROM (
+      SELECT x.conv_id, x.i,
+        {_offer("s0", "3", "D", "{lines}")} AS s0,
+        {_least(_offer("s1", "3", "D", "{lines}"), _row("s0", None, "x.role[1] = 's'"))} AS s1,
+        {_least(_offer("s2", "3", "D", "{lines}"), *[_row(s, None, "x.role[1] = 'u'") for s in ("s0", "s1", "s3")], *[_row(s, "user") for s in ("s0", "s1", "s3")])} AS s2,
+        {_least(_offer("s3", "3", "D", "{lines}"), _row("s2", None, "x.role[1] = 'a'"), _row("s2", "assistant"))} AS s3
+      FROM dp JOIN x ON x.conv_id IS NOT DISTINCT FROM dp.conv_id AND x.i = dp.i + 1))),
+ended AS (
+  SELECT conv_id, {_least("s0", "s3")} AS best FROM dp QUALIFY i = max(i) OVER (PARTITION BY conv_id))
+SELECT ended.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+  sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ended LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM ended.conv_id"""
+
+
+@catalog.add("op12_conversation_repair", sql=REPAIR_SQL)
+def op12_conversation_repair(table):
+    turns = table("conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damaged(turns), gone="gone")
+
+
+@catalog.add("op13_substring_dedup", sql=r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS row, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+win AS (
+  SELECT doc_id, row, i, md5(array_to_string(words[i : i + 49], ' ')) AS h
+  FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM w WHERE len(words) >= 50)),
+gone AS (SELECT row, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first FROM win) WHERE first < doc_id),
+words AS (SELECT doc_id, row, p, words[p] AS word FROM (SELECT *, unnest(range(1, len(words) + 1)) AS p FROM w)),
+steps AS (SELECT row, i AS p, 1 AS d FROM gone UNION ALL SELECT row, i + 50, -1 FROM gone),
+marked AS (
+  SELECT words.*, sum(coalesce(d, 0)) OVER (PARTITION BY words.row ORDER BY words.p) AS depth
+  FROM words LEFT JOIN (SELECT row, p, sum(d) AS d FROM steps GROUP BY row, p) s ON s.row = words.row AND s.p = words.p)
+SELECT any_value(w.doc_id) AS doc_id, any_value(len(w.words))::BIGINT AS n_words, count(*) FILTER (WHERE depth > 0) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE depth = 0), '')) AS kept_sha256
+FROM w LEFT JOIN marked ON marked.row = w.row GROUP BY w.row""")
+def op13_substring_dedup(table):
+    cleaned = passages.dedup_passages(table("documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_words", "n_removed", passages.digest("kept").alias("kept_sha256"))
