@@ -17,10 +17,12 @@ from .staging import staged
 LONGEST = 5
 #: Occurrences from which a phrase is a candidate.
 LEAST = 100
+#: Runs of up to so many words are counted by their codes before any words are written.
+CODED = 3
 #: Characters between pieces, and between words of a piece.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: The counter of a prefix is dealt over so many rows by the word that follows, so that no prefix is one group.
-SLICES = 16
+SLICES = 8
 #: Entries that a task holds before it hands them on, and strings of those that it writes out.
 HELD, HELD_STRINGS = 1 << 20, 1 << 17
 #: The best of each language are chosen among so many parts first.
@@ -46,8 +48,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[spans.Words, li
 class _Tally:
     """Codes with counts, in bounded memory: equal ones meet, the rest is handed on."""
 
-    def __init__(self, width: int):
-        self.width, self.parts, self.size = width, [], 0
+    def __init__(self) -> None:
+        self.parts, self.size = [], 0
 
     def add(self, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         self.parts.append(columns)
@@ -75,7 +77,7 @@ class _Tally:
 
 def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Codes of words with their counts, and per language the number of all words."""
-    tally, totals = _Tally(1), defaultdict(int)
+    tally, totals = _Tally(), defaultdict(int)
     shape = lambda lang, code, n: pa.RecordBatch.from_arrays(
         [pa.array(lang, pa.string()), pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["lang", "code", "n"])
     for found, langs in _blocks(batches):
@@ -95,28 +97,45 @@ def _stripes(prefix: np.ndarray, cut: np.ndarray, nexts: pa.Array, counts: np.nd
     offsets = pa.array(np.append(cut, len(counts)).astype(np.int32))
     columns = more | {
         "prefix": prefix, "nexts": pa.ListArray.from_arrays(offsets, nexts),
-        "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int64()))}
+        "counts": pa.ListArray.from_arrays(offsets, pa.array(counts, pa.int32()))}
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
-def _code_stripes(words: spans.Filter):
-    """Stripes of codes over all pairs of neighbours that are both frequent."""
+def _frequent(found: spans.Words, filters: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each size that has a filter: the codes of the words from a place on, and whether they may be frequent."""
+    codes, open_ = [found.codes], [filters[0].value.has(found.codes)]
+    for size, known in enumerate(filters[1:], 2):
+        longer, last = codes[-1].copy(), len(found) - size + 1
+        allowed = np.zeros(len(found), bool)
+        if last > 0:
+            longer[:last] = spans.followed(codes[-1][:last], found.codes[size - 1 :])
+            allowed[:last] = open_[-1][:last] & open_[-1][1 : last + 1]
+            at = np.flatnonzero(allowed & found.together(size))
+            allowed[:] = False
+            allowed[at] = known.value.has(longer[at])
+        codes.append(longer)
+        open_.append(allowed)
+    return codes, open_
+
+
+def _code_stripes(filters: list):
+    """Stripes of codes over all runs of words, one longer than the filters know, whose parts may all be frequent."""
 
     def shaped(prefix: np.ndarray, following: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         part = (following % np.uint64(SLICES)).astype(np.int32)
         order = np.lexsort((part, prefix))
         prefix, part = prefix[order], part[order]
         cut = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])))
-        return _stripes(pa.array(prefix[cut].view(np.int64)), cut, pa.array(following[order].view(np.int64)), counts[order],
-                        {"slice": pa.array(part[cut])})
+        return _stripes(pa.array(prefix[cut].view(np.int64)), cut, pa.array(following[order].view(np.int64)),
+                        counts[order], {"slice": pa.array(part[cut])})
 
     def striped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally(2)
+        tally, size = _Tally(), len(filters) + 1
         for found, _ in _blocks(batches):
-            frequent = words.value.has(found.codes)
-            first = np.flatnonzero(found.together(2)[:-1] & frequent[:-1] & frequent[1:]) if len(found) > 1 else np.zeros(0, int)
+            codes, open_ = _frequent(found, filters)
+            first = np.flatnonzero(found.together(size)[:-1] & open_[-1][:-1] & open_[-1][1:])
             if len(first):
-                for held in tally.add(found.codes[first], found.codes[first + 1], np.ones(len(first), np.int64)):
+                for held in tally.add(codes[-1][first], found.codes[first + size - 1], np.ones(len(first), np.int32)):
                     yield shaped(*held)
         for held in tally.rest():
             yield shaped(*held)
@@ -124,10 +143,10 @@ def _code_stripes(words: spans.Filter):
     return striped
 
 
-def _word_stripes(words: spans.Filter, pairs: spans.Filter, longest: int):
-    """Stripes of the words themselves, over all prefixes whose neighbours are all frequent pairs.
+def _word_stripes(filters: list, longest: int):
+    """Stripes of the words themselves, over all prefixes whose parts may all be frequent.
 
-    What follows a prefix and cannot be a candidate (a piece's end, a rare pair) is counted under
+    What follows a prefix and cannot make a candidate (a piece's end, a rare run) is counted under
     an empty word, so the sum of a stripe is the count of its prefix.
     """
 
@@ -146,16 +165,16 @@ def _word_stripes(words: spans.Filter, pairs: spans.Filter, longest: int):
         held: dict[tuple, int] = defaultdict(int)
         for found, langs in _blocks(batches):
             codes, number = found.codes, len(found)
-            open_ = words.value.has(codes)
-            joined = np.zeros(number, bool)  # whether a word and the next one are a frequent pair
-            joined[:-1] = found.together(2)[:-1] & pairs.value.has(spans.followed(codes[:-1], codes[1:]))
-            own = codes
+            _, known = _frequent(found, filters)
+            own, open_ = codes, known[0]
             for size in range(1, longest):
                 first = np.flatnonzero(open_)
                 if not len(first):
                     break
-                goes_on = joined[first + size - 1]
-                # A word that follows by a rare pair is no word at all here.
+                # The longest run that the filters know and that ends with the next word tells whether it may follow.
+                reach = min(size + 1, len(filters))
+                goes_on = known[reach - 1][first + size + 1 - reach]
+                # A word that makes a rare run is no word at all here.
                 after = np.where(goes_on, codes[np.minimum(first + size, number - 1)], np.uint64(0))
                 whole = spans.followed(own[first], after)
                 _, at, counts = np.unique(whole, return_index=True, return_counts=True)
@@ -184,6 +203,10 @@ def _merged(stripes: DataFrame, *key: str) -> DataFrame:
     return entries.groupBy(*key, "slice", F.col("e.nexts").alias("next")).agg(F.sum("e.counts").alias("n"))
 
 
+def _told(codes: DataFrame):
+    return codes.sparkSession.sparkContext.broadcast(spans.Filter.of(codes))
+
+
 def _exact(number: Column) -> Column:
     return number.cast("decimal(19,0)")
 
@@ -202,27 +225,25 @@ def collocations(
     the parts, its largest entry says whether a prefix is always followed by one word. An equally
     frequent longer phrase implies one that is a single word longer, so no others are looked at.
 
-    Two passes of codes before only choose what is counted: a phrase can reach ``least`` only if its
-    words and its neighbouring pairs do. They are told as filters of fixed size, which may let more
-    through, never less, and the words themselves are counted in the end: results do not depend on codes.
+    Passes over codes before, one for each length up to ``CODED``, only choose what is counted: a phrase
+    can reach ``least`` only if all its parts do. What they find is told as filters of fixed size, which
+    may let more through, never less, and the words themselves are counted in the end.
 
     A null language is ``und``; null and empty texts hold no words. Repeated rows count each
     time. An empty table gives no rows; other columns are not looked at.
     """
-    spark = docs.sparkSession
     given = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text"))
     words = staged(given.mapInArrow(_counted_words, "lang string, code long, n long").groupBy("lang", "code").agg(
         F.sum("n").alias("n")).filter(F.col("code").isNull() | (F.col("n") >= least)))
     totals = words.filter("code IS NULL").select("lang", "n")
-    frequent = spark.sparkContext.broadcast(spans.Filter.of(words.filter("code IS NOT NULL").select("code")))
-    coded = given.mapInArrow(
-        _code_stripes(frequent), "slice int, prefix long, nexts array<long>, counts array<long>")
-    pairs = _merged(coded, "prefix").filter(F.col("n") >= least).select(
-        _followed(F.col("prefix"), F.col("next")).alias("code"))
-    near = spark.sparkContext.broadcast(spans.Filter.of(pairs))
+    filters = [_told(words.filter("code IS NOT NULL").select("code"))]
+    while len(filters) < min(CODED, longest):
+        coded = given.mapInArrow(_code_stripes(filters), "slice int, prefix long, nexts array<long>, counts array<int>")
+        filters.append(_told(_merged(coded, "prefix").filter(F.col("n") >= least).select(
+            _followed(F.col("prefix"), F.col("next")).alias("code"))))
     striped = given.mapInArrow(
-        _word_stripes(frequent, near, longest), "lang string, slice int, prefix string, nexts array<string>, counts array<long>")
+        _word_stripes(filters, longest), "lang string, slice int, prefix string, nexts array<string>, counts array<int>")
     # A stripe's slices are summed each for itself; what they add up to are few rows per prefix.
     stripes = staged(_merged(striped, "lang", "prefix").select("lang", "prefix", "slice", "next", "n"))
     prefixes = staged(stripes.groupBy("lang", "prefix").agg(
