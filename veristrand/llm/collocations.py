@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,19 +25,21 @@ BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: The counter of a prefix is dealt over so many rows by the word that follows, so that no prefix is one group.
 SLICES = 8
 #: Entries that a task holds before it hands them on, and strings of those that it writes out.
-HELD, HELD_STRINGS = 1 << 20, 1 << 17
+HELD, HELD_STRINGS = 1 << 20, 1 << 19
+#: Bytes of a block from which words are written: the larger, the fewer runs come twice.
+WORD_BYTES = 1 << 21
 #: The best of each language are chosen among so many parts first.
 PARTS = 64
 _TABLE = spans.table(BLANKS, BREAKS, lower=True)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[spans.Words, list[str]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = spans.BLOCK_BYTES) -> Iterator[tuple[spans.Words, list[bytes]]]:
     """The words of a block, coded with their language, and the language of every word."""
     for batch in batches:
-        langs = batch.column(0).to_pylist()
+        langs = [lang.as_py().encode() for lang in batch.column(0)]
         texts = (t.as_py().translate(_TABLE) if t.is_valid else b"" for t in batch.column(1))
-        salts = {lang: np.uint64(spans.Words(lang.encode() + b"\n").codes.sum()) if lang else np.uint64(0) for lang in set(langs)}
-        for block, numbers, starts in spans.blocks(texts):
+        salts = {lang: np.uint64(zlib.crc32(lang)) * spans.BASE for lang in set(langs)}
+        for block, numbers, starts in spans.blocks(texts, size):
             found = spans.Words(block)
             if not len(found):
                 continue
@@ -89,7 +92,7 @@ def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for held, n in tally.rest():
         yield shape([None] * len(n), held.view(np.int64), n)
     if totals:
-        yield shape(list(totals), [None] * len(totals), list(totals.values()))
+        yield shape([lang.decode() for lang in totals], [None] * len(totals), list(totals.values()))
 
 
 def _stripes(prefix: np.ndarray, cut: np.ndarray, nexts: pa.Array, counts: np.ndarray, more: dict) -> pa.RecordBatch:
@@ -150,21 +153,27 @@ def _word_stripes(filters: list, longest: int):
     an empty word, so the sum of a stripe is the count of its prefix.
     """
 
-    def shaped(held: dict) -> pa.RecordBatch:
-        rows = sorted((lang, prefix, hash_of(word), word, n) for (lang, prefix, word), n in held.items())
+    def shaped(held: dict, gone: list[bytes], names: list[bytes]) -> pa.RecordBatch:
+        rows = []
+        for key in gone:
+            tag, _, run = key.partition(b"\n")
+            prefix, _, word = run.rpartition(b" ")
+            rows.append((names[int(tag)], prefix, sum(word) % SLICES, word, held.pop(key)))
+        rows.sort()
         cut = [i for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]
+        text = lambda column: [rows[i][column].decode("utf-8", "replace") for i in cut]
         return _stripes(
-            pa.array([rows[i][1].decode("utf-8", "replace") for i in cut]), np.array(cut),
-            pa.array([r[3].decode("utf-8", "replace") for r in rows]), np.array([r[4] for r in rows]),
-            {"lang": pa.array([rows[i][0] for i in cut]), "slice": pa.array([rows[i][2] for i in cut], pa.int32())})
-
-    def hash_of(word: bytes) -> int:
-        return sum(word) % SLICES
+            pa.array(text(1)), np.array(cut), pa.array([r[3].decode("utf-8", "replace") for r in rows]),
+            np.array([r[4] for r in rows]), {"lang": pa.array(text(0)), "slice": pa.array([rows[i][2] for i in cut], pa.int32())})
 
     def striped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, int] = defaultdict(int)
-        for found, langs in _blocks(batches):
+        # A language's number, a line feed, a prefix, a blank, the word that follows (or none).
+        held: dict[bytes, int] = defaultdict(int)
+        tags: dict[bytes, bytes] = {}
+        for found, langs in _blocks(batches, WORD_BYTES):
             codes, number = found.codes, len(found)
+            for lang in set(langs) - tags.keys():
+                tags[lang] = b"%d\n" % len(tags)
             _, known = _frequent(found, filters)
             own, open_ = codes, known[0]
             for size in range(1, longest):
@@ -176,22 +185,23 @@ def _word_stripes(filters: list, longest: int):
                 goes_on = known[reach - 1][first + size + 1 - reach]
                 # A word that makes a rare run is no word at all here.
                 after = np.where(goes_on, codes[np.minimum(first + size, number - 1)], np.uint64(0))
-                whole = spans.followed(own[first], after)
-                _, at, counts = np.unique(whole, return_index=True, return_counts=True)
-                for i, n in zip(at.tolist(), counts.tolist()):
-                    begin = first[i]
-                    parts = [w for w in found.text(begin, size + bool(goes_on[i])) if w]
-                    prefix = b" ".join(parts[:size])
-                    held[langs[begin], prefix, parts[size] if goes_on[i] else b""] += n
-                if len(held) > HELD_STRINGS:
-                    yield shaped(held)
-                    held.clear()
+                _, at, counts = np.unique(spans.followed(own[first], after), return_index=True, return_counts=True)
+                begin, more = first[at], goes_on[at]
+                ends = found.ends[begin + size - 1 + more]
+                for i, a, e, m, n in zip(begin.tolist(), found.starts[begin].tolist(), ends.tolist(), more.tolist(), counts.tolist()):
+                    run = found.block[a:e]
+                    if b"  " in run:
+                        run = b" ".join(run.split())
+                    held[tags[langs[i]] + run + (b"" if m else b" ")] += n
+                if len(held) > HELD_STRINGS:  # the rarer half goes, what comes often stays
+                    middle = sorted(held.values())[len(held) // 2]
+                    yield shaped(held, [k for k, n in held.items() if n <= middle], list(tags))
                 longer = np.zeros(number, bool)
                 longer[first[goes_on]] = True
                 ends = np.minimum(np.arange(number) + size, number - 1)
                 own, open_ = spans.followed(own, codes[ends]), longer
         if held:
-            yield shaped(held)
+            yield shaped(held, list(held), list(tags))
 
     return striped
 

@@ -91,10 +91,6 @@ class Words:
             whole[: len(self) - size + 1] = self.runs[size - 1 :] == self.runs[: len(self) - size + 1]
         return whole
 
-    def text(self, first: int, size: int) -> list[bytes]:
-        """The ``size`` words from one on."""
-        return self.block[self.starts[first] : self.ends[first + size - 1]].split(b" ")
-
 
 def followed(codes: np.ndarray, more: np.ndarray) -> np.ndarray:
     """The codes of sequences, each followed by one more word."""
