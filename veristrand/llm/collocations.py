@@ -22,8 +22,9 @@ LEAST = 100
 CODED = 3
 #: Characters between pieces, and between words of a piece.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
-#: The counter of a prefix is dealt over so many rows by the word that follows, so that no prefix is one group.
-SLICES = 8
+#: The counter of a prefix whose first word comes this many times as often as a phrase must, is dealt
+#: over so many rows by the word that follows, so that no prefix is one group.
+HEAVY, SLICES = 1000, 8
 #: Entries that a task holds before it hands them on, and strings of those that it writes out.
 HELD, HELD_STRINGS = 1 << 20, 1 << 19
 #: Bytes of a block from which words are written: the larger, the fewer runs come twice.
@@ -104,6 +105,11 @@ def _stripes(prefix: np.ndarray, cut: np.ndarray, nexts: pa.Array, counts: np.nd
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _half(codes: np.ndarray) -> np.ndarray:
+    """The part of a word's code that is shuffled for a word that follows."""
+    return codes >> np.uint64(32)
+
+
 def _frequent(found: spans.Words, filters: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each size that has a filter: the codes of the words from a place on, and whether they may be frequent."""
     codes, open_ = [found.codes], [filters[0].value.has(found.codes)]
@@ -111,7 +117,7 @@ def _frequent(found: spans.Words, filters: list) -> tuple[list[np.ndarray], list
         longer, last = codes[-1].copy(), len(found) - size + 1
         allowed = np.zeros(len(found), bool)
         if last > 0:
-            longer[:last] = spans.followed(codes[-1][:last], found.codes[size - 1 :])
+            longer[:last] = spans.followed(codes[-1][:last], _half(found.codes[size - 1 :]))
             allowed[:last] = open_[-1][:last] & open_[-1][1 : last + 1]
             at = np.flatnonzero(allowed & found.together(size))
             allowed[:] = False
@@ -121,16 +127,16 @@ def _frequent(found: spans.Words, filters: list) -> tuple[list[np.ndarray], list
     return codes, open_
 
 
-def _code_stripes(filters: list):
+def _code_stripes(filters: list, heavy):
     """Stripes of codes over all runs of words, one longer than the filters know, whose parts may all be frequent."""
 
     def shaped(prefix: np.ndarray, following: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        part = (following % np.uint64(SLICES)).astype(np.int32)
+        part = (following & np.uint64(SLICES - 1)).astype(np.int32)
         order = np.lexsort((part, prefix))
         prefix, part = prefix[order], part[order]
         cut = np.flatnonzero(np.append(True, (prefix[1:] != prefix[:-1]) | (part[1:] != part[:-1])))
-        return _stripes(pa.array(prefix[cut].view(np.int64)), cut, pa.array(following[order].view(np.int64)),
-                        counts[order], {"slice": pa.array(part[cut])})
+        nexts = (following >> np.uint64(32)).astype(np.uint32).view(np.int32)[order]
+        return _stripes(pa.array(prefix[cut].view(np.int64)), cut, pa.array(nexts), counts[order], {"slice": pa.array(part[cut])})
 
     def striped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, size = _Tally(), len(filters) + 1
@@ -138,7 +144,9 @@ def _code_stripes(filters: list):
             codes, open_ = _frequent(found, filters)
             first = np.flatnonzero(found.together(size)[:-1] & open_[-1][:-1] & open_[-1][1:])
             if len(first):
-                for held in tally.add(codes[-1][first], found.codes[first + size - 1], np.ones(len(first), np.int32)):
+                following = _half(found.codes[first + size - 1])
+                part = np.where(heavy.value.has(found.codes[first]), following % np.uint64(SLICES), np.uint64(0))
+                for held in tally.add(codes[-1][first], following << np.uint64(32) | part, np.ones(len(first), np.int32)):
                     yield shaped(*held)
         for held in tally.rest():
             yield shaped(*held)
@@ -146,19 +154,19 @@ def _code_stripes(filters: list):
     return striped
 
 
-def _word_stripes(filters: list, longest: int):
+def _word_stripes(filters: list, heavy, useful, longest: int):
     """Stripes of the words themselves, over all prefixes whose parts may all be frequent.
 
     What follows a prefix and cannot make a candidate (a piece's end, a rare run) is counted under
-    an empty word, so the sum of a stripe is the count of its prefix.
+    an empty word, so the sum of a stripe is the count of its prefix. Words of no frequent pair are left out.
     """
 
     def shaped(held: dict, gone: list[bytes], names: list[bytes]) -> pa.RecordBatch:
         rows = []
         for key in gone:
             tag, _, run = key.partition(b"\n")
-            prefix, _, word = run.rpartition(b" ")
-            rows.append((names[int(tag)], prefix, sum(word) % SLICES, word, held.pop(key)))
+            prefix, _, word = run[1:].rpartition(b" ")
+            rows.append((names[int(tag)], prefix, sum(word) % SLICES if run[:1] == b"+" else 0, word, held.pop(key)))
         rows.sort()
         cut = [i for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]
         text = lambda column: [rows[i][column].decode("utf-8", "replace") for i in cut]
@@ -167,7 +175,7 @@ def _word_stripes(filters: list, longest: int):
             np.array([r[4] for r in rows]), {"lang": pa.array(text(0)), "slice": pa.array([rows[i][2] for i in cut], pa.int32())})
 
     def striped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A language's number, a line feed, a prefix, a blank, the word that follows (or none).
+        # A language's number, a line feed, + for a heavy prefix, the prefix, a blank, the word that follows (or none).
         held: dict[bytes, int] = defaultdict(int)
         tags: dict[bytes, bytes] = {}
         for found, langs in _blocks(batches, WORD_BYTES):
@@ -175,7 +183,8 @@ def _word_stripes(filters: list, longest: int):
             for lang in set(langs) - tags.keys():
                 tags[lang] = b"%d\n" % len(tags)
             _, known = _frequent(found, filters)
-            own, open_ = codes, known[0]
+            own, open_ = codes, known[0] & useful.value.has(_half(codes))
+            signs = [b"-", b"+"]
             for size in range(1, longest):
                 first = np.flatnonzero(open_)
                 if not len(first):
@@ -188,11 +197,13 @@ def _word_stripes(filters: list, longest: int):
                 _, at, counts = np.unique(spans.followed(own[first], after), return_index=True, return_counts=True)
                 begin, more = first[at], goes_on[at]
                 ends = found.ends[begin + size - 1 + more]
-                for i, a, e, m, n in zip(begin.tolist(), found.starts[begin].tolist(), ends.tolist(), more.tolist(), counts.tolist()):
+                dealt = heavy.value.has(codes[begin])
+                for i, a, e, m, d, n in zip(
+                    begin.tolist(), found.starts[begin].tolist(), ends.tolist(), more.tolist(), dealt.tolist(), counts.tolist()):
                     run = found.block[a:e]
                     if b"  " in run:
                         run = b" ".join(run.split())
-                    held[tags[langs[i]] + run + (b"" if m else b" ")] += n
+                    held[tags[langs[i]] + signs[d] + run + (b"" if m else b" ")] += n
                 if len(held) > HELD_STRINGS:  # the rarer half goes, what comes often stays
                     middle = sorted(held.values())[len(held) // 2]
                     yield shaped(held, [k for k, n in held.items() if n <= middle], list(tags))
@@ -214,7 +225,7 @@ def _merged(stripes: DataFrame, *key: str) -> DataFrame:
 
 
 def _told(codes: DataFrame):
-    return codes.sparkSession.sparkContext.broadcast(spans.Filter.of(codes))
+    return codes.sparkSession.sparkContext.broadcast(spans.Filter.of(codes.select("code")))
 
 
 def _exact(number: Column) -> Column:
@@ -247,13 +258,16 @@ def collocations(
     words = staged(given.mapInArrow(_counted_words, "lang string, code long, n long").groupBy("lang", "code").agg(
         F.sum("n").alias("n")).filter(F.col("code").isNull() | (F.col("n") >= least)))
     totals = words.filter("code IS NULL").select("lang", "n")
-    filters = [_told(words.filter("code IS NOT NULL").select("code"))]
+    single = words.filter("code IS NOT NULL")
+    filters, heavy, useful = [_told(single)], _told(single.filter(F.col("n") >= HEAVY * least)), None
     while len(filters) < min(CODED, longest):
-        coded = given.mapInArrow(_code_stripes(filters), "slice int, prefix long, nexts array<long>, counts array<int>")
-        filters.append(_told(_merged(coded, "prefix").filter(F.col("n") >= least).select(
-            _followed(F.col("prefix"), F.col("next")).alias("code"))))
-    striped = given.mapInArrow(
-        _word_stripes(filters, longest), "lang string, slice int, prefix string, nexts array<string>, counts array<int>")
+        coded = given.mapInArrow(_code_stripes(filters, heavy), "slice int, prefix long, nexts array<int>, counts array<int>")
+        runs = staged(_merged(coded, "prefix").filter(F.col("n") >= least).select("prefix", "next"))
+        useful = useful or _told(runs.select(F.explode(F.array(
+            F.shiftrightunsigned("prefix", 32), F.col("next").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("code")))
+        filters.append(_told(runs.select(_followed(F.col("prefix"), F.col("next")).alias("code"))))
+    striped = given.mapInArrow(_word_stripes(filters, heavy, useful, longest),
+                               "lang string, slice int, prefix string, nexts array<string>, counts array<int>")
     # A stripe's slices are summed each for itself; what they add up to are few rows per prefix.
     stripes = staged(_merged(striped, "lang", "prefix").select("lang", "prefix", "slice", "next", "n"))
     prefixes = staged(stripes.groupBy("lang", "prefix").agg(
@@ -264,13 +278,13 @@ def collocations(
 
 
 def _followed(prefix: Column, following: Column) -> Column:
-    """The code of a pair, as ``spans.followed`` has it; products are taken modulo 2^64."""
+    """The code of a run and the word that follows it, as the filters have it."""
 
     @F.pandas_udf("long")
     def paired(a, b):
         import pandas as pd
 
-        both = spans.followed(a.to_numpy(np.int64).view(np.uint64), b.to_numpy(np.int64).view(np.uint64))
+        both = spans.followed(a.to_numpy(np.int64).view(np.uint64), b.to_numpy(np.int32).view(np.uint32).astype(np.uint64))
         return pd.Series(both.view(np.int64))
 
     return paired(prefix, following)
