@@ -21,7 +21,7 @@ COLLECTORS = {
     "builders_business": "university", "creative_public_work": "regional_institutions",
 }
 TIE = "Documented work connection"
-DERIVED = ("discovered_work", "discovered_work_count", "work_evidence")
+DERIVED = ("discovered_work", "discovered_work_count", "discovered_work_digest", "work_evidence")
 NO_URL_SALTS = 4096
 
 
@@ -179,7 +179,7 @@ def rolled_up(entries: DataFrame) -> DataFrame:
     head = F.struct("collector", "name", "person_url", "source_url", "geography_scope", "work_date", "identifiers")
     totals = entries.groupBy("rid").agg(
         F.count(F.lit(1)).alias("entries"), F.min("first").alias("first"), F.min_by(head, "first").alias("head"),
-        F.max("observed_at").alias("observed_at"))
+        F.max("observed_at").alias("observed_at"), F.bit_xor(F.xxhash64("rid", "work", "credit")).alias("digest"))
     values = entries.select("rid", "first", F.explode(F.array(*[
         F.struct(F.lit(kind).alias("kind"), F.col(name).alias("value")) for kind, (name, _, _) in enumerate(LISTED)])).alias("v"))
     once = values.filter("v.value <> ''").groupBy("rid", "v.kind", "v.value").agg(F.min("first").alias("first"))
@@ -194,7 +194,7 @@ def rolled_up(entries: DataFrame) -> DataFrame:
 def _collected(rolled: DataFrame) -> DataFrame:
     """The fields every record made from credits shares."""
     return rolled.select(
-        "rid", F.col("entries").alias("discovered_work_count"), F.col("head.collector").alias("collector"),
+        "rid", F.col("entries").alias("discovered_work_count"), F.hex("digest").alias("discovered_work_digest"), F.col("head.collector").alias("collector"),
         F.col("head.work_date").alias("evidence_date"), F.lit("").alias("expertise"),
         P.variant(F.col("head.identifiers")).alias("external_ids"), F.col("head.geography_scope").alias("geography_scope"),
         F.lit("").alias("location"), F.col("head.name").alias("name"), "observed_at", "organization",
@@ -231,10 +231,11 @@ def is_generated(payload: Column) -> Column:
 def merged_people(people: DataFrame, rolled: DataFrame) -> DataFrame:
     """(record_id, payload, origin) of the export; ``origin`` is kept, enriched or new.
 
-    Every join is on the unique profile id. The credits themselves are rows of their own.
+    Every join is on the unique profile id. The credits themselves are rows of their own; their
+    digest makes a changed text of one a change of its profile.
     """
     main = _collected(rolled).withColumn("record_id", F.col("rid"))
-    extra = ("discovered_work_count",)
+    extra = ("discovered_work_count", "discovered_work_digest")
     fresh = _record((*RECORD, *extra))
     added = F.from_json(F.to_json(F.struct(*extra)), "map<string,variant>")
     joined = people.select("record_id", "payload").join(
@@ -246,10 +247,15 @@ def merged_people(people: DataFrame, rolled: DataFrame) -> DataFrame:
     return joined.select("record_id", payload.alias("payload"), origin.alias("origin"))
 
 
-def credit_rows(entries: DataFrame) -> DataFrame:
-    """Every credit of every profile as a row: its order, its line of evidence and both documents."""
-    return entries.select(F.to_json(F.struct(
-        P.variant(F.col("credit")).alias("contribution"), F.col("line").alias("expertise"),
+def credit_rows(entries: DataFrame, merged: DataFrame) -> DataFrame:
+    """Every credit of every profile as a row: its order, its line of evidence and both documents.
+
+    ``made`` says that the profile itself was made from its credits (``merged`` is what
+    :func:`merged_people` gives): its evidence is then its expertise as well.
+    """
+    made = merged.select(F.col("record_id").alias("rid"), (F.col("origin") == "new").alias("made"))
+    return entries.join(made, "rid").select("rid", F.to_json(F.struct(
+        P.variant(F.col("credit")).alias("contribution"), F.col("line").alias("expertise"), "made",
         F.struct(F.col("first.run").alias("run"), F.col("first.pos").alias("pos")).alias("order"),
         F.col("rid").alias("record_id"), P.variant(F.col("work")).alias("work"))).alias("payload"))
 

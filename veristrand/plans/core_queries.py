@@ -18,6 +18,7 @@ from ..operators.content import distinct_contents
 from ..session import checkpointed
 from ..sources.datasets import Dataset
 from .catalog import Catalog
+from .store import search_parts
 
 catalog = Catalog()
 query = catalog.add
@@ -997,11 +998,14 @@ WITH entries AS (
 """
 
 
-def _collapsed(table):
-    people = table("supplier").filter("s_acctbal > 5000").select(
+def _known_people(table):
+    return table("supplier").filter("s_acctbal > 5000").select(
         F.concat(F.lit("known "), "s_suppkey").alias("record_id"),
         F.to_json(F.struct(F.concat(F.lit("https://example.org/s/"), "s_suppkey").alias("profile_url"))).alias("payload"))
-    return W.with_fields(W.collapsed_credits(_credits(table), people))
+
+
+def _collapsed(table):
+    return W.with_fields(W.collapsed_credits(_credits(table), _known_people(table)))
 
 
 @query("collapsed_credits", CREDITS_SQL + "SELECT rid, work_id, role, observed_at FROM entries")
@@ -1016,6 +1020,24 @@ def work_rollup(table):
     return W.rolled_up(_collapsed(table)).select("rid", "entries", "organization", "role", "observed_at")
 
 
+@query("merged_documents", CREDITS_SQL.replace("p_partkey::VARCHAR AS work_id", "l_suppkey, p_partkey::VARCHAR AS work_id") + """
+, made AS (
+  SELECT rid, 'Supplier ' || any_value(l_suppkey) AS name, string_agg(DISTINCT p_brand, '; ' ORDER BY p_brand) AS organization,
+    string_agg(DISTINCT role, '; ' ORDER BY role) AS role
+  FROM entries WHERE rid NOT LIKE 'known %' GROUP BY rid)
+SELECT rid AS profile_id, md5(CASE WHEN rid LIKE 'known %' THEN line ELSE line || ' ' || line END) AS text
+FROM (SELECT rid, p_name || ' — ' || role || ': e ' AS line FROM entries JOIN part ON p_partkey::VARCHAR = work_id)
+UNION ALL SELECT rid, md5(concat_ws(' ', name, organization, role, '', 'r', '', '')) FROM made
+UNION ALL SELECT 'known ' || s_suppkey, md5('      ') FROM supplier WHERE s_acctbal > 5000""")
+def merged_documents(table):
+    entries, people = _collapsed(table), _known_people(table)
+    merged = W.merged_people(people, W.rolled_up(entries))
+    profiles = merged.select(F.col("record_id").alias("profile_id"), "payload")
+    placed = entries.withColumn("first", F.struct(F.col("first.run").alias("run"), F.col("first.pos.l_orderkey").alias("pos")))
+    credits = W.credit_rows(placed, merged).withColumnRenamed("rid", "profile_id")
+    return search_parts(profiles, profiles.limit(0), credits).select("profile_id", F.md5("text").alias("text"))
+
+
 @query("batch_problems", """
 SELECT c.pos, c.problem FROM (
   SELECT l_orderkey * 100 + l_linenumber AS pos, 'Contribution references unknown work' AS problem FROM lineitem

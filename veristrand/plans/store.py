@@ -43,15 +43,25 @@ class ImportRejected(ValueError):
     """An export broke its contract; nothing was published."""
 
 
-def search_parts(profiles: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(profile_id, text): one part per profile and one per resolved relationship."""
+def search_parts(profiles: DataFrame, relationships: DataFrame, credits: DataFrame | None = None) -> DataFrame:
+    """(profile_id, text): one part per profile, one per resolved relationship and one per credit.
+
+    A profile made from its credits has their lines as its expertise and as its evidence, so
+    they count twice; parts add up, and no profile's credits ever meet in one row.
+    """
 
     def text(names):
         doc = P.variant(F.col("payload"))
         return F.concat_ws(" ", *[or_empty(P.field(doc, n)) for n in names]).alias("text")
 
-    return profiles.select("profile_id", text(PROFILE_TEXT)).unionByName(
+    parts = profiles.select("profile_id", text(PROFILE_TEXT)).unionByName(
         relationships.filter("profile_id IS NOT NULL").select("profile_id", text(RELATION_TEXT)))
+    if credits is None:
+        return parts
+    read = credits.select("profile_id", F.from_json("payload", "expertise string, made boolean").alias("c"))
+    line = or_empty(F.col("c.expertise"))
+    return parts.unionByName(read.select(
+        "profile_id", F.when(F.col("c.made"), F.concat_ws(" ", line, line)).otherwise(line).alias("text")))
 
 
 class EvidenceStore:
@@ -94,6 +104,10 @@ class EvidenceStore:
             rows = exports.read_stream(self.spark, f"{source}/{file_name}", kind)
             self.tables.write(rows, "staged", snapshot_id, kind)
             staged[kind] = self.tables.read("staged", snapshot_id, kind, schema=rows.schema)
+        if exports.has_credits(self.spark, source):
+            rows = exports.read_credits(self.spark, f"{source}/{exports.CREDITS}")
+            self.tables.write(rows, "staged", snapshot_id, "credits")
+            staged["credits"] = self.tables.read("staged", snapshot_id, "credits", schema=rows.schema)
         return staged
 
     def _check(self, staged: dict[str, DataFrame]) -> None:
@@ -109,6 +123,10 @@ class EvidenceStore:
         orphan = resolve.orphans(staged["observations"], staged["profiles"]).first()
         if orphan:
             raise ImportRejected(f"Evidence references unknown record {orphan.record_id}")
+        if "credits" in staged:
+            orphan = resolve.orphans(staged["credits"], staged["profiles"]).first()
+            if orphan:
+                raise ImportRejected(f"Credit references unknown record {orphan.record_id}")
 
     def _publish_rows(self, staged: dict[str, DataFrame], snapshot_id: str) -> tuple[int, int]:
         own = lambda frame: frame.withColumn("profile_id", F.col("record_id"))
@@ -125,7 +143,11 @@ class EvidenceStore:
             self.tables.write(rows, "versions", f"snapshot_id={snapshot_id}", f"kind={kind}")
         if not self._kind("relationships", snapshot_id).filter("unknown_subject").isEmpty():
             raise ImportRejected("Relationship references unknown source record")
-        parts = search_parts(self._kind("profiles", snapshot_id), self._kind("relationships", snapshot_id))
+        if "credits" in staged:
+            rows = own(staged["credits"]).select("pos", "profile_id", "payload")
+            rows = rows.repartitionByRange("profile_id", "pos").sortWithinPartitions("profile_id", "pos")
+            self.tables.write(rows, "credits", f"snapshot_id={snapshot_id}")
+        parts = self._parts(snapshot_id)
         index = search.postings(parts).repartitionByRange("term", "profile_id").sortWithinPartitions("term")
         self.tables.write(index, "postings", f"snapshot_id={snapshot_id}")
         self.tables.write(search.lengths(parts), "lengths", f"snapshot_id={snapshot_id}")
@@ -155,6 +177,13 @@ class EvidenceStore:
         extra = ", unknown_subject boolean" if kind == "relationships" else ""
         return self.tables.read("versions", f"snapshot_id={snapshot_id}", f"kind={kind}", schema=columns + extra)
 
+    def _credits(self, snapshot_id: str) -> DataFrame:
+        return self.tables.read("credits", f"snapshot_id={snapshot_id}", schema="pos bigint, profile_id string, payload string")
+
+    def _parts(self, snapshot_id: str) -> DataFrame:
+        return search_parts(
+            self._kind("profiles", snapshot_id), self._kind("relationships", snapshot_id), self._credits(snapshot_id))
+
     def _version(self, snapshot_id: str) -> DataFrame:
         frames = [self._kind(k, snapshot_id).drop("unknown_subject").withColumn("kind", F.lit(k)) for k in KINDS]
         return frames[0].unionByName(frames[1]).unionByName(frames[2])
@@ -177,6 +206,10 @@ class EvidenceStore:
         """profiles, observations or relationships of the current or a named snapshot."""
         return self._kind(kind, self._published(snapshot_id).snapshot_id)
 
+    def credits(self, snapshot_id: str | None = None) -> DataFrame:
+        """(profile_id, pos, payload): the credits that the profiles of a snapshot were made or enriched from."""
+        return self._credits(self._published(snapshot_id).snapshot_id)
+
     # --- queries ------------------------------------------------------------
 
     def stats(self) -> dict:
@@ -213,12 +246,14 @@ class EvidenceStore:
             schema="kind string, record_key string, side string, pos bigint, profile_id string, payload string")
 
     def profile(self, record_id: str, snapshot_id: str | None = None) -> DataFrame:
-        """(kind, pos, payload): the profile, then its observations and relationships."""
+        """(kind, pos, payload): the profile, then its observations, relationships and credits."""
         published = self._published(snapshot_id)
         rows = self._version(published.snapshot_id).filter(F.col("profile_id") == record_id)
         if rows.filter("kind = 'profiles'").isEmpty():
             raise KeyError(record_id if snapshot_id is None else (snapshot_id, record_id))
-        rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+        own = self._credits(published.snapshot_id).filter(F.col("profile_id") == record_id)
+        rows = rows.select("kind", "pos", "payload").unionByName(own.select(F.lit("credits").alias("kind"), "pos", "payload"))
+        rank = F.array_position(F.array(*[F.lit(k) for k in (*KINDS, "credits")]), F.col("kind"))
         return rows.orderBy(rank, "pos").select("kind", "pos", "payload")
 
     def scores(self, query: str) -> DataFrame:
@@ -230,7 +265,7 @@ class EvidenceStore:
                 "postings", f"snapshot_id={latest.snapshot_id}", schema="term string, profile_id string, tf bigint")
             return search.search_index(
                 index, self._lengths(latest.snapshot_id), latest.documents, latest.tokens, query)
-        parts = search_parts(self._kind("profiles", latest.snapshot_id), self._kind("relationships", latest.snapshot_id))
+        parts = self._parts(latest.snapshot_id)
         return search.search_texts(parts, query, "profile_id", "text")
 
     def profiles(self, collector: str | None = None) -> DataFrame:

@@ -106,7 +106,8 @@ class Works:
 
         Credits group by source identity only. Records made by an earlier export
         are rebuilt, not added again. Each stream is a folder of JSON lines; a profile
-        row holds what its credits add up to, and ``credits`` holds them all, by profile.
+        row holds what its credits add up to, and ``credits`` holds them all, by profile; a store
+        that refreshes from the export finds profiles by the texts of their credits.
         """
         unknown = self.runs().filter(~F.col("lane").isin(*W.COLLECTORS)).first()
         if unknown:
@@ -122,7 +123,7 @@ class Works:
             "people": merged.select("payload"),
             "evidence": kept("observations").unionByName(W.credit_observations(entries).select("payload")),
             "connections": kept("relationships").unionByName(W.credit_relationships(entries, rolled).select("payload")),
-            "credits": W.credit_rows(entries),
+            "credits": W.credit_rows(entries, merged).select("payload"),
         }
         counts = {}
         for name, rows in streams.items():

@@ -17,6 +17,9 @@ STREAMS = {
     "relationships": ("connections.jsonl", ("subject_name", "relation", "source_url", "evidence")),
 }
 
+#: An export made from archived works also has the credits of its profiles, one per row.
+CREDITS = "credits.jsonl"
+
 
 def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_name, pos, value): every line with its dense place in all files, in name order.
@@ -83,8 +86,23 @@ def stream_columns(rows: DataFrame, kind: str) -> DataFrame:
     return rows
 
 
+def read_credits(spark: SparkSession, path: str) -> DataFrame:
+    """The credits of an export's profiles: their place, the profile, the document; ``reason`` is NULL on accepted rows."""
+    doc = F.col("doc")
+    own = F.nullif(P.field(doc, "record_id"), F.lit(""))
+    reason = F.when(doc.isNull(), "not valid JSON").when(~P.is_object(doc), "not an object").when(
+        own.isNull(), "missing required fields: record_id")
+    return json_lines(spark, path).select("file_name", "pos", "payload", own.alias("record_id"), reason.alias("reason"))
+
+
+def has_credits(spark: SparkSession, directory: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{directory}/{CREDITS}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def content_hashes(spark: SparkSession, directory: str) -> dict[str, str]:
     """A content address per stream: its lines with their places, however they are split into files."""
+    names = [file_name for file_name, _ in STREAMS.values()] + [CREDITS] * has_credits(spark, directory)
     return {
         file_name: content_digest(placed_lines(spark, f"{directory}/{file_name}"), "pos", "value")[0]
-        for file_name, _ in STREAMS.values()}
+        for file_name in names}
