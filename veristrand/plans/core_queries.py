@@ -633,7 +633,8 @@ lcs AS (
     FROM walk WHERE i < length(a))
   SELECT a, b, 200.0 * line[length(b) + 1] / (length(a) + length(b)) AS score FROM walk WHERE i = length(a))"""
 
-#: ``candidate_pairs`` and ``best_candidates`` list the candidates of so many most similar names, as their SQL does.
+#: ``candidate_pairs`` and ``best_candidates`` are top-ten reports: so many most similar names of each name; ``all_candidate_pairs``
+#: and ``best_of_all_candidates`` have no limit.
 BEST_NAMES = 10
 
 RECONCILE_SQL = f"""
@@ -712,12 +713,12 @@ def all_candidate_pairs(table):
         "left_id", "right_id", "status", "score", F.array_join("conflicting_identifier_namespaces", ",").alias("conflicts"))
 
 
-@query("record_status", RECONCILE_SQL + "SELECT left_id, status FROM records")
+@query("record_status", ALL_NAMES_SQL + "SELECT left_id, status FROM records")
 def record_status(table):
     return R.reconcile(*_datasets(table)).records.select("left_id", "status")
 
 
-@query("match_summary", RECONCILE_SQL + """
+@query("match_summary", ALL_NAMES_SQL + """
 SELECT count(*) FILTER (WHERE status = 'matched') AS matched, count(*) FILTER (WHERE status = 'possible_match') AS possible_match,
        count(*) FILTER (WHERE status = 'unmatched') AS unmatched, 0::BIGINT AS incomplete FROM records""")
 def match_summary(table):
@@ -725,7 +726,7 @@ def match_summary(table):
     return R.status_counts(records)
 
 
-@query("match_quality", RECONCILE_SQL + """
+@query("match_quality", ALL_NAMES_SQL + """
 , gold AS (SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r ON r.orcid = l.orcid),
 auto AS (SELECT p.left_id, p.right_id FROM pairs p JOIN records r USING (left_id) WHERE p.status = 'matched' AND r.status = 'matched'),
 got AS (SELECT left_id, right_id FROM gold)

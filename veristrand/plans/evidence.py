@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,12 @@ LINKS = "profile_id string, provider string, subject string"
 RESPONSES = ("response_id bigint, job_id bigint, observed double, url string, sha256 string, raw binary, "
              "parser_version string")
 CLAIMS = "response_id bigint, subject string, predicate string, value string, pos bigint"
-HEADS = "job_id bigint, response_id bigint, batch string"
-COMMITS = "batch string, last_sequence bigint, events bigint"
+HEADS = "job_id bigint, response_id bigint, folder string"
+COMMITS = "number bigint, batch string, folder string, last_sequence bigint, events bigint"
 EVENTS = (
     "sequence bigint, job_id bigint, response_id bigint, predicate string, kind string, provider string, "
     "subject string, before array<string>, after array<string>, source string, observed_at double, "
-    "previous_response_id bigint, sha256 string, meaning string, batch string"
+    "previous_response_id bigint, sha256 string, meaning string, folder string"
 )
 
 
@@ -75,21 +76,22 @@ class Evidence:
 
 
 class ChangeFeed:
-    """Pull-based feed. A batch, named by its source, counts once its commit row is written last.
+    """Pull-based feed. A batch, named by its source, counts once its numbered commit is claimed.
 
-    What a batch without that row left behind is replaced by its repetition and seen by
-    nobody; a committed batch is never written again. So numbers are given once, whether
-    plain calls, a stream or both publish.
+    Commit *n* is a file that only one writer can create. Whoever finds it taken has compared with
+    heads and numbers that are no longer the last: its folder is removed and it compares again. So
+    numbers are given once and without gaps, whether plain calls, streams or both publish, and
+    what a stopped writer left behind is seen by nobody.
     """
 
     def __init__(self, evidence: Evidence):
         self.evidence, self.tables = evidence, evidence.tables
 
     def commits(self) -> DataFrame:
-        return self.tables.read("feed_commits", schema=COMMITS)
+        return self.tables.lines("feed_commits", schema=COMMITS)
 
     def _committed(self, table: str, schema: str) -> DataFrame:
-        return self.tables.read(table, schema=schema).join(self.commits().select("batch"), "batch", "left_semi")
+        return self.tables.read(table, schema=schema).join(self.commits().select("folder"), "folder", "left_semi")
 
     def heads(self) -> DataFrame:
         return self._committed("feed_heads", HEADS).groupBy("job_id").agg(F.max("response_id").alias("response_id"))
@@ -103,11 +105,25 @@ class ChangeFeed:
         A ``batch`` name makes the call repeatable: once committed it only reports what it
         published. ``archived`` names the batch of responses whose jobs alone are compared.
         """
-        done = self.commits().agg(F.count(F.lit(1)).alias("n"), F.max("last_sequence").alias("last"),
-                                  F.max(F.when(F.col("batch") == (batch or ""), F.col("events"))).alias("own")).first()
-        if done.own is not None:
-            return done.own
         batch = batch or f"sync-{uuid.uuid4().hex}"
+        while True:
+            done = self.commits().agg(
+                F.coalesce(F.max("number"), F.lit(0)).alias("number"), F.coalesce(F.max("last_sequence"), F.lit(0)).alias("last"),
+                F.max(F.when(F.col("batch") == batch, F.col("events"))).alias("own")).first()
+            if done.own is not None:
+                return done.own
+            folder = f"{batch}-{uuid.uuid4().hex}"
+            count = self._compare(folder, done.last, archived)
+            if count is None:
+                return 0
+            commit = {"number": done.number + 1, "batch": batch, "folder": folder, "last_sequence": done.last + count, "events": count}
+            if self.tables.claim(json.dumps(commit), "feed_commits", f"{done.number + 1:020d}.json"):
+                return count
+            for table in ("feed_events", "feed_heads"):
+                self.tables.remove(table, f"folder={folder}")
+
+    def _compare(self, folder: str, last: int, archived: str | None) -> int | None:
+        """Write what changed since the heads into a folder nobody reads yet; how many events, or None if no head moved."""
         responses, claims = self.evidence.responses(), self.evidence.claims()
         if archived is not None:
             fresh = self.tables.read("responses", f"batch={archived}", schema=RESPONSES).select("job_id").distinct()
@@ -116,19 +132,16 @@ class ChangeFeed:
         try:
             moved = feeds.new_heads(pending)
             if moved.isEmpty():
-                return 0
+                return None
             changes = feeds.claim_changes(responses, claims, self.evidence.jobs(), pending)
-            events = feeds.sequenced(changes, done.last or 0)
-            self.tables.write(events, "feed_events", f"batch={batch}", mode="overwrite")
-            self.tables.write(moved, "feed_heads", f"batch={batch}", mode="overwrite")
+            self.tables.write(feeds.sequenced(changes, last), "feed_events", f"folder={folder}")
+            self.tables.write(moved, "feed_heads", f"folder={folder}")
         finally:
             pending.unpersist()
-        count = self.tables.read("feed_events", schema=EVENTS).filter(F.col("batch") == batch).count()
-        self.tables.append_row(
-            {"batch": batch, "last_sequence": (done.last or 0) + count, "events": count}, COMMITS, "feed_commits")
-        return count
+        return self.tables.read("feed_events", schema=EVENTS).filter(F.col("folder") == folder).count()
 
-    def read(self, after: int = 0, limit: int = 100) -> dict:
-        if type(after) is int and after >= 0:
+    def read(self, after: int = 0, limit: int = 100, sync: bool = True) -> dict:
+        """Events past a cursor; without ``sync``, only what is published already, and nothing is written."""
+        if sync and type(after) is int and after >= 0:
             self.sync()
-        return after_cursor(self.events().drop("batch"), after, limit)
+        return after_cursor(self.events().drop("folder"), after, limit)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import payload as P
 from ..operators.content import content_digest
-from ..operators.reconcile import REVIEWS, Reconciled, all_candidates, reconcile
-from ..sources.datasets import RECORD_SCHEMA, Dataset
+from ..operators.reconcile import REVIEWS, NameClasses, Reconciled, all_candidates, all_pairs, name_classes, reconcile
+from ..sources.datasets import RECORD_SCHEMA, Dataset, prepared
 from .tables import Tables
 
 DATASETS = "sequence bigint, digest string, dataset_id string, entity_type string, source string, observed_at string, " \
@@ -61,7 +61,8 @@ class Reconciliation:
         result = reconcile(left, right, self.reviews())
         run_id = uuid.uuid4().hex
         digests = [self._keep(left), self._keep(right)]
-        self.tables.write(result.pairs, "run_pairs", f"run_id={run_id}")
+        self.tables.write(result.decided, "run_pairs", f"run_id={run_id}")
+        self.tables.write(result.names.classes, "run_names", f"run_id={run_id}")
         self.tables.write(result.members(), "run_members", f"run_id={run_id}")
         self.tables.write(result.records, "run_records", f"run_id={run_id}")
         self.tables.append_row(
@@ -83,9 +84,16 @@ class Reconciliation:
         rows = self.spark.read.parquet(self.tables.path("run_records", f"run_id={run_id}"))
         return rows if status is None else rows.filter(F.col("status") == status)
 
+    def _decided(self, run_id: str) -> tuple[DataFrame, NameClasses, list[DataFrame]]:
+        row = self._run(run_id)
+        decided, classes = (self.spark.read.parquet(self.tables.path(t, f"run_id={run_id}")) for t in ("run_pairs", "run_names"))
+        sides = [prepared(self.dataset(digest)) for digest in (row.left_digest, row.right_digest)]
+        return decided, name_classes(classes, *sides), sides
+
     def run_pairs(self, run_id: str) -> DataFrame:
-        self._run(run_id)
-        return self.spark.read.parquet(self.tables.path("run_pairs", f"run_id={run_id}"))
+        """Explained candidates; what names alone connect is stored by name and expanded here."""
+        decided, names, sides = self._decided(run_id)
+        return all_pairs(decided, names, *sides)
 
     def run_members(self, run_id: str) -> DataFrame:
         """Records that share a factored identifier."""
@@ -94,7 +102,8 @@ class Reconciliation:
 
     def run_candidates(self, run_id: str) -> DataFrame:
         """Every candidate of a stored run, listed or factored."""
-        return all_candidates(self.run_pairs(run_id), self.run_members(run_id))
+        decided, names, _ = self._decided(run_id)
+        return all_candidates(decided, self.run_members(run_id), names)
 
     def export(self, run_id: str, path: str) -> None:
         """Statuses, explained pairs and group members of a run as JSON lines; an existing target is refused."""

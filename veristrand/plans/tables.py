@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +38,43 @@ class Tables:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(*parts))
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def claim(self, text: str, *parts: str) -> bool:
+        """Create a file with that text unless there is one of its name; of several writers one succeeds.
+
+        The text is written aside first and then gets its name in one step that fails if the name is
+        taken, so nobody reads half a file: a hard link on a local disk, elsewhere a rename without overwriting.
+        """
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path
+        target = path(self.path(*parts))
+        aside = path(self.path(*parts[:-1], f"_{uuid.uuid4().hex}"))
+        system = target.getFileSystem(conf)
+        out = system.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        try:
+            if system.getScheme() == "file":
+                os.link(*(path.getPathWithoutSchemeAndAuthority(p).toString() for p in (aside, target)))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(aside, target, none)
+            return True
+        except (FileExistsError, Py4JJavaError):
+            if not system.exists(target):
+                raise
+            return False
+        finally:
+            system.delete(aside, False)
+
+    def lines(self, *parts: str, schema: str) -> DataFrame:
+        """The JSON lines of a folder of claimed files; empty before the first."""
+        try:
+            return self.spark.read.schema(schema).json(self.path(*parts))
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return self.spark.createDataFrame([], schema)
+            raise
+
     def append_row(self, row: dict, schema: str, *parts: str) -> None:
         self.write(self.spark.createDataFrame([row], schema).coalesce(1), *parts, mode="append")
 
