@@ -116,47 +116,6 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert linking.components(frame.limit(0)).collect() == []
 
 
-def brute_lines(docs):
-    """Dropped places, by exact Jaccard of all pairs of distinct lines."""
-    places, index = [], {}
-    for doc, text in docs:
-        for place, line in enumerate((text or "").split("\n")):
-            line = line.strip(" \t\n\x0b\x0c\r").lower()
-            if line:
-                places.append((doc, place, index.setdefault(line, len(index))))
-    sets = []
-    for line in index:
-        starts = [line[i : i + 12] for i in range(len(line) - 11) if line[i] != " " and (i == 0 or line[i - 1] == " ")]
-        sets.append(set(starts) if len(starts) >= 4 else {line[i : i + 12] for i in range(len(line) - 11)} or {line})
-    links = [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9]
-    root = classes_of(len(sets), links)
-    first = {}
-    for doc, place, line in sorted(places):
-        first.setdefault(root[line], (doc, place))
-    return {(doc, place) for doc, place, line in places if first[root[line]] != (doc, place)}, len(links)
-
-
-def test_line_dedup_equals_brute_force(spark):
-    rng = random.Random(9)
-    pool = [f"{a}{b}" for a in ("cat", "river", "stone", "quiet", "morning", "green") for b in ("", "s", "ly", "ness", "ward", "er")]
-    stock = [" ".join(rng.choices(pool, k=rng.randint(1, 40))) for _ in range(40)]
-    near = [" ".join(changed(rng, s.split(), 1, pool)) for s in stock for _ in range(2) if len(s.split()) >= 14]
-    every = stock + near + [s.upper() + " " for s in stock[:5]] + ["x", "", "  ", "日本語のとても長い一行がここにありますから" * 3, "is so. " * 60, "is so. " * 70]
-    docs = [(i, "\n".join(rng.choices(every, k=rng.randint(1, 12)))) for i in range(60)] + [(60, ""), (61, None)]
-    gone, links = brute_lines(docs)
-    assert links > 20
-    frame = spark.createDataFrame([(*d, "own") for d in docs], "doc_id long, text string, n_lines string").repartition(3)
-    found = {r["doc_id"]: r for r in lines.dedup_lines(frame).collect()}
-    same = 0
-    for doc, text in docs:
-        kept = None if text is None else "\n".join(p for k, p in enumerate(text.split("\n")) if (doc, k) not in gone)
-        same += found[doc]["cleaned"] == kept
-    # A band finds a link with a probability below one; what it finds is exact, so no more than these lines go.
-    dropped = sum(r["n_dropped"] for r in found.values())
-    assert len(found) == len(docs) and 0.97 * len(gone) <= dropped <= len(gone) and same >= 0.95 * len(docs)
-    assert found[61]["n_lines"] == 0 and found[61]["cleaned"] is None and found[60]["cleaned"] == ""
-
-
 def test_line_dedup_odd_tables(spark):
     docs = spark.createDataFrame([(None, "same line here"), (None, "same line here"), (3, "same line here\n\nother"), (4, None)], "doc_id long, text string")
     found = sorted((r["doc_id"] or 0, r["cleaned"] or "", r["n_dropped"]) for r in lines.dedup_lines(docs).collect())

@@ -134,3 +134,17 @@ def test_shards_are_written(spark, tmp_path):
     sharding.write(sharding.interleave(docs, 4), str(tmp_path / "out"), 3)
     read = spark.read.parquet(str(tmp_path / "out"))
     assert read.count() == 40 and {r["shard"] for r in read.collect()} == {0, 1, 2, 3}
+
+
+def test_url_filter_odd_tables(spark):
+    schema = "page_id long, url string, verdict int"
+    nothing = spark.createDataFrame([], schema)
+    assert urls.fit(queries.labelled_urls(nothing)) is None
+    assert urls.judge(nothing, None, queries.URL_RULES).isEmpty()
+    assert urls.fit(spark.createDataFrame([("https://a.example/", None)], "url string, blocked int")) is None
+    long = "https://a.example.net/fr/" + "x" * 100_000
+    rows = [(1, "https://casino.example/a", 0), (1, "https://casino.example/a", 0), (2, None, 0), (3, long, 0), (4, "https://b.example/a?casino", 0)] * 3
+    table = spark.createDataFrame(rows, schema)
+    found = urls.judge(table, urls.fit(queries.labelled_urls(table)), queries.URL_RULES).collect()
+    assert len(found) == 15 and len({(r["page_id"], r["verdict"], r["block_score"]) for r in found}) == 4
+    assert {r["rule"] for r in found if r["page_id"] == 3} == {"net/fr/"} and {r["path"] == long[21:] for r in found if r["page_id"] == 3} == {True}

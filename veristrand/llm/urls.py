@@ -58,14 +58,17 @@ def _features(frame: DataFrame) -> DataFrame:
     return hashed.transform(frame.withColumn("_llm_grams", grams(F.col("_llm_host"), F.col("_llm_path"))))
 
 
-def fit(labelled: DataFrame, *, url: str = "url", label: str = "blocked", rows: int = LABELLED_ROWS) -> LogisticRegressionModel:
+def fit(labelled: DataFrame, *, url: str = "url", label: str = "blocked", rows: int = LABELLED_ROWS) -> LogisticRegressionModel | None:
     """Logistic regression fitted by Spark on a small labelled table of ``url`` and ``label`` (1: block).
 
-    At most ``rows`` rows count, chosen by a hash of the url; rows without a label do not.
+    At most ``rows`` rows count, chosen by a hash of the url; rows without a label do not. Repeated
+    rows count each time; long urls are taken whole. Without a labelled row there is no model (None).
     """
     table = labelled.filter(F.col(label).isNotNull()).select(
         host_of(F.col(url)).alias("_llm_host"), path_of(F.col(url)).alias("_llm_path"),
         F.col(label).cast("double").alias("_llm_label"), F.xxhash64(F.col(url)).alias("_llm_order"))
+    if table.isEmpty():
+        return None
     chosen = table.orderBy("_llm_order", "_llm_host", "_llm_path", "_llm_label").limit(rows)
     return LogisticRegression(featuresCol="_llm_features", labelCol="_llm_label", **TRAINING).fit(_features(chosen))
 
@@ -78,7 +81,7 @@ def judge(
 
     The longest rule that fits decides; without one, block from a score of ``threshold`` on.
     A null url, and one without ``://``, has an empty host and path and is judged like any
-    other. Without a model all scores are 0. Columns named like a result are replaced, all
+    other. Without a model all scores are 0; an empty table gives no rows. Columns named like a result are replaced, all
     others pass unchanged. A map over rows; the weights have a fixed size.
     """
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "block_score", "verdict")]
