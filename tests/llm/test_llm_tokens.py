@@ -68,7 +68,8 @@ def test_token_counts_of_whole_texts(spark):
 
 
 def test_caches_have_a_bound(monkeypatch):
-    monkeypatch.setattr(tokens, "CACHED_WORDS", 3)
+    for bound in ("CACHED_WORDS", "CACHED_LENGTHS", "COUNTED_WORDS"):
+        monkeypatch.setattr(tokens, bound, 3)
     lengths = tokens._Lengths(bpe.Encoder(bpe.Vocabulary.load(BYTES)), {"the": 1})
     assert [lengths.of(f"the word{i} is here") for i in range(20)] and len(lengths) <= 6 and "the" in lengths
 

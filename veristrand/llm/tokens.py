@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .bpe import Encoder, Vocabulary
 
-#: Most words a worker remembers; beyond it the memory is emptied, results stay the same.
-CACHED_WORDS = 200_000
+#: Most words a worker remembers, as pieces or as lengths alone, which need less room; beyond it the
+#: memory is emptied, results stay the same.
+CACHED_WORDS, CACHED_LENGTHS = 300_000, 700_000
+#: Most words that a task counts at a time for the table of the frequent.
+COUNTED_WORDS = 200_000
 #: Words longer than this are encoded each time, so the memory has a bound in bytes too.
 CACHED_LETTERS = 64
 _encoders: dict[str, Encoder] = {}
@@ -169,8 +172,8 @@ def frequent_lengths(
         for frame in batches:
             for value in frame["text"]:
                 counts.update((special.sub(" ", value) if special else value).split(" ") if value else ())
-                if len(counts) > CACHED_WORDS:
-                    counts = Counter(dict(counts.most_common(CACHED_WORDS // 2)))
+                if len(counts) > COUNTED_WORDS:
+                    counts = Counter(dict(counts.most_common(COUNTED_WORDS // 2)))
         top = [(w, n) for w, n in counts.most_common(per_task) if len(w) <= CACHED_LETTERS]
         if top:
             yield pd.DataFrame({"word": [w for w, _ in top], "n": [n for _, n in top]})
@@ -197,7 +200,7 @@ class _Lengths(dict):
     def __missing__(self, run: str) -> int:
         length = sum(map(self._length, self.encoder.words(" " + run)))
         if len(run) <= CACHED_LETTERS and "\n" not in run:
-            if len(self) > CACHED_WORDS + len(self.frequent):
+            if len(self) > CACHED_LENGTHS + len(self.frequent):
                 self.clear()
                 self.update(self.frequent)
             self[run] = length
@@ -208,7 +211,7 @@ class _Lengths(dict):
         if length is None:
             length = len(self.encoder.merge(word))
             if len(word) <= CACHED_LETTERS:
-                if len(self.own) > CACHED_WORDS:
+                if len(self.own) > CACHED_LENGTHS:
                     self.own.clear()
                 self.own[word] = length
         return length
