@@ -43,6 +43,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     monkeypatch.setattr(collocations, "HELD", 64)
     monkeypatch.setattr(collocations, "HELD_STRINGS", 16)
+    monkeypatch.setattr(collocations, "HEAVY", 4)
     vocabulary = ["new", "York", "city", "hall", "é", "ß", "The", "of", "x\x85y", "\x1f"]
     rows = [(rng.choice(["en", "fr", None]), " ".join(
         rng.choice(vocabulary) + rng.choice(["", "", "", ".", ",\t", "\n", "?!"]) for _ in range(rng.randint(0, 60)))) for _ in range(150)]
