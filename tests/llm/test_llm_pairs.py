@@ -116,6 +116,28 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert linking.components(frame.limit(0)).collect() == []
 
 
+def test_classes_of_a_key_that_all_hold(spark):
+    """Whatever links are verified, and however many rounds it takes, no class stays apart."""
+    rng = random.Random(9)
+    for span in (1, 3, 40):
+        linked = {(a, b) for a in range(150) for b in range(a + 1, 150) if a // span == b // span or rng.random() < 0.001}
+        known = spark.createDataFrame(sorted(linked), "a long, b long")
+        postings = spark.createDataFrame([(7, i, (i * 31) % 150) for i in range(150)], "key long, id long, rank long")
+        asked = []
+
+        def verify(pairs):
+            asked.append(pairs.count())
+            return pairs.join(known, ["a", "b"])
+
+        root = classes_of(150, linked)
+        found = {r["id"]: r["root"] for r in linking.classes(postings, verify).collect()}
+        groups = lambda of: sorted(sorted(i for i in range(150) if of(i) == r) for r in {of(i) for i in range(150)})
+        assert groups(lambda i: found.get(i, i)) == groups(lambda i: root[i])
+        assert sum(asked) <= 150 * 149 / 2
+    # Groups of forty need far fewer comparisons than all pairs.
+    assert sum(asked) < 150 * 149 / 4
+
+
 def test_line_dedup_odd_tables(spark):
     docs = spark.createDataFrame([(None, "same line here"), (None, "same line here"), (3, "same line here\n\nother"), (4, None)], "doc_id long, text string")
     found = sorted((r["doc_id"] or 0, r["cleaned"] or "", r["n_dropped"]) for r in lines.dedup_lines(docs).collect())

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .staging import staged
 
 Admissible = Callable[[str, str], Column]
+#: Holders of a key that its others are compared with in the second round, and the factor of every round after it.
+STRANGERS, WIDER = 16, 8
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -58,32 +60,37 @@ def classes(
     ``postings``, a stored table, has key, id, rank and what ``admissible`` needs; a pair is a candidate when it
     shares a key and is admissible. First every key's holders are compared with the few
     (``hubs``) of lowest rank alone. What that connects needs no further comparison; every key
-    that still holds several classes then compares each holder outside its largest class with
-    all holders of other classes. So no link between classes is lost, and a group of copies
-    costs a few comparisons per member instead of one per pair.
+    that still holds several classes then compares some holders outside its largest class with
+    all holders of other classes, ``WIDER`` times as many each round, until a round compared all
+    that were left. So no link between classes is lost, and a group of near copies, most of
+    which join a class in the first rounds, costs a few comparisons per member instead of one per pair.
     """
     admissible = admissible or (lambda x, y: F.lit(True))
-    place = F.row_number().over(Window.partitionBy("key").orderBy("rank", "id"))
-    centres = postings.withColumn("_place", place).filter(F.col("_place") <= hubs).drop("_place")
-    first = staged(_pairs(postings, centres, admissible, F.col("x.id") != F.col("y.id")))
-    links = staged(verify(first))
-    roots = components(links)
-    placed = staged(
-        postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = sizes.groupBy("key").agg(
-        F.max_by("root", F.struct("_n", "root")).alias("_top"), F.count(F.lit(1)).alias("_roots")
-    ).filter("_roots > 1").select("key", "_top")
-    open_rows = staged(placed.join(mixed, "key"))
-    strangers = open_rows.filter("root <> _top")
-    # Two strangers meet from either side; the pair is made once.
-    apart = (F.col("x.root") != F.col("y.root")) & (
-        (F.col("y.root") == F.col("y._top")) | (F.col("x.id") < F.col("y.id")))
-    rest = _pairs(strangers, open_rows, admissible, apart).join(first, ["a", "b"], "left_anti")
-    more = staged(verify(staged(rest)))
-    if more.isEmpty():
-        return roots
-    return components(links.unionByName(more))
+    order = Window.partitionBy("key").orderBy("rank", "id")
+    lowest = lambda rows, most: rows.withColumn(
+        "_place", F.row_number().over(order)).filter(F.col("_place") <= most).drop("_place")
+    compared = staged(_pairs(postings, lowest(postings, hubs), admissible, F.col("x.id") != F.col("y.id")))
+    links = staged(verify(compared))
+    width = max(hubs, STRANGERS)
+    while True:
+        roots = components(links)
+        placed = staged(
+            postings.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+        sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("_n"))
+        mixed = staged(sizes.groupBy("key").agg(
+            F.max_by("root", F.struct("_n", "root")).alias("_top"), F.count(F.lit(1)).alias("_roots"),
+            (F.sum("_n") - F.max("_n")).alias("_strangers")).filter("_roots > 1"))
+        left = mixed.agg(F.max("_strangers")).first()[0]
+        if left is None:
+            return roots
+        open_rows = staged(placed.join(mixed.select("key", "_top"), "key"))
+        centres = lowest(open_rows.filter("root <> _top"), width)
+        rest = staged(_pairs(centres, open_rows, admissible, F.col("x.root") != F.col("y.root")).join(
+            compared, ["a", "b"], "left_anti"))
+        more = staged(verify(rest))
+        if left <= width:
+            return roots if more.isEmpty() else components(links.unionByName(more))
+        compared, links, width = compared.unionByName(rest), links.unionByName(more), width * WIDER
 
 
 def _pairs(left: DataFrame, right: DataFrame, admissible: Admissible, further: Column) -> DataFrame:
