@@ -147,7 +147,7 @@ def test_feed_takes_several_responses_per_job_in_one_sync(spark, evidence):
     assert [e["sequence"] for e in events] == [1, 2, 3, 4]
     nothing = spark.createDataFrame([], "job_id bigint, response_id bigint")
     pending = feeds.pending_responses(evidence.responses(), evidence.claims(), nothing)
-    narrow = feeds.claim_changes(evidence.responses(), evidence.claims(), evidence.jobs(), pending, width=2)
+    narrow = feeds.claim_changes(evidence.responses(), evidence.claims(), evidence.jobs(), pending)
     assert [r.sequence for r in feeds.sequenced(narrow, 10, width=2).orderBy("response_id", "predicate").collect()] == [11, 12, 13, 14]
     assert narrow.count() == 4
 

@@ -21,10 +21,25 @@ def test_neighbours_equal_a_plain_scan_across_chunk_borders(spark):
         by_key.setdefault(key, []).append(i)
     following = {i: b for ids in by_key.values() for i, b in zip(ids, [*ids[1:], None])}
     previous = {b: a for a, b in following.items() if b is not None}
-    found = {r.id: r.next_id for r in paging.neighbour(frame, "key", "id", width=100).collect()}
-    assert found == following
-    found = {r.id: r.previous_id for r in paging.neighbour(frame, "key", "id", forward=False, width=100).collect()}
-    assert found == {i: previous.get(i) for _, i in rows}
+    for parts in (1, 7, 40, None):
+        found = {r.id: r.next_id for r in paging.neighbour(frame, "key", "id", parts=parts).collect()}
+        assert found == following
+        found = {r.id: r.previous_id for r in paging.neighbour(frame, "key", "id", forward=False, parts=parts).collect()}
+        assert found == {i: previous.get(i) for _, i in rows}
+
+
+def test_neighbours_of_sparse_ids_and_a_hot_key_are_dealt_evenly(spark):
+    """Ids a million apart and a key with half of all rows: no task scans above twice its share."""
+    rows = [("hot" if i % 2 else f"k{i % 50}", i * 1_000_000) for i in range(8000)]
+    frame = spark.createDataFrame([*rows, (None, 5)], "key string, id bigint")
+    found = paging.neighbour(frame, "key", "id", parts=8)
+    assert {(r.id, r.next_id) for r in found.filter("key = 'hot'").collect()} == {
+        (i * 1_000_000, (i + 2) * 1_000_000 if i < 7998 else None) for i in range(1, 8000, 2)}
+    assert found.filter("key IS NULL").isEmpty()
+    dealt = frame.filter("key IS NOT NULL").repartitionByRange(8, "key", "id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in dealt.collect()) <= 2 * len(rows) / 8
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "SinglePartition" not in plan
 
 
 def test_numbers_are_dense_over_all_rows_and_per_key(spark):

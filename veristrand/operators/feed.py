@@ -28,15 +28,14 @@ def pending_responses(responses: DataFrame, claims: DataFrame, heads: DataFrame)
         "response_id", "job_id", F.coalesce(F.col("response_id") == F.col("head"), F.lit(False)).alias("is_head"))
 
 
-def claim_changes(responses: DataFrame, claims: DataFrame, jobs: DataFrame, pending: DataFrame,
-                  width: int = CHUNK) -> DataFrame:
+def claim_changes(responses: DataFrame, claims: DataFrame, jobs: DataFrame, pending: DataFrame) -> DataFrame:
     """One row per predicate of a pending response whose value set differs from the response before.
 
     Each group of claims is sent twice: to its own response as "after" and to the
     next response of the job as "before". Both keys are response ids, so the
     comparison groups on unique keys and no job is too large for a task.
     """
-    following = neighbour(pending, "job_id", "response_id", forward=True, width=width)
+    following = neighbour(pending, "job_id", "response_id", forward=True)
     groups = claim_groups(claims).join(
         pending.join(following.drop("job_id"), "response_id"), "response_id")
     after = groups.filter("NOT is_head").select(

@@ -58,26 +58,25 @@ def number_rows(frame: DataFrame, chunk: Column, order: list[Column], start: Col
     )
 
 
-def neighbour(frame: DataFrame, key: str, order: str, forward: bool = True, width: int = CHUNK) -> DataFrame:
-    """For unique integers ``order``: the next (or previous) one of the same key.
-
-    A window over the bare key would put a hot key into one task. Here the window
-    covers (key, order div width), at most ``width`` rows because ``order`` is
-    unique, and a second window over one row per chunk supplies the values at the
-    chunk borders.
+def neighbour(frame: DataFrame, key: str, order: str, forward: bool = True, parts: int | None = None) -> DataFrame:
+    """For unique ``order``: the next (or previous) one of the same key.
+
+    A window over the bare key would put a hot key into one task, and chunks of equal
+    width would put sparse values into chunks of one row. Rows are dealt by range of
+    (key, order) instead, so a task holds its share whatever the keys and gaps are; every
+    key is scanned within its part, and only the first and last row of each part, at most
+    two per key and part, meet in a second window that carries over the borders.
+    Rows without a key have no neighbours and do not come back.
     """
-    rows = frame.select(key, order).withColumn("_chunk", F.floor(F.col(order) / width).cast("bigint"))
-    inner = Window.partitionBy(key, "_chunk").orderBy(order)
-    outer = Window.partitionBy(key).orderBy("_chunk")
-    step = F.lead if forward else F.lag
-    edge = F.min if forward else F.max
-    borders = (
-        rows.groupBy(key, "_chunk").agg(edge(order).alias("_edge"))
-        .select(key, "_chunk", step("_edge").over(outer).alias("_border"))
-    )
-    name = "next_id" if forward else "previous_id"
-    return (
-        rows.withColumn("_near", step(order).over(inner))
-        .join(borders, [key, "_chunk"])
-        .select(key, order, F.coalesce("_near", "_border").alias(name))
-    )
+    rows = frame.select(key, order).filter(F.col(key).isNotNull())
+    by = [F.col(key), F.col(order)]
+    dealt = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    inner = Window.partitionBy(key, "_part").orderBy(order)
+    scanned = dealt.withColumn("_part", F.spark_partition_id()).withColumns(
+        {"_next": F.lead(order).over(inner), "_previous": F.lag(order).over(inner)})
+    # Rows inside a part stay with it; those at an edge make one group per key.
+    edge = F.col("_next").isNull() | F.col("_previous").isNull()
+    outer = Window.partitionBy(key, "_group").orderBy(order)
+    step, near, name = (F.lead, "_next", "next_id") if forward else (F.lag, "_previous", "previous_id")
+    return scanned.withColumn("_group", F.when(edge, -1).otherwise(F.col("_part"))).withColumn(
+        "_border", step(order).over(outer)).select(key, order, F.coalesce(near, "_border").alias(name))
