@@ -35,26 +35,33 @@ def edges(relationships: DataFrame) -> DataFrame:
     )
 
 
-def next_level(frontier: DataFrame, links: DataFrame, visited: DataFrame, here: str, there: str) -> DataFrame:
+def next_level(frontier: DataFrame, links: DataFrame, visited: DataFrame, here: str, there: str,
+               budgeted: bool = True) -> DataFrame:
     """(node, trail) first reached from the frontier.
 
     ``trail`` is the list of relationship ids walked. Breadth-first order is the
     order of these lists: by parent, then by the first relationship between two
-    nodes. The frontier never exceeds the visit budget of 10,000 rows, a proven
-    bound, so it is broadcast and the relationship table is not shuffled.
+    nodes. Under the visit budget the frontier never exceeds 10,000 rows, a proven
+    bound, so it is broadcast and the relationship table is not shuffled. Without
+    a budget it may be any size and Spark chooses the join.
     """
+    small = F.broadcast if budgeted else lambda frame: frame
     reached = (
-        links.join(F.broadcast(frontier.withColumnRenamed("node", here)), here)
+        links.join(small(frontier.withColumnRenamed("node", here)), here)
         .select(F.col(there).alias("node"), F.concat("trail", F.array("relationship_id")).alias("trail"))
         .groupBy("node").agg(F.min("trail").alias("trail"))
     )
-    return reached.join(F.broadcast(visited), "node", "left_anti")
+    return reached.join(small(visited), "node", "left_anti")
 
 
 def shortest_path(relationships: DataFrame, source: str, target: str, max_hops: int = 4,
-                  max_visited: int = 5000) -> Path:
-    """Bounded breadth-first search; the caller has checked that both profiles exist."""
-    if not 1 <= max_hops <= MAX_HOPS or not 1 <= max_visited <= MAX_VISITED:
+                  max_visited: int | None = 5000) -> Path:
+    """Breadth-first search; the caller has checked that both profiles exist.
+
+    ``max_visited`` is the visit budget; with None every node within the hops is visited.
+    """
+    budgeted = max_visited is not None
+    if not 1 <= max_hops <= MAX_HOPS or budgeted and not 1 <= max_visited <= MAX_VISITED:
         raise ValueError("Paths support 1–4 hops and at most 10000 visited nodes")
     if source == target:
         return Path([], True, False, SAME)
@@ -66,17 +73,16 @@ def shortest_path(relationships: DataFrame, source: str, target: str, max_hops:
     for hop in range(max_hops):
         here, there = ("profile_id", "entity_url") if hop % 2 == 0 else ("entity_url", "profile_id")
         level = checkpointed(next_level(frontier, links.select("relationship_id", "profile_id", "entity_url"),
-                                        seen[there], here, there))
+                                        seen[there], here, there, budgeted))
         goal = level.filter(F.col("node") == target).first() if there == "profile_id" else None
         if goal:
             trail = F.array(*[F.lit(i) for i in goal.trail])
-            ahead = level.filter(F.col("trail") < trail).count()
-            if visited + ahead < max_visited:
+            if not budgeted or visited + level.filter(F.col("trail") < trail).count() < max_visited:
                 return Path(_steps(links, source, goal.trail), True, False, SHARED)
             return Path([], False, True, EXHAUSTED)
         arrived = level.count()
         visited += arrived
-        if visited >= max_visited:
+        if budgeted and visited >= max_visited:
             return Path([], False, True, EXHAUSTED)
         if not arrived:
             break
