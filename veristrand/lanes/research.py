@@ -89,6 +89,23 @@ def abstract_text(index: Column) -> Column:
     return or_empty(F.array_join(F.transform(first, lambda x: x["own"]["token"]), " "))
 
 
+def inverted_index(documents: DataFrame, tokens: Column) -> DataFrame:
+    """Documents with the token → positions map of their ``tokens`` as ``index``.
+
+    Equal tokens lie side by side once a document's are sorted, so no token leaves its row.
+    """
+    placed = P.once(documents, "_placed", F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("at")))))
+    own = F.col("_placed")
+    paired = F.arrays_zip(own.alias("own"), F.concat(F.array(F.lit(None)), own).alias("before"))
+    begins = lambda x: x["own"].isNotNull() & (x["before"].isNull() | (x["own"]["token"] != x["before"]["token"]))
+    marked = P.once(placed, "_starts", F.array_compact(F.transform(paired, lambda x, i: F.when(begins(x), i))))
+    end = lambda i: F.coalesce(F.get("_starts", i + 1), F.size(own))
+    entries = F.transform("_starts", lambda start, i: F.struct(
+        F.get(own, start)["token"].alias("token"),
+        F.transform(F.slice(own, start + 1, end(i) - start), lambda p: p["at"]).alias("at")))
+    return marked.withColumn("index", F.map_from_entries(entries)).drop("_placed", "_starts")
+
+
 def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple[str, ...]) -> Lane:
     """Works with a credited author at a listed institution.
 

@@ -165,10 +165,10 @@ def event_kinds(table):
 @query("abstract_texts", "SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '[^\\s]+'), ' ')) AS digest FROM documents")
 def abstract_texts(table):
     """Each document taken apart into token positions and put together again."""
-    words = table("documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)).alias("at", "token"))
-    index = words.groupBy("doc_id", "token").agg(F.collect_list("at").alias("at")).groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "at"))).alias("index"))
-    return index.select("doc_id", F.md5(research.abstract_text(F.col("index"))).alias("digest"))
+    tokens = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
+    indexed = research.inverted_index(table("documents").select("doc_id", "text"), tokens)
+    text = F.when(F.col("text").isNotNull(), research.abstract_text(F.col("index")))
+    return indexed.select("doc_id", F.md5(text).alias("digest"))
 
 
 # --- lanes ------------------------------------------------------------------
