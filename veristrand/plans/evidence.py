@@ -91,7 +91,11 @@ class ChangeFeed:
         return self.tables.lines("feed_commits", schema=COMMITS)
 
     def _committed(self, table: str, schema: str) -> DataFrame:
-        return self.tables.read(table, schema=schema).join(self.commits().select("folder"), "folder", "left_semi")
+        return self._published(table, schema).join(self.commits().select("folder"), "folder", "left_semi")
+
+    def _published(self, table: str, schema: str) -> DataFrame:
+        """The folders named by :meth:`sync`; whatever else lies beside them was never committed."""
+        return self.tables.read(table, "folder=*", schema=schema, base=(table,))
 
     def heads(self) -> DataFrame:
         return self._committed("feed_heads", HEADS).groupBy("job_id").agg(F.max("response_id").alias("response_id"))
@@ -138,7 +142,7 @@ class ChangeFeed:
             self.tables.write(moved, "feed_heads", f"folder={folder}")
         finally:
             pending.unpersist()
-        return self.tables.read("feed_events", schema=EVENTS).filter(F.col("folder") == folder).count()
+        return self._published("feed_events", EVENTS).filter(F.col("folder") == folder).count()
 
     def read(self, after: int = 0, limit: int = 100, sync: bool = True) -> dict:
         """Events past a cursor; without ``sync``, only what is published already, and nothing is written."""

@@ -19,10 +19,13 @@ class Tables:
     def path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
 
-    def read(self, *parts: str, schema: str | StructType | None = None) -> DataFrame:
-        """An empty frame of ``schema`` stands in for a table nobody wrote yet."""
+    def read(self, *parts: str, schema: str | StructType | None = None, base: tuple[str, ...] = ()) -> DataFrame:
+        """An empty frame of ``schema`` stands in for a table nobody wrote yet.
+
+        ``base`` is the table's folder where ``parts`` names some of its partitions by a pattern.
+        """
         try:
-            reader = self.spark.read
+            reader = self.spark.read.option("basePath", self.path(*base)) if base else self.spark.read
             return (reader.schema(schema) if schema else reader).parquet(self.path(*parts))
         except AnalysisException as error:
             if schema and error.getCondition() == "PATH_NOT_FOUND":
