@@ -2,24 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-
-
-def staged(frame: DataFrame) -> DataFrame:
-    """The rows, written once to the shared folder of ``spark.checkpoint.dir`` and read from there.
+from ..session import staged
 
-    What follows starts from the files: a lost executor repeats nothing before them, ids given
-    to the rows stay as they are, and Spark knows the table's size.
-    """
-    spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+__all__ = ["staged", "told"]
 
 
 def told(frame: DataFrame, most: int) -> DataFrame:

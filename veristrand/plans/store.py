@@ -47,7 +47,8 @@ def search_parts(profiles: DataFrame, relationships: DataFrame, credits: DataFra
     """(profile_id, text): one part per profile, one per resolved relationship and one per credit.
 
     A profile made from its credits has their lines as its expertise and as its evidence, so
-    they count twice; parts add up, and no profile's credits ever meet in one row.
+    they count twice; parts add up, and no profile's credits ever meet in one row. ``credits`` are
+    ``(profile_id, payload)`` as stored, or ``(profile_id, expertise, made)`` where they are not.
     """
 
     def text(names):
@@ -58,10 +59,12 @@ def search_parts(profiles: DataFrame, relationships: DataFrame, credits: DataFra
         relationships.filter("profile_id IS NOT NULL").select("profile_id", text(RELATION_TEXT)))
     if credits is None:
         return parts
-    read = credits.select("profile_id", F.from_json("payload", "expertise string, made boolean").alias("c"))
-    line = or_empty(F.col("c.expertise"))
-    return parts.unionByName(read.select(
-        "profile_id", F.when(F.col("c.made"), F.concat_ws(" ", line, line)).otherwise(line).alias("text")))
+    if "payload" in credits.columns:
+        read = F.from_json("payload", "expertise string, made boolean").alias("c")
+        credits = credits.select("profile_id", read).select("profile_id", "c.expertise", "c.made")
+    line = or_empty(F.col("expertise"))
+    return parts.unionByName(credits.select(
+        "profile_id", F.when(F.col("made"), F.concat_ws(" ", line, line)).otherwise(line).alias("text")))
 
 
 class EvidenceStore:
