@@ -15,8 +15,8 @@ from .common import Lane, accumulate, identifiers, keep, no_identifiers
 
 AUTHORSHIP = ("struct<author:struct<id:string,display_name:string,orcid:string>,author_position:string,"
               "institutions:array<struct<id:string>>>")
-SCHOLARLY = (f"id string, display_name string, title string, publication_year string, publication_date string, type string, "
-             f"authorships array<{AUTHORSHIP}>, abstract_inverted_index map<string,array<int>>")
+SCHOLARLY = (f"id:string,display_name:string,title:string,publication_year:string,publication_date:string,type:string,"
+             f"authorships:array<{AUTHORSHIP}>")
 DEPOSIT = ("id string, links struct<html:string,self:string>, metadata struct<title:string,publication_date:string,"
            "description:string,resource_type:struct<title:string,type:string>,"
            "creators:array<struct<name:string,affiliation:string,orcid:string>>>")
@@ -113,7 +113,9 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
     name a listed institution on that work are credited. A live record replaces a
     cached one; otherwise the first stays. ``scopes`` is in order of precedence.
     """
-    typed = P.once(documents, "w", P.typed(F.col("doc"), SCHOLARLY)).drop("doc").withColumn(
+    indexed = documents.withColumn("index", F.from_json(
+        P.canonical(P.part(F.col("doc"), "abstract_inverted_index")), "map<string,array<int>>"))
+    typed = P.once(indexed, "w", P.cast(F.col("doc"), SCHOLARLY)).drop("doc").withColumn(
         "work_key", last_segment(or_empty(F.col("w.id")))).filter("work_key != ''").withColumn(
         "work_id", F.concat(F.lit("openalex:"), "work_key")).withColumn(
         "title", compact_text(F.coalesce(F.nullif(F.col("w.display_name"), F.lit("")), F.col("w.title")))).filter("title != ''")
@@ -121,8 +123,8 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
     authors = (
         typed.select("work_id", "ord", rank.alias("rank"), F.col("w.id").alias("work_url"), F.posexplode("w.authorships").alias("at", "a"))
         .select("work_id", "ord", "rank", "work_url", "at", F.col("a.author.id").alias("person_url"),
-                compact_text(F.col("a.author.display_name")).alias("name"), F.col("a.author.orcid").alias("orcid"),
-                squeeze(F.col("a.author_position")).alias("position"),
+                F.col("a.author.display_name").alias("name"), F.col("a.author.orcid").alias("orcid"),
+                F.col("a.author_position").alias("position"),
                 F.explode(F.array_distinct(F.transform("a.institutions", lambda i: last_segment(i["id"])))).alias("institution_id"))
         .filter("person_url != ''").join(institutions, "institution_id")
     )
@@ -137,7 +139,7 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
     abstract = F.col("abstract")
     kind = F.coalesce(F.nullif(F.col("w.type"), F.lit("")), F.lit("publication"))
     generic = sentence(WORK_TEXT, kind=compact_text(kind), from_year=F.when(year != "", F.concat(F.lit(" from "), year)).otherwise(""))
-    read = typed.join(regional, ["work_id", "ord"]).withColumn("abstract", abstract_text(F.col("w.abstract_inverted_index")))
+    read = typed.join(regional, ["work_id", "ord"]).withColumn("abstract", abstract_text(F.col("index")))
     works = read.withColumn("abstract", compact_text(F.col("abstract"))).select(
         F.col("work_id").alias("id"), "title", kind.alias("kind"), F.col("w.id").alias("source_url"),
         F.col("observed").alias("observed_at"), F.coalesce(F.nullif(F.col("w.publication_date"), F.lit("")), year).alias("work_date"),
@@ -149,7 +151,8 @@ def scholarly_works(documents: DataFrame, institutions: DataFrame, scopes: tuple
         authors.groupBy("work_id", "work_url", "ord", "rank", "at", "person_url", "name", "orcid", "position")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("institution_id", "institution"))),
                                       lambda i: i["institution"]), ", ").alias("institutions"))
-        .filter("name != ''")
+        # Names are read once their author is known to be credited.
+        .withColumns({"name": compact_text(F.col("name")), "position": squeeze(F.col("position"))}).filter("name != ''")
         .withColumn("plain", N.plain_words(F.col("name"))).withColumn("order", F.struct("ord", "at"))
     )
     known = institutions.select(N.plain_words(F.col("institution")).alias("plain")).filter("plain != ''").distinct()
