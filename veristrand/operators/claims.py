@@ -53,7 +53,7 @@ def _object(**members: Column) -> Column:
 
 
 def _items(doc: Column, name: str) -> Column:
-    listed = F.from_json(P.canonical(P.part(doc, name)), "array<variant>")
+    listed = F.try_variant_get(doc, f"$.{name}", "array<variant>")
     return F.coalesce(listed, F.array().cast("array<variant>"))
 
 
@@ -98,7 +98,7 @@ def _account(doc: Column) -> Column:
 
 
 def _repository_list(doc: Column) -> Column:
-    return F.from_json(P.canonical(doc), "array<variant>")
+    return F.try_variant_get(doc, "$", "array<variant>")
 
 
 def _repositories(doc: Column) -> Column:
@@ -108,8 +108,8 @@ def _repositories(doc: Column) -> Column:
         _one("repository_coverage", _object(
             complete=(F.size(listed) < REPOSITORY_PAGE).cast("string"), limit=F.lit(str(REPOSITORY_PAGE)),
             received=F.size(listed).cast("string"), scope=F.lit(f'"{REPOSITORY_SCOPE}"'))),
-        F.transform(own, lambda r: _claim("public_repository", _object(
-            **{f: _json_or_null(P.part(r, f)) for f in REPOSITORY_FIELDS}))))
+        F.transform(own, lambda r: _claim("public_repository", F.to_json(
+            P.cast(r, ",".join(f"{f}:variant" for f in REPOSITORY_FIELDS)), {"ignoreNullFields": "false"}))))
 
 
 def _all_have(items: Column, test) -> Column:
