@@ -236,19 +236,19 @@ def movement_candidates(jobs: DataFrame, responses: DataFrame, claims: DataFrame
         raise ValueError("Supply at least one origin OpenAlex institution ID")
     authors = jobs.filter(F.col("provider") == "openalex-author").select("job_id", F.col("subject").alias("author"))
     newest = latest_responses(responses, claims).join(authors, "job_id")
-    value = P.variant(F.col("value"))
+    read = P.cast(P.variant(F.col("value")), "institution_id:string,years:variant")
     affiliation = F.struct(
-        "pos", F.col("value").alias("claim"), P.field(value, "institution_id").alias("institution_id"),
-        F.array_max(F.from_json(P.canonical(P.part(value, "years")), "array<bigint>")).alias("last_year"))
+        "pos", F.col("value").alias("claim"), "v.institution_id",
+        F.array_max(F.from_json(P.canonical(F.col("v.years")), "array<bigint>")).alias("last_year"))
     is_affiliation = F.col("predicate") == "publication_affiliation"
     is_latest = F.col("predicate") == "latest_publication_institution"
+    wanted = claims.filter(F.col("predicate").isin("name", "publication_affiliation", "latest_publication_institution"))
     gathered = (
-        claims.filter(F.col("predicate").isin("name", "publication_affiliation", "latest_publication_institution"))
-        .join(newest, "response_id")
+        P.once(wanted.join(newest, "response_id"), "v", read)
         .groupBy("response_id", "author")
         .agg(
             F.array_sort(F.collect_list(F.when(is_affiliation, affiliation))).alias("affiliations"),
-            F.collect_set(F.when(is_latest, P.field(value, "institution_id"))).alias("latest"),
+            F.collect_set(F.when(is_latest, F.col("v.institution_id"))).alias("latest"),
             F.min_by(F.when(F.col("predicate") == "name", F.col("value")),
                      F.when(F.col("predicate") == "name", F.col("pos"))).alias("name"))
     )
