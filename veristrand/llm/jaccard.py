@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .linking import classes, shared
-from .staging import staged, told
+from .staging import concluded, staged, told
 
 #: The global order of n-grams is cut into this many fragments.
 FRAGMENTS = 8
@@ -22,6 +22,8 @@ FREQUENT = 1 << 18
 COUNTED = 1 << 20
 #: Tables of up to so many rows (of some fifty bytes) are sent to every task; beyond, both sides are shuffled.
 TOLD = 1 << 18
+#: N-grams before a posting's own that it carries, to tell whether a pair also meets at one of them.
+BEFORE = 3
 
 
 def ngram_sets(texts: list, size: int) -> Iterator[np.ndarray]:
@@ -78,10 +80,11 @@ def _classed(codes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.n
 
 
 def signatures(docs: DataFrame, size: int, percent: int, frequent, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each row's ``doc_id``, ``text_digest``, ``set_digest`` (null: empty set), ``n`` and ``prefix``.
+    """Each row's ``doc_id``, ``text_digest``, ``set_digest`` (null: empty set), ``n``, ``prefix`` and ``parity``.
 
     The prefix holds the first n-grams of the set in the global order, as many as two sets of
-    the wanted similarity cannot all differ in.
+    the wanted similarity cannot all differ in. The parities tell, for twice as many places as
+    there are n-grams or more, whether an odd number of n-grams falls on each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = dict(docs.dtypes)[key]
@@ -96,13 +99,29 @@ def signatures(docs: DataFrame, size: int, percent: int, frequent, *, key: str =
                 rows.append((
                     hashlib.md5((value or "").encode("utf-8", "surrogatepass")).hexdigest(),
                     hashlib.blake2b(own.tobytes(), digest_size=16).hexdigest() if n else None, n,
-                    own[order].view(np.int64) if n else own.view(np.int64)))
-            found = pd.DataFrame(rows, columns=["text_digest", "set_digest", "n", "prefix"])
+                    own[order].view(np.int64) if n else own.view(np.int64), parities(own)))
+            found = pd.DataFrame(rows, columns=["text_digest", "set_digest", "n", "prefix", "parity"])
             found.insert(0, "doc_id", frame["doc_id"].array)
             yield found
 
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        signed, f"doc_id {kind}, text_digest string, set_digest string, n long, prefix array<long>")
+        signed, f"doc_id {kind}, text_digest string, set_digest string, n long, prefix array<long>, parity array<long>")
+
+
+def parities(own: np.ndarray) -> np.ndarray:
+    """One bit for each of a power of two of places, by the lowest bits of the codes."""
+    places = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _differ(x: Column, y: Column) -> Column:
+    """The number of places whose parities differ; null where one has more than twice the places of the other."""
+    xor = lambda a, b: a.bitwiseXOR(b)
+    half = lambda a: F.floor(F.size(a) / 2).cast("int")
+    folded = lambda a: F.zip_with(F.slice(a, F.lit(1), half(a)), F.slice(a, half(a) + 1, half(a)), xor)
+    as_few = lambda a, b: F.when(F.size(a) > F.size(b), folded(a)).otherwise(a)
+    return F.aggregate(F.zip_with(as_few(x, y), as_few(y, x), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda n, m: n + m)
 
 
 def segments(texts: DataFrame, size: int, frequent) -> DataFrame:
@@ -156,10 +175,13 @@ def similar(
             F.min("row").alias("id"), F.min("doc_id").alias("first_id"), F.first("n").alias("n"),
             F.min("text_digest").alias("text_digest")))
     named = told(sets.select(F.col("id").alias("row")), TOLD)
-    postings = shared(signed.join(named, "row", "left_semi").select(
-        F.col("row").alias("id"), "n", F.posexplode("prefix").alias("at", "key")))
+    prefixes = signed.join(named, "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix")
+    postings = staged(shared(prefixes.select("id", F.explode("prefix").alias("key"))))
+    # What else a posting tells is in its prefix; few prefixes and postings are left to be joined.
+    postings = prefixes.join(postings, "id").withColumn("at", (F.array_position("prefix", F.col("key")) - 1).cast("int")).withColumn(
+        "before", F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE))))
     # A hub's shared n-grams come early in its order: it has few of its own before them.
-    postings = staged(postings.withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
+    postings = staged(postings.drop("prefix").withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
 
     def admissible(x: str, y: str):
         n, m, i, j = (F.col(f"{s}.{c}") for s, c in ((x, "n"), (y, "n"), (x, "at"), (y, "at")))
@@ -167,9 +189,23 @@ def similar(
         return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (
             F.least(n - i, m - j) >= needed)
 
+    def met(x: str, y: str):
+        # An n-gram before in both: the pair meets there too, with more of both sets to come.
+        return F.arrays_overlap(f"{x}.before", f"{y}.before")
+
     numbers = sets.select("id", "n")
 
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs that can be similar: no more parities differ than n-grams do."""
+        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        known = staged(signed.select(F.col("row").alias("id"), "n", "parity").join(told(ids, TOLD), "id", "left_semi"))
+        both = pairs.join(known.withColumnsRenamed({"id": "a", "n": "_n", "parity": "_x"}), "a").join(
+            known.withColumnsRenamed({"id": "b", "n": "_m", "parity": "_y"}), "b")
+        differ = F.coalesce(_differ(F.col("_x"), F.col("_y")), F.lit(0))
+        return both.filter((100 + percent) * differ <= (100 - percent) * (F.col("_n") + F.col("_m"))).select("a", "b")
+
     def verify(pairs: DataFrame) -> DataFrame:
+        pairs = staged(close(pairs))
         # Only texts in a pair are cut again; no n-gram of another text is ever shuffled.
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = _texts_of(docs, sets.select("id", "text_digest").join(wanted, "id", "left_semi"), text)
@@ -178,7 +214,7 @@ def similar(
             numbers.withColumnsRenamed({"id": "b", "n": "_m"}), "b")
         return sized.filter(100 * F.col("overlap") >= percent * (F.col("_n") + F.col("_m") - F.col("overlap"))).select("a", "b")
 
-    roots = classes(postings, verify, admissible)
+    roots = concluded(docs.sparkSession, lambda: classes(postings, verify, admissible, met=met))
     rooted = sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     decided = rooted.join(first, "root").select("set_digest", F.col("root").alias("class"), "component_id")
