@@ -176,12 +176,17 @@ def similar(
             F.min("text_digest").alias("text_digest")))
     named = told(sets.select(F.col("id").alias("row")), TOLD)
     prefixes = signed.join(named, "row", "left_semi").select(F.col("row").alias("id"), "n", "prefix")
-    postings = staged(shared(prefixes.select("id", F.explode("prefix").alias("key"))))
-    # What else a posting tells is in its prefix; few prefixes and postings are left to be joined.
-    postings = prefixes.join(postings, "id").withColumn("at", (F.array_position("prefix", F.col("key")) - 1).cast("int")).withColumn(
-        "before", F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE))))
-    # A hub's shared n-grams come early in its order: it has few of its own before them.
-    postings = staged(postings.drop("prefix").withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long")))
+
+    def placed() -> DataFrame:
+        own = staged(shared(prefixes.select("id", F.explode("prefix").alias("key"))))
+        # What else a posting tells is in its prefix; few prefixes and postings are left to be joined.
+        told_ = prefixes.join(own, "id").withColumn("at", (F.array_position("prefix", F.col("key")) - 1).cast("int")).withColumn(
+            "before", F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE))))
+        # A hub's shared n-grams come early in its order: it has few of its own before them.
+        return told_.drop("prefix").withColumn("rank", (F.col("at").cast("long") * 1_000_000 / F.col("n")).cast("long"))
+
+    spark = docs.sparkSession
+    postings = concluded(spark, placed)
 
     def admissible(x: str, y: str):
         n, m, i, j = (F.col(f"{s}.{c}") for s, c in ((x, "n"), (y, "n"), (x, "at"), (y, "at")))
@@ -214,7 +219,9 @@ def similar(
             numbers.withColumnsRenamed({"id": "b", "n": "_m"}), "b")
         return sized.filter(100 * F.col("overlap") >= percent * (F.col("_n") + F.col("_m") - F.col("overlap"))).select("a", "b")
 
-    roots = concluded(docs.sparkSession, lambda: classes(postings, verify, admissible, met=met))
+    # Pairs, parities and n-grams of a round go once its links are written.
+    verified = lambda pairs: concluded(spark, lambda: verify(pairs))
+    roots = concluded(spark, lambda: classes(postings, verified, admissible, met=met))
     rooted = sets.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     decided = rooted.join(first, "root").select("set_digest", F.col("root").alias("class"), "component_id")
