@@ -88,3 +88,29 @@ def test_words_are_split_as_bytes_are():
     assert words.to_pylist() == [w for t in odd for w in classlm.tokens(t)[:-1]]
     assert counts.tolist() == [len(classlm.tokens(t)) - 1 for t in odd]
     assert classlm._split(pa.array([], pa.string()))[1].tolist() == []
+
+
+def test_texts_behind_others_are_split_alike():
+    rng = random.Random(2)
+    made = [" ".join(rng.choices(["One", "two", "three.", " "], k=rng.randrange(400))) for _ in range(2500)]
+    whole = pa.array(made, pa.string())
+    for at in range(0, 2500, 1000):
+        words, counts = classlm._split(whole.slice(at, 1000))
+        assert words.to_pylist() == [w for t in made[at : at + 1000] for w in classlm.tokens(t)[:-1]]
+        assert counts.tolist() == [len(classlm.tokens(t)) - 1 for t in made[at : at + 1000]]
+
+
+def test_batches_are_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(classlm, "HELD_TEXTS", 7)
+    made = texts(random.Random(9), 60)
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").coalesce(1)
+    model = classlm.train(docs.select("text"))
+    assert model.train_tokens == sum(len(classlm.tokens(t)) for t in made)
+    counts = {bytes(r["word"]): (r["n"], r["class"]) for r in model.counts.collect()}
+    for r in classlm.score(docs, model).collect():
+        line, before = 0.0, 0
+        for w in classlm.tokens(r["text"]):
+            n, c = counts[w]
+            line += model.step[before, c] + math.log10(n + 1) - model.mass[c]
+            before = c
+        assert r["n_tokens"] == r["n_known"] == len(classlm.tokens(r["text"])) and r["score"] == pytest.approx(line)
